@@ -25,7 +25,7 @@ def with_lambda(edges: DataFrame, config: DecayConfig | None = None) -> DataFram
     rates = config.to_df(edges.sparkSession).select("protocol", F.col("lambda_p").alias("_rate"))
     joined = edges.join(F.broadcast(rates), "protocol", "left")
     return joined.select(
-        *edges.columns, F.coalesce("_rate", F.lit(config.default_lambda)).alias("lambda_p")
+        *[c for c in edges.columns if c != "lambda_p"], F.coalesce("_rate", F.lit(config.default_lambda)).alias("lambda_p")
     )
 
 

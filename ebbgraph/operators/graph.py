@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbgraph.functions.columns import shard_index
-from ebbgraph.operators.scale import HOT_ROWS, dense_index, salted_join
+from ebbgraph.operators.scale import HOT_ROWS, dense_index, is_small, materialize, salted_join
 
 FEATURES = 8
 HIDDEN = 16
@@ -63,20 +63,41 @@ def _affine(layer: int, unit: int, own: list[Column], near: list[Column]) -> Col
     return total
 
 
-def neighbour_means(
+def edge_pairs(edges: DataFrame) -> DataFrame:
+    """(src, dst, n): parallel edges collapsed to a count before anything is joined."""
+    return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _with_self(pairs: DataFrame, every: DataFrame) -> DataFrame:
+    """Pairs plus one row (n = 0) per node that carries the node's own values to itself."""
+    own = every.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("n"))
+    return pairs.unionByName(own)
+
+
+def gather(
     pairs: DataFrame, features: DataFrame, names: list[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Mean of in-neighbour features per node; ``pairs`` holds (src, dst, n parallel edges)."""
-    gathered = salted_join(pairs, features.withColumnRenamed("node", "src"), "src", "dst", "inner", hot_rows)
-    edges = F.sum("n")
-    return gathered.groupBy(F.col("dst").alias("node")).agg(
-        *[(F.sum(F.col(c) * F.col("n")) / edges).alias(f"near_{c}") for c in names]
+    """Own values and mean in-neighbour values per node, in one join and one aggregation.
+
+    ``pairs`` comes from ``_with_self``. Partial aggregation absorbs nodes with many
+    incoming edges, salting those with many outgoing ones.
+    """
+    rows = salted_join(pairs, features.withColumnRenamed("node", "src"), "src", "dst", "inner", hot_rows)
+    itself = F.col("n") == 0
+    return rows.groupBy(F.col("dst").alias("node")).agg(
+        *[F.max(F.when(itself, F.col(c))).alias(c) for c in names],
+        *[(F.sum(F.col(c) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias(f"near_{c}") for c in names],
     )
 
 
-def edge_pairs(edges: DataFrame) -> DataFrame:
-    """Parallel edges collapsed to a count before anything is joined."""
-    return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+def neighbour_means(
+    pairs: DataFrame, features: DataFrame, names: list[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Mean of in-neighbour features per node that has incoming edges."""
+    rows = salted_join(pairs, features.withColumnRenamed("node", "src"), "src", "dst", "inner", hot_rows)
+    return rows.groupBy(F.col("dst").alias("node")).agg(
+        *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"near_{c}") for c in names]
+    )
 
 
 def score_entities(
@@ -87,25 +108,28 @@ def score_entities(
     ``deviations`` has (entity, z_score); ``only`` (entity_id) restricts the result.
     """
     pairs = edge_pairs(edges)
+    if not is_small(edges):
+        pairs = materialize(pairs)  # read by both rounds
+    every = nodes(pairs)
     latest = deviations.select(F.col("entity").alias("node"), F.col("z_score").alias("_z"))
     names = [f"x{i}" for i in range(FEATURES)] + ["z"]
-    own = nodes(edges).join(latest, "node", "left").select(
+    values = every.join(latest, "node", "left").select(
         "node",
         *[base_feature(F.col("node"), i).alias(f"x{i}") for i in range(FEATURES)],
         F.coalesce("_z", F.lit(0.0)).alias("z"),
     )
+    links = _with_self(pairs, every)
     for layer in (1, 2):
-        means = neighbour_means(pairs, own, names, hot_rows)
-        joined = own.join(means, "node", "left")
+        gathered = gather(links, values, names, hot_rows)
         near = [F.coalesce(f"near_{c}", F.lit(0.0)) for c in names]
         units = [
             F.greatest(F.lit(0.0), _affine(layer, u, [F.col(c) for c in names], near)).alias(f"h{u}")
             for u in range(HIDDEN)
         ]
-        own = joined.select("node", *units)
+        values = gathered.select("node", *units)
         names = [f"h{u}" for u in range(HIDDEN)]
     score = _affine(3, 0, [F.col(c) for c in names], [])
-    scored = own.select(F.col("node").alias("entity_id"), score.alias("score"))
+    scored = values.select(F.col("node").alias("entity_id"), score.alias("score"))
     return scored if only is None else scored.join(only.select("entity_id").distinct(), "entity_id", "left_semi")
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbgraph.config import DecayConfig
+from ebbgraph.config import MAX_CONFIG_ROWS, DecayConfig
 from ebbgraph.operators.scale import (
     HOT_ROWS, dense_index, exact_median, fold_by_key, prefix_sums, segment_hot,
 )
@@ -79,47 +80,82 @@ def calibrate_decay(
     )
 
 
-def rolling_gap_medians(
-    edges: DataFrame, *, order: tuple[str, ...] = ("t_e", "edge_id"), min_samples: int = MIN_SAMPLES,
-    window_gaps: int = WINDOW_GAPS, tick_edges: int = TICK_EDGES, hot_rows: int = HOT_ROWS,
+def arrival_gaps(
+    edges: DataFrame, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int = HOT_ROWS,
     split: bool | None = None,
+) -> DataFrame:
+    """Every edge with its gap and its ``arrival`` number (0, 1, 2, ...)."""
+    return dense_index(edge_gaps(edges, order, hot_rows), list(order), "arrival", split=split)
+
+
+def number_gaps(arrived: DataFrame, gaps_before: Mapping[str, int] | None = None, split: bool | None = None) -> DataFrame:
+    """(protocol, arrival, gap, number): positive gaps numbered 1, 2, ... per protocol."""
+    rows = arrived.filter(F.col("gap").isNotNull()).select("protocol", "arrival", "gap")
+    numbered = prefix_sums(rows, ["protocol"], ["arrival"], {"number": F.lit(1)}, split=split)
+    return numbered.withColumn("number", F.col("number") + _count_before(gaps_before))
+
+
+def _count_before(gaps_before: Mapping[str, int] | None) -> Column:
+    """Gaps of a protocol seen in earlier batches (a handful of protocols)."""
+    total = F.lit(0).cast("long")
+    for protocol, count in (gaps_before or {}).items():
+        total = F.when(F.col("protocol") == protocol, F.lit(int(count))).otherwise(total)
+    return total
+
+
+def tick_medians(
+    arrived: DataFrame, numbered: DataFrame, *, recent: DataFrame | None = None,
+    gaps_before: Mapping[str, int] | None = None, min_samples: int = MIN_SAMPLES,
+    window_gaps: int = WINDOW_GAPS, tick_edges: int = TICK_EDGES, split: bool | None = None,
 ) -> DataFrame:
     """(tick, t, protocol, sample_count, median): median of the newest gaps at each tick.
 
-    A tick follows every ``tick_edges`` edges in arrival order. Each protocol's gaps are
-    numbered; the window of a tick ends at the number reached so far, and windows that
-    end at the same number are computed once.
+    A tick follows every ``tick_edges`` edges in arrival order. The window of a tick ends
+    at the gap number its protocol has reached; windows that end at the same number are
+    computed once. ``recent`` (protocol, number, gap) adds gaps of earlier batches.
     """
-    gaps = dense_index(edge_gaps(edges, order, hot_rows), list(order), "arrival", split=split)
-    gaps = gaps.withColumn("tick", F.floor(F.col("arrival") / tick_edges))
+    tick = F.floor(F.col("arrival") / tick_edges)
     closing = F.col("arrival") % tick_edges == tick_edges - 1
-    ticks = gaps.filter(closing).select("tick", F.col("t_e").alias("t"))
-    numbered = prefix_sums(
-        gaps.filter(F.col("gap").isNotNull()).select("protocol", "tick", "arrival", "gap"),
-        ["protocol"], ["arrival"], {"number": F.lit(1)}, split=split,
-    )
+    ticks = arrived.filter(closing).select(tick.alias("tick"), F.col("t_e").alias("t"))
 
-    # gaps seen by each tick: totals carried over ticks that add none to a protocol
-    protocols = sorted(r[0] for r in edges.select("protocol").distinct().limit(1000).collect())
+    # gaps reached by each tick: totals carried over ticks that add none to a protocol
+    found = arrived.select("protocol").distinct().limit(MAX_CONFIG_ROWS).collect()
+    protocols = sorted({row[0] for row in found} | set(gaps_before or {}))
+    if not protocols:
+        protocols = [""]
     grid = ticks.withColumn("protocol", F.explode(F.array(*[F.lit(p) for p in protocols])))
-    added = numbered.groupBy("protocol", "tick").agg(F.count("*").alias("_added"))
-    seen = prefix_sums(
+    added = numbered.groupBy("protocol", tick.alias("tick")).agg(F.count("*").alias("_added"))
+    reached = prefix_sums(
         grid.join(added, ["protocol", "tick"], "left"),
         ["protocol"], ["tick"], {"upto": F.coalesce("_added", F.lit(0))}, split=split,
-    ).filter(F.col("upto") >= min_samples)
+    )
+    reached = reached.withColumn("upto", F.col("upto") + _count_before(gaps_before)).filter(F.col("upto") >= min_samples)
 
+    gaps = numbered.select("protocol", "number", "gap")
+    if recent is not None:
+        gaps = gaps.unionByName(recent.select("protocol", "number", "gap"))
     block = F.lit(window_gaps)
-    ends = seen.select("protocol", "upto").distinct()
-    first = F.floor((F.greatest(F.col("upto") - window_gaps, F.lit(0))) / block)
-    windows = ends.withColumn("_bucket", F.explode(F.sequence(first, F.floor((F.col("upto") - 1) / block))))
-    parts = numbered.withColumn("_bucket", F.floor((F.col("number") - 1) / block))
+    first = F.floor(F.greatest(F.col("upto") - window_gaps, F.lit(0)) / block)
+    windows = reached.select("protocol", "upto").distinct().withColumn(
+        "_bucket", F.explode(F.sequence(first, F.floor((F.col("upto") - 1) / block)))
+    )
+    parts = gaps.withColumn("_bucket", F.floor((F.col("number") - 1) / block))
     inside = (F.col("number") <= F.col("upto")) & (F.col("number") > F.col("upto") - window_gaps)
     medians = (
         windows.join(parts, ["protocol", "_bucket"]).filter(inside)
         .groupBy("protocol", "upto")
         .agg(F.count("*").cast("int").alias("sample_count"), F.median("gap").alias("median"))
     )
-    return seen.join(medians, ["protocol", "upto"]).select("tick", "t", "protocol", "sample_count", "median")
+    return reached.join(medians, ["protocol", "upto"]).select("tick", "t", "protocol", "sample_count", "median")
+
+
+def rolling_gap_medians(
+    edges: DataFrame, *, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int = HOT_ROWS,
+    split: bool | None = None, **options,
+) -> DataFrame:
+    """Rolling medians over a whole replay; see ``tick_medians`` for the options."""
+    arrived = arrival_gaps(edges, order, hot_rows, split)
+    return tick_medians(arrived, number_gaps(arrived, split=split), split=split, **options)
 
 
 RECALIBRATION = T.StructType(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbgraph.functions.columns import shard_index
-from ebbgraph.operators.scale import HOT_ROWS, dense_index, is_small, materialize, salted_join
+from ebbgraph.operators.scale import HOT_ROWS, dense_index, materialize, salted_join
 
 FEATURES = 8
 HIDDEN = 16
@@ -53,14 +53,11 @@ def weight(layer: int, row: int, col: int) -> float:
     return round(x - math.floor(x) - 0.5, 6)
 
 
-def _affine(layer: int, unit: int, own: list[Column], near: list[Column]) -> Column:
-    """Bias + weighted own values + weighted neighbour means for one hidden unit."""
-    total = F.lit(weight(layer, unit, 999))
-    for i, value in enumerate(own):
-        total = total + value * F.lit(weight(layer, unit, i))
-    for i, value in enumerate(near):
-        total = total + value * F.lit(weight(layer, unit, 100 + i))
-    return total
+def _affine(layer: int, unit: int, own: list[str], near: list[str]) -> str:
+    """SQL text: bias + weighted own values + weighted neighbour means for one unit."""
+    terms = [f"{weight(layer, unit, i)!r}D * {name}" for i, name in enumerate(own)]
+    terms += [f"{weight(layer, unit, 100 + i)!r}D * coalesce({name}, 0D)" for i, name in enumerate(near)]
+    return " + ".join([f"{weight(layer, unit, 999)!r}D", *terms])
 
 
 def edge_pairs(edges: DataFrame) -> DataFrame:
@@ -68,10 +65,14 @@ def edge_pairs(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def _with_self(pairs: DataFrame, every: DataFrame) -> DataFrame:
-    """Pairs plus one row (n = 0) per node that carries the node's own values to itself."""
-    own = every.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("n"))
-    return pairs.unionByName(own)
+def linked_pairs(edges: DataFrame) -> DataFrame:
+    """Pairs plus one row (n = 0) per node that carries the node's own values to itself.
+
+    Written once to the shared folder: both scoring rounds read it.
+    """
+    pairs = edge_pairs(edges)
+    own = nodes(pairs).select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("n"))
+    return materialize(pairs.unionByName(own))
 
 
 def gather(
@@ -79,7 +80,7 @@ def gather(
 ) -> DataFrame:
     """Own values and mean in-neighbour values per node, in one join and one aggregation.
 
-    ``pairs`` comes from ``_with_self``. Partial aggregation absorbs nodes with many
+    ``pairs`` comes from ``linked_pairs``. Partial aggregation absorbs nodes with many
     incoming edges, salting those with many outgoing ones.
     """
     rows = salted_join(pairs, features.withColumnRenamed("node", "src"), "src", "dst", "inner", hot_rows)
@@ -107,10 +108,8 @@ def score_entities(
 
     ``deviations`` has (entity, z_score); ``only`` (entity_id) restricts the result.
     """
-    pairs = edge_pairs(edges)
-    if not is_small(edges):
-        pairs = materialize(pairs)  # read by both rounds
-    every = nodes(pairs)
+    links = linked_pairs(edges)
+    every = links.filter(F.col("n") == 0).select(F.col("src").alias("node"))
     latest = deviations.select(F.col("entity").alias("node"), F.col("z_score").alias("_z"))
     names = [f"x{i}" for i in range(FEATURES)] + ["z"]
     values = every.join(latest, "node", "left").select(
@@ -118,18 +117,13 @@ def score_entities(
         *[base_feature(F.col("node"), i).alias(f"x{i}") for i in range(FEATURES)],
         F.coalesce("_z", F.lit(0.0)).alias("z"),
     )
-    links = _with_self(pairs, every)
     for layer in (1, 2):
         gathered = gather(links, values, names, hot_rows)
-        near = [F.coalesce(f"near_{c}", F.lit(0.0)) for c in names]
-        units = [
-            F.greatest(F.lit(0.0), _affine(layer, u, [F.col(c) for c in names], near)).alias(f"h{u}")
-            for u in range(HIDDEN)
-        ]
-        values = gathered.select("node", *units)
+        near = [f"near_{c}" for c in names]
+        units = [f"greatest(0D, {_affine(layer, u, names, near)}) AS h{u}" for u in range(HIDDEN)]
+        values = gathered.selectExpr("node", *units)
         names = [f"h{u}" for u in range(HIDDEN)]
-    score = _affine(3, 0, [F.col(c) for c in names], [])
-    scored = values.select(F.col("node").alias("entity_id"), score.alias("score"))
+    scored = values.selectExpr("node AS entity_id", f"{_affine(3, 0, names, [])} AS score")
     return scored if only is None else scored.join(only.select("entity_id").distinct(), "entity_id", "left_semi")
 
 

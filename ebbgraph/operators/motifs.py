@@ -24,6 +24,7 @@ from ebbgraph.schema import COMPLETION, OPEN_CHAIN, RESET
 KEYS = ["motif_name", "chain_key"]
 ORDER = ["t_e", "edge_id", "stage"]
 MIN_CONFIDENCE = 0.5
+PRUNE_ROW = -1  # stage number of a row that says an edge was pruned at t_e
 
 EVENT = T.StructType(
     [
@@ -190,7 +191,11 @@ class ChainFold:
             state, reset = self._lapse(state, t)
             if reset:
                 out.append(self.reset_row(motif, key, reset))
-            if stage == 0:
+            if stage == PRUNE_ROW:
+                if state and edge in state["ids"]:
+                    out.append(self.reset_row(motif, key, {**state, "killed": [t, edge]}))
+                    state = None
+            elif stage == 0:
                 if state is None:
                     if steps == 1:
                         if score >= self.min_confidence:
@@ -198,18 +203,16 @@ class ChainFold:
                     else:
                         state = {"stage": 1, "started": t, "ids": [], "conf": 1.0, "killed": None, "used": None}
                         self._extend(state, edge, t, score, pruned, window)
-                continue
-            if state is None or state["stage"] != stage or state["used"] == edge or t < state["last"]:
-                continue
-            if t - state["started"] > window:
-                state = None
-                continue
-            self._extend(state, edge, t, score, pruned, window)
-            state["stage"], state["used"] = stage + 1, edge
-            if stage + 1 == steps:
-                if state["conf"] >= self.min_confidence:
-                    out.append(("completion", motif, key, state["ids"], t, state["conf"], None, None, state["started"]))
-                state = None
+            elif state and state["stage"] == stage and state["used"] != edge and t >= state["last"]:
+                if t - state["started"] > window:
+                    state = None
+                    continue
+                self._extend(state, edge, t, score, pruned, window)
+                state["stage"], state["used"] = stage + 1, edge
+                if stage + 1 == steps:
+                    if state["conf"] >= self.min_confidence:
+                        out.append(("completion", motif, key, state["ids"], t, state["conf"], None, None, state["started"]))
+                    state = None
         return out, json.dumps(state, sort_keys=True) if state else None
 
     def _extend(self, state: dict, edge: str, t: float, score: float, pruned: float, window: float) -> None:

@@ -19,7 +19,9 @@ from ebbgraph.operators import (
 from ebbgraph.plans import oracle as O
 from ebbgraph.plans import runs
 from ebbgraph.sources import auth_log, tables, windows_events
+from ebbgraph.schema import EDGE
 from ebbgraph.sources.event_table import event_edges, event_labels, read_event_edges
+from ebbgraph.streaming import batches, continuous, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -846,3 +848,89 @@ def motif_priority(spark, sf):
 @query(PRIORITY)
 def ranked_motifs(spark, sf):
     return ops.ranked_motifs(feedback(spark, sf)).withColumn("priority_score", r6("priority_score"))
+
+
+# --- streams over the event table ---------------------------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The event table as a finite stream of edges."""
+    raw = spark.readStream.schema(events(spark, sf).schema).parquet(f"{sf}/events*.parquet")
+    return event_edges(raw)
+
+
+def run_stream(frame: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Run a stream over everything available into the shared folder and read the result."""
+    spark = frame.sparkSession
+    path = scale.scratch_path(spark)
+    writer = frame.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint")
+    writer.trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(schema).parquet(path)
+
+
+def run_batches(frame: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
+    path = scale.scratch_path(frame.sparkSession)
+    writer = frame.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}-checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@query(ORACLE["deviation_signals"])
+def stream_deviation_signals(spark, sf):
+    s = run_stream(keyed.stream_deviation(event_stream(spark, sf)), keyed.SIGNAL_LAYOUT)
+    return s.select(
+        "edge_id", "entity", "protocol", "t", "value", r6(F.col("baseline_mean") + OFF_TIES).alias("baseline_mean"),
+        r6("baseline_std").alias("baseline_std"), "sample_count", F.round("z_score", 5).alias("z_score"),
+    )
+
+
+@query(ORACLE["match_motifs"])
+def stream_motif_completions(spark, sf):
+    found = run_stream(keyed.stream_motifs(event_stream(spark, sf)), M.EVENT)
+    return completion_columns(keyed.completions(found))
+
+
+@query(O.with_edges(O.RATES, body="""
+SELECT count(*) AS scanned, count(*) FILTER (w < 0.05) AS pruned, round(CAST(0.05 AS DOUBLE), 6) AS epsilon, max(now) AS t FROM (
+  SELECT now, w_0 * exp(-lambda_p * greatest(0.0, now - t_e)) AS w
+  FROM (SELECT *, max(t_e) OVER () AS now FROM edges) JOIN rates USING (protocol))"""))
+def stream_prune_passes(spark, sf):
+    sink = batches.PruneSink(scale.scratch_path(spark), FIXED)
+    run_batches(event_stream(spark, sf), sink)
+    return sink.passes(spark).select("scanned", "pruned", r6("epsilon").alias("epsilon"), "t")
+
+
+@query(ORACLE["adaptive_recalibration"])
+def stream_recalibration(spark, sf):
+    sink = batches.RecalibrationSink(scale.scratch_path(spark))
+    run_batches(event_stream(spark, sf), sink)
+    return sink.events(spark).select(
+        "protocol", "t", "sample_count",
+        *[F.round(c, 12).alias(c) for c in ("previous_lambda_p", "suggested_lambda_p", "applied_lambda_p")],
+    )
+
+
+@query(ORACLE["normalized_edges"])
+def replayed_edges(spark, sf):
+    """Edges staged as JSON lines and replayed as a finite stream."""
+    path = scale.scratch_path(spark)
+    tables.write_staged_edges(read_event_edges(spark, sf), path)
+    replayed = run_stream(tables.replay_stream(spark, path, files_per_batch=4), EDGE)
+    return replayed.select("edge_id", "src", "dst", "protocol", "t_e", "src_type", "dst_type", "w_0", "source_system")
+
+
+@query(f"""SELECT * FROM (VALUES ('anomalies'), ('completions'), ('active_graph_size')) p(product) JOIN (
+{O.with_edges(O.RATES, O.SIGNALS, O.chains(), body='''
+SELECT 'anomalies' AS product, count(*) AS n FROM signals WHERE abs(z_score) >= 3
+UNION ALL SELECT 'completions', count(*) FROM completions
+UNION ALL SELECT 'active_graph_size', count(*) FROM (SELECT *, max(t_e) OVER () AS now FROM edges) JOIN rates USING (protocol)
+WHERE w_0 * exp(-lambda_p * greatest(0.0, now - t_e)) >= 0.05''')}) USING (product)""")
+def continuous_products(spark, sf):
+    """All products of a continuous run, counted."""
+    run = continuous.ContinuousRun(scale.scratch_path(spark), FIXED, adaptive=True)
+    for started in run.start(spark, lambda: event_stream(spark, sf)):
+        started.awaitTermination()
+    size = run.snapshot(spark, NOW).select(F.lit("active_graph_size").alias("product"), F.col("active_graph_size").alias("n"))
+    counted = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("product"), "n")
+    return size.unionByName(counted("anomalies", run.anomalies(spark))).unionByName(
+        counted("completions", keyed.completions(run.motif_events(spark)))
+    )

@@ -64,8 +64,8 @@ def to_json(edges: DataFrame) -> DataFrame:
 
 def from_json(lines: DataFrame) -> DataFrame:
     """Parse JSON texts into edges; unknown fields are ignored, blank lines skipped."""
-    parsed = lines.filter(F.trim("value") != "").select(F.from_json("value", EDGE).alias("e"))
-    return normalize_edges(parsed.select("e.*"))
+    parsed = F.inline(F.array(F.from_json("value", EDGE)))
+    return normalize_edges(lines.filter(F.trim("value") != "").select(parsed))
 
 
 def upsert_edges(writes: DataFrame, *order: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ebbgraph.config import Motif, load_motifs
 from ebbgraph.functions.columns import chain_key, step_score
-from ebbgraph.operators.scale import HOT_ROWS, fold_by_key, segment_hot
+from ebbgraph.operators.scale import HOT_ROWS, fold_by_key, materialize, segment_hot
 from ebbgraph.schema import COMPLETION, OPEN_CHAIN, RESET
 
 KEYS = ["motif_name", "chain_key"]
@@ -274,11 +274,12 @@ def _named(df: DataFrame, schema: T.StructType) -> DataFrame:
 def run_motifs(
     edges: DataFrame, motifs: Sequence[Motif] | None = None, *, fuzzy: bool = False,
     min_confidence: float = MIN_CONFIDENCE, timeout: str = "none",
-    prunes: DataFrame | None = None, hot_rows: int = HOT_ROWS,
+    prunes: DataFrame | None = None, hot_rows: int = HOT_ROWS, stored: bool = True,
 ) -> MotifResult:
     """Match every motif. ``timeout="none"`` keeps a chain until a row of its own decides
     it (a replay); ``"event_time"`` forgets it window_seconds after its last edge.
-    ``prunes`` (edge_id, pruned_at) resets chains that used a pruned edge."""
+    ``prunes`` (edge_id, pruned_at) resets chains that used a pruned edge. ``stored``
+    writes folded events once, so that the three frames do not each fold again."""
     _check_timeout(timeout)
     motifs = load_motifs() if motifs is None else list(motifs)
     plain = timeout == "none" and prunes is None
@@ -292,6 +293,8 @@ def run_motifs(
         parts.append((done, no_resets, left))
     if folded:
         events = _folded(motif_candidates(edges, folded, fuzzy), prunes, min_confidence, timeout, hot_rows)
+        if stored:
+            events = materialize(events)
         of = lambda kind: events.filter(F.col("kind") == kind)
         parts.append(
             (
@@ -311,15 +314,15 @@ def run_motifs(
 
 def match_motifs(edges: DataFrame, motifs: Sequence[Motif] | None = None, **options) -> DataFrame:
     """Completed chains: (motif_name, chain_key, matched_edges, completed_at, confidence)."""
-    return run_motifs(edges, motifs, **options).completions
+    return run_motifs(edges, motifs, stored=False, **options).completions
 
 
 def motif_resets(edges: DataFrame, prunes: DataFrame, motifs: Sequence[Motif] | None = None, **options) -> DataFrame:
-    return run_motifs(edges, motifs, prunes=prunes, **options).resets
+    return run_motifs(edges, motifs, prunes=prunes, stored=False, **options).resets
 
 
 def open_chains(edges: DataFrame, motifs: Sequence[Motif] | None = None, **options) -> DataFrame:
-    return run_motifs(edges, motifs, **options).open_chains
+    return run_motifs(edges, motifs, stored=False, **options).open_chains
 
 
 def chains_containing(chains: DataFrame, edge_ids: DataFrame) -> DataFrame:

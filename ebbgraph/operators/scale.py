@@ -12,8 +12,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -177,17 +178,61 @@ def salted_join(
 # --- sequential folds -----------------------------------------------------------
 
 Fold = Callable[[str | None, pd.DataFrame], tuple[list[tuple], str | None]]
+Finish = Callable[[tuple, str | None], list[tuple]]
+
+
+def _runs(rows: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Consecutive stretches of one key in key-sorted rows."""
+    columns = [rows[k].to_numpy() for k in keys]
+    change = np.zeros(len(rows), dtype=bool)
+    change[:1] = True
+    for values in columns:
+        change[1:] |= values[1:] != values[:-1]
+    starts = np.flatnonzero(change)
+    for start, end in zip(starts, [*starts[1:], len(rows)]):
+        yield tuple(values[start] for values in columns), rows.iloc[start:end]
+
+
+def _folding(
+    keys: list[str], fold: Fold, entry: Callable[[tuple], str | None],
+    close: Finish, names: list[str], emit: bool = True,
+) -> Callable:
+    """A partition function that folds key after key, holding one batch and one state."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for rows in batches:
+            out: list[tuple] = []
+            for this, part in _runs(rows, keys):
+                if this != key:
+                    if key is not None:
+                        out += close(key, state)
+                    key, state = this, entry(this)
+                found, state = fold(state, part)
+                if emit:
+                    out += found
+            yield pd.DataFrame(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame(close(key, state), columns=names)
+
+    return run
+
+
+def _by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
 
 
 def fold_by_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
-    finish: Callable[[tuple, str | None], list[tuple]], schema: T.StructType,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, finish: Finish,
+    schema: T.StructType, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Run a state machine over each key's rows in order.
 
     ``fold(state, rows)`` returns (output rows, next state), the state being text or
-    None; ``finish(key, state)`` adds rows for the state left at the end of a key.
+    None; a key's rows may come in several calls. ``finish(key, state)`` adds rows for
+    the state left at the end of a key. Rows stream through sorted partitions, so no key
+    is held in memory.
+
     A hot key's segments run side by side from a guessed entry state; segments whose
     guess was wrong run again until every entry equals the exit before it, so the
     result is the sequential one whatever the data.
@@ -195,66 +240,55 @@ def fold_by_key(
     keys, order = list(keys), list(order)
     names = schema.fieldNames()
     cold, hot = segment_hot(df, keys, order, hot_rows)
-
-    def whole_key(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, state = fold(None, rows.sort_values(order, kind="stable"))
-        return pd.DataFrame(out + finish(key, state), columns=names)
-
-    result = cold.groupBy(*keys).applyInPandas(whole_key, schema)
+    result = _by_key(cold, keys, order).mapInPandas(
+        _folding(keys, fold, lambda key: None, finish, names), schema
+    )
     if hot is None:
         return result
 
     entries = _settle_entries(hot, keys, fold)
-    last = {}
-    for key, seg in entries:
-        last[key] = max(seg, last.get(key, seg))
-
-    def one_segment(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        key, seg = tuple(group[:-1]), int(group[-1])
-        out, state = fold(entries[key, seg], rows.sort_values("_pos"))
-        if seg == last[key]:
-            out = out + finish(key, state)
-        return pd.DataFrame(out, columns=names)
+    last: dict[tuple, int] = {}
+    for *key, seg in entries:
+        last[tuple(key)] = max(seg, last.get(tuple(key), seg))
 
-    return result.unionByName(hot.groupBy(*keys, "_seg").applyInPandas(one_segment, schema))
+    def close(group: tuple, state: str | None) -> list[tuple]:
+        return finish(group[:-1], state) if group[-1] == last[group[:-1]] else []
 
-
-def _exit_state(fold: Fold, entries: dict, names: list[str]) -> Callable:
-    def leave(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        key, seg = tuple(group[:-1]), int(group[-1])
-        _, state = fold(entries.get((key, seg)), rows.sort_values("_pos"))
-        return pd.DataFrame([(*key, seg, state)], columns=names)
-
-    return leave
+    seg_keys = [*keys, "_seg"]
+    segments = _by_key(hot, seg_keys, ["_pos"])
+    return result.unionByName(
+        segments.mapInPandas(_folding(seg_keys, fold, entries.__getitem__, close, names), schema)
+    )
 
 
 def _settle_entries(hot: DataFrame, keys: list[str], fold: Fold) -> dict[tuple, str | None]:
-    """Entry state of every (key, segment); one short text per segment reaches the driver."""
+    """Entry state of every (key..., segment); one short text per segment reaches the driver."""
     spark = hot.sparkSession
-    fields = [f for f in hot.schema.fields if f.name in keys]
-    fields.sort(key=lambda f: keys.index(f.name))
-    exit_schema = T.StructType([*fields, T.StructField("_seg", T.IntegerType()), T.StructField("_exit", T.StringType())])
+    seg_keys = [*keys, "_seg"]
+    key_fields = [hot.schema[k] for k in seg_keys]
+    exit_schema = T.StructType([*key_fields, T.StructField("_exit", T.StringType())])
+    names = exit_schema.fieldNames()
     entries: dict[tuple, str | None] = {}
     exits: dict[tuple, str | None] = {}
     todo = hot
     while True:
-        leave = _exit_state(fold, dict(entries), exit_schema.fieldNames())
-        for row in todo.groupBy(*keys, "_seg").applyInPandas(leave, exit_schema).collect():
-            exits[tuple(row[:-2]), row["_seg"]] = row["_exit"]
+        leave = _folding(
+            seg_keys, fold, dict(entries).get, lambda group, state: [(*group, state)], names, emit=False
+        )
+        for row in _by_key(todo, seg_keys, ["_pos"]).mapInPandas(leave, exit_schema).collect():
+            exits[tuple(row)[:-1]] = row["_exit"]
         settled: dict[tuple, str | None] = {}
         previous = None
-        for key, seg in sorted(exits):
-            follows = previous is not None and previous[0] == key
-            settled[key, seg] = exits[previous] if follows else None
-            previous = (key, seg)
-        changed = [k for k in settled if settled[k] != entries.get(k)]
+        for group in sorted(exits):
+            follows = previous is not None and previous[:-1] == group[:-1]
+            settled[group] = exits[previous] if follows else None
+            previous = group
+        changed = [group for group in settled if settled[group] != entries.get(group)]
         entries = settled
         if not changed:
             return entries
-        wrong = spark.createDataFrame(
-            [(*key, seg) for key, seg in changed], T.StructType(exit_schema.fields[:-1])
-        )
-        todo = hot.join(F.broadcast(wrong), [*keys, "_seg"], "left_semi")
+        wrong = spark.createDataFrame(changed, T.StructType(key_fields))
+        todo = hot.join(F.broadcast(wrong), seg_keys, "left_semi")
 
 
 # --- exact median ----------------------------------------------------------------

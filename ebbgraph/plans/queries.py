@@ -255,7 +255,7 @@ def windows_log(spark: SparkSession, sf: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(p) for p in ("\\\\srv1\\share\\a", "//srv2/b", "C:\\local\\c", "\\\\alone", "\\\\\\srv3\\d")]), (n % 5 + 1).cast("int")).alias("TargetFilename"),
     )
     lines = events(spark, sf).select(F.to_json(row).alias("value"))
-    return lines.select(F.from_json("value", windows_events.WINDOWS_EVENT).alias("e")).select("e.*")
+    return lines.select(F.inline(F.array(F.from_json("value", windows_events.WINDOWS_EVENT))))
 
 
 WINDOWS_SQL = """

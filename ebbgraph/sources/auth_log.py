@@ -23,11 +23,13 @@ def field_count(line: Column) -> Column:
 
 
 def _fields(lines: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Parse text lines; a missing or empty field is null, extra fields are ignored."""
+    """Parse text lines; a missing or empty field is null, extra fields are ignored.
+
+    ``inline`` keeps later filters from being moved below the parse and repeating it.
+    """
     schema = ", ".join(f"{name} string" for name in names)
-    return lines.select(
-        F.from_csv("value", schema, {"escape": '"'}).alias("r"), field_count(F.col("value")).alias("n_fields")
-    ).select("r.*", "n_fields")
+    parsed = F.inline(F.array(F.from_csv("value", schema, {"escape": '"'})))
+    return lines.select(field_count(F.col("value")).alias("n_fields"), parsed)
 
 
 def relative_time(text: Column, epoch_start: int) -> Column:

@@ -43,7 +43,8 @@ def unc_server(path: Column) -> Column:
 def _edge(src: Column, dst: Column, kind: str, protocol: Column, w_0: Column) -> Column:
     return F.struct(
         src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"),
-        protocol.alias("protocol"), w_0.alias("w_0"),
+        protocol.alias("protocol"), F.col("TimeCreated").alias("t_e"), w_0.alias("w_0"),
+        F.lit("sysmon").alias("source_system"), F.col("EventID").cast("string").alias("raw_event_id"),
     )
 
 
@@ -108,13 +109,8 @@ def classify_windows_events(events: DataFrame) -> DataFrame:
 
 
 def windows_edges(events: DataFrame) -> DataFrame:
-    good = classify_windows_events(events).filter(F.col("outcome") == "edge")
-    return normalize_edges(
-        good.select(
-            "edge.*", F.col("TimeCreated").alias("t_e"), F.lit("sysmon").alias("source_system"),
-            F.col("EventID").cast("string").alias("raw_event_id"),
-        )
-    )
+    """Edges of the events that map to one; each event is mapped once."""
+    return normalize_edges(events.select(F.inline(F.array_compact(F.array(mapped_edge())))))
 
 
 def rejected_windows_events(events: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ebbgraph.config import MAX_CONFIG_ROWS, DecayConfig
 from ebbgraph.operators.scale import (
-    HOT_ROWS, dense_index, exact_median, fold_by_key, prefix_sums, segment_hot,
+    HOT_ROWS, dense_index, exact_median, fold_by_key, prefix_sums, salted_join, segment_hot,
 )
 
 MIN_SAMPLES = 30
@@ -106,7 +106,8 @@ def _count_before(gaps_before: Mapping[str, int] | None) -> Column:
 def tick_medians(
     arrived: DataFrame, numbered: DataFrame, *, recent: DataFrame | None = None,
     gaps_before: Mapping[str, int] | None = None, min_samples: int = MIN_SAMPLES,
-    window_gaps: int = WINDOW_GAPS, tick_edges: int = TICK_EDGES, split: bool | None = None,
+    window_gaps: int = WINDOW_GAPS, tick_edges: int = TICK_EDGES, hot_rows: int = HOT_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """(tick, t, protocol, sample_count, median): median of the newest gaps at each tick.
 
@@ -146,7 +147,8 @@ def tick_medians(
         .groupBy("protocol", "upto")
         .agg(F.count("*").cast("int").alias("sample_count"), F.median("gap").alias("median"))
     )
-    return reached.join(medians, ["protocol", "upto"]).select("tick", "t", "protocol", "sample_count", "median")
+    # a protocol that falls silent keeps the same number for all later ticks
+    return salted_join(reached, medians, ["protocol", "upto"], "tick", "inner", hot_rows).select("tick", "t", "protocol", "sample_count", "median")
 
 
 def rolling_gap_medians(
@@ -155,7 +157,8 @@ def rolling_gap_medians(
 ) -> DataFrame:
     """Rolling medians over a whole replay; see ``tick_medians`` for the options."""
     arrived = arrival_gaps(edges, order, hot_rows, split)
-    return tick_medians(arrived, number_gaps(arrived, split=split), split=split, **options)
+    numbered = number_gaps(arrived, split=split)
+    return tick_medians(arrived, numbered, hot_rows=hot_rows, split=split, **options)
 
 
 RECALIBRATION = T.StructType(

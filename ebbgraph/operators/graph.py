@@ -134,19 +134,21 @@ def scheduled_scores(edges: DataFrame, deviations: DataFrame, t: float, hot_rows
     )
 
 
-def alert_neighborhood(completions: DataFrame, edges: DataFrame) -> DataFrame:
+def alert_neighborhood(completions: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(chain_key, entity_id): each alerted entity with its live neighbours.
 
     Works per distinct alerted entity, so it grows with the edges and not with
     alerts times neighbours.
     """
     alerted = completions.select("chain_key").distinct()
-    links = edge_pairs(edges)
-    around = links.select(F.col("src").alias("chain_key"), F.col("dst").alias("entity_id")).union(
-        links.select("dst", "src")
+    both_ways = F.array(
+        F.struct(F.col("src").alias("chain_key"), F.col("dst").alias("entity_id")),
+        F.struct(F.col("dst").alias("chain_key"), F.col("src").alias("entity_id")),
     )
-    near = around.join(alerted, "chain_key", "left_semi")
-    return near.union(alerted.select("chain_key", F.col("chain_key").alias("entity_id"))).distinct()
+    around = edges.select(F.explode(both_ways).alias("p")).select("p.*").distinct()
+    near = salted_join(around, alerted, "chain_key", "entity_id", "inner", hot_rows)
+    itself = alerted.select("chain_key", F.col("chain_key").alias("entity_id"))
+    return near.select("chain_key", "entity_id").union(itself).distinct()
 
 
 def score_alert_neighborhoods(
@@ -157,13 +159,13 @@ def score_alert_neighborhoods(
     ``t`` is the newest completion and ``alerts`` their number; ``per_alert`` lists each
     completion separately.
     """
-    area = alert_neighborhood(completions, edges)
+    area = alert_neighborhood(completions, edges, hot_rows)
     scores = score_entities(edges, deviations, hot_rows=hot_rows)
     alerts = completions.groupBy("chain_key", "motif_name").agg(
         F.max("completed_at").alias("t"), F.count("*").alias("alerts")
     )
     rated = salted_join(area, scores, "entity_id", "chain_key", "inner", hot_rows)
-    return rated.join(alerts, "chain_key").select(
+    return salted_join(rated, alerts, "chain_key", "entity_id", "inner", hot_rows).select(
         "entity_id", "score", "t", F.lit("motif_completion").alias("trigger"), "motif_name",
         "chain_key", "alerts",
     )

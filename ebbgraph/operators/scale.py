@@ -161,18 +161,23 @@ def segment_hot(
 
 
 def salted_join(
-    facts: DataFrame, dims: DataFrame, key: str, spread: str, how: str = "inner",
+    facts: DataFrame, dims: DataFrame, keys: str | Sequence[str], spread: str, how: str = "inner",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join facts to a table unique on ``key``; rows of hot keys are spread over several tasks."""
-    hot = hot_keys(facts, [key], hot_rows)
+    """Join facts to a table with few rows per key; rows of hot keys are spread over several tasks.
+
+    Rows of a hot key take a salt from their ``spread`` column, and only the hot keys'
+    rows of ``dims`` are repeated, once per salt.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hot = hot_keys(facts, keys, hot_rows)
     if hot is None:
-        return facts.join(dims, key, how)
-    salts = F.broadcast(hot.select(key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts")))
+        return facts.join(dims, keys, how)
+    salts = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts")))
     width = F.coalesce("_salts", F.lit(1))
-    left = facts.join(salts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), width).cast("int"))
-    right = dims.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), width - 1)))
-    return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"], how).drop("_salt")
+    left = facts.join(salts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), width).cast("int"))
+    right = dims.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), width - 1)))
+    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
 # --- sequential folds -----------------------------------------------------------

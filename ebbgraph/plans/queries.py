@@ -47,6 +47,20 @@ THREE_STEP = load_motifs(
     }
 )
 
+# Partial credit: the account's hop meets one of two technique filters in most events.
+PARTIAL = load_motifs(
+    {
+        "loose_pivot": {
+            "window_seconds": 14400,
+            "steps": [
+                {"edge_type": "Authentication", "src_type": "Machine", "dst_type": "Machine", "key_field": "dst"},
+                {"edge_type": "RemoteCodeExecution", "protocol": ["DNS", "Kerberos"], "src_type": "User",
+                 "key_field": "src", "key_resolver": "host_admin"},
+            ],
+        }
+    }
+)
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
@@ -443,9 +457,9 @@ def motif_candidates(spark, sf):
     return M.motif_candidates(read_event_edges(spark, sf)).select("motif_name", "chain_key", "stage", "edge_id", "t_e", "score")
 
 
-@query(O.with_edges(O.candidates(fuzzy=True), body="SELECT motif_name, chain_key, stage, edge_id, score FROM cands"))
+@query(O.with_edges(O.candidates(PARTIAL, fuzzy=True), body="SELECT motif_name, chain_key, stage, edge_id, score FROM cands"))
 def fuzzy_candidates(spark, sf):
-    return M.motif_candidates(read_event_edges(spark, sf), fuzzy=True).select("motif_name", "chain_key", "stage", "edge_id", "score")
+    return M.motif_candidates(read_event_edges(spark, sf), PARTIAL, fuzzy=True).select("motif_name", "chain_key", "stage", "edge_id", "score")
 
 
 def completion_columns(df: DataFrame) -> DataFrame:
@@ -461,9 +475,9 @@ def match_motifs(spark, sf):
     return completion_columns(M.match_motifs(read_event_edges(spark, sf)))
 
 
-@query(O.with_edges(O.chains(fuzzy=True, min_confidence=0.75), body=COMPLETIONS))
+@query(O.with_edges(O.chains(PARTIAL, fuzzy=True, min_confidence=0.4), body=COMPLETIONS))
 def match_motifs_fuzzy(spark, sf):
-    return completion_columns(M.match_motifs(read_event_edges(spark, sf), fuzzy=True, min_confidence=0.75))
+    return completion_columns(M.match_motifs(read_event_edges(spark, sf), PARTIAL, fuzzy=True, min_confidence=0.4))
 
 
 @query(O.with_edges(O.chains(THREE_STEP), body=COMPLETIONS))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ebbgraph.config import DecayConfig
 from ebbgraph.operators import calibration, decay
-from ebbgraph.operators.edges import upsert_edges
+from ebbgraph.operators.edges import remove_edges, upsert_edges
 from ebbgraph.schema import COLD_EDGE, EDGE
 from ebbgraph.sources.config_table import load_decay_config, upsert_lambdas
 from ebbgraph.sources.tables import write_cold_edges
@@ -45,11 +45,9 @@ class PruneSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        writes = batch.select(*EDGE.fieldNames(), F.lit(1).alias("_newer"))
-        if batch_id > 0:
-            before = self.live(spark, batch_id - 1).withColumn("_newer", F.lit(0))
-            writes = writes.unionByName(before)
-        edges = upsert_edges(writes, "_newer", "t_e").drop("_newer")
+        edges = upsert_edges(batch.select(*EDGE.fieldNames()), "t_e", "w_0")
+        if batch_id > 0:  # only ids move: the live graph is not shuffled for a small batch
+            edges = remove_edges(self.live(spark, batch_id - 1), edges).unionByName(edges)
         now = batch.agg(F.max("t_e")).first()[0]
         if now is None:
             if batch_id == 0:

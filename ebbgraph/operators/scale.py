@@ -42,10 +42,11 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/ebbgraph-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *folders: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*folders) if folders else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -154,10 +155,12 @@ def segment_hot(
     if hot is None:
         return df, None
     total = hot.agg(F.sum("_n")).first()[0]
-    names = F.broadcast(hot.select(*keys))
     segments = max(2, math.ceil(total / hot_rows))
-    hot_part = range_segments(df.join(names, keys, "left_semi"), [*keys, *order], segments)
-    return df.join(names, keys, "left_anti"), hot_part
+    names = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    marked = df.join(names, keys, "left").select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot"))
+    marked = materialize(marked, "_hot")  # read again by the range sampling and both parts
+    hot_part = range_segments(marked.filter("_hot").drop("_hot"), [*keys, *order], segments)
+    return marked.filter(~F.col("_hot")).drop("_hot"), hot_part
 
 
 def salted_join(

@@ -20,7 +20,7 @@ from ebbgraph.plans import oracle as O
 from ebbgraph.plans import runs
 from ebbgraph.sources import auth_log, tables, windows_events
 from ebbgraph.schema import EDGE
-from ebbgraph.sources.event_table import event_edges, event_labels, read_event_edges
+from ebbgraph.sources.event_table import event_edges, event_labels, read_event_edges, utc_seconds
 from ebbgraph.streaming import batches, continuous, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,7 +162,7 @@ def auth_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Log lines written from the event table, some of them malformed."""
     c, n = F.col, F.col("event_id")
     text = lambda x: x.cast("string")
-    seconds = text(F.floor(F.unix_micros(c("ts").cast("timestamp")) / 1e6).cast("bigint") - 1704067200)
+    seconds = text(F.floor(utc_seconds()).cast("bigint") - 1704067200)
     kind = lambda **by: F.coalesce(*[F.when(c("event_type") == k, F.lit(v)) for k, v in by.items()])
     auth = kind(signup="Kerberos", error="Negotiate", click="NTLM", purchase="Kerberos", view="?")
     logon = kind(signup="Network", error="RemoteInteractive", click="Network", purchase="Batch", view="Service")
@@ -231,7 +231,7 @@ SELECT CAST(CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) - 1704067200 + 1451606400
 FROM events WHERE event_id % 17 <> 0""")
 def label_file(spark, sf):
     c = F.col
-    seconds = (F.floor(F.unix_micros(c("ts").cast("timestamp")) / 1e6).cast("bigint") - 1704067200).cast("string")
+    seconds = (F.floor(utc_seconds()).cast("bigint") - 1704067200).cast("string")
     host = lambda x: F.concat(F.lit("C"), (x % 40).cast("string"))
     line = F.concat_ws(",", seconds, F.concat(F.lit("u"), c("user_id").cast("string"), F.lit("@CORP")), host(c("user_id")), host(c("event_id")))
     path = scale.scratch_path(spark)
@@ -257,7 +257,7 @@ def windows_log(spark: SparkSession, sf: str) -> DataFrame:
         kind(signup=F.lit("Security"), purchase=F.lit("Security"), error=monitor, click=monitor, view=monitor).alias("Channel"),
         kind(signup=logon, purchase=F.when(n % 2 == 0, 5140).otherwise(5145), error=F.lit(1), click=F.lit(3),
              view=F.when(n % 10 == 0, 999).otherwise(11)).alias("EventID"),
-        (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("TimeCreated"),
+        utc_seconds().alias("TimeCreated"),
         F.when(n % 31 != 0, F.concat(F.lit("C"), (n % 40).cast("string"))).alias("Computer"),
         name.alias("TargetUserName"), name.alias("SubjectUserName"), name.alias("User"),
         F.when(n % 3 == 0, 10).otherwise(3).alias("LogonType"),
@@ -843,7 +843,7 @@ def feedback(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("motif_"), F.col("event_type")).alias("motif_name"),
         F.concat(F.lit("Machine:C"), (n % 40).cast("string")).alias("chain_key"),
         F.when(F.col("value") >= 40, "true_positive").otherwise("false_positive").alias("disposition"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("noted_at"),
+        utc_seconds().alias("noted_at"),
         F.lit(None).cast("string").alias("analyst"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbgraph.operators.edges import normalize_edges
@@ -11,6 +11,12 @@ HOSTS = 40
 WEIGHT_UNIT = 50.0
 
 
+def utc_seconds(ts: str = "ts") -> Column:
+    """Epoch seconds of a timestamp without zone taken as UTC, whatever the session zone."""
+    local = F.col(ts).cast("timestamp")
+    return F.unix_micros(F.from_utc_timestamp(local, F.current_timezone())) / 1e6
+
+
 def event_edges(events: DataFrame, hosts: int = HOSTS) -> DataFrame:
     """One edge per event; the event type decides node roles, edge type and protocol."""
     kind = F.col("event_type")
@@ -36,7 +42,7 @@ def event_edges(events: DataFrame, hosts: int = HOSTS) -> DataFrame:
             purchase="FileTransfer", view="Authentication",
         ).alias("edge_type"),
         pick(signup="Kerberos", error="RDP", click="Kerberos", purchase="SMB", view="DNS").alias("protocol"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t_e"),
+        utc_seconds().alias("t_e"),
         (F.col("value") / WEIGHT_UNIT).alias("w_0"),
         F.lit("events").alias("source_system"),
         text(F.col("event_id")).alias("raw_event_id"),
@@ -52,7 +58,7 @@ def event_labels(events: DataFrame, floor: float = 150.0) -> DataFrame:
     """Labels taken from the heaviest error events."""
     picked = events.filter((F.col("event_type") == "error") & (F.col("value") >= floor))
     return picked.select(
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
+        utc_seconds().alias("t"),
         F.concat(F.lit("C"), (F.col("user_id") % HOSTS).cast("string"), F.lit("-admin")).alias("user"),
         F.concat(F.lit("C"), (F.col("user_id") % HOSTS).cast("string")).alias("source_computer"),
         F.concat(F.lit("C"), (F.col("event_id") % HOSTS).cast("string")).alias("destination_computer"),

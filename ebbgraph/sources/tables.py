@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbgraph.operators.edges import normalize_edges, to_json
@@ -31,9 +31,14 @@ def replay_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> D
     return normalize_edges(raw)
 
 
+def event_day(t: Column) -> Column:
+    """UTC day of an epoch time, independent of the session zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(t / 86400).cast("int"))
+
+
 def write_cold_edges(cold: DataFrame, path: str, mode: str = "append") -> None:
     """Cold records by event day. Ranges of t_e keep each task to few days, so few files."""
-    day = F.to_date(F.timestamp_seconds("t_e"))
+    day = event_day(F.col("t_e"))
     (
         cold.select(*COLD_EDGE.fieldNames(), day.alias("day"))
         .repartitionByRange("t_e", "edge_id").sortWithinPartitions("day", "t_e")
@@ -47,7 +52,7 @@ def read_cold_edges(spark: SparkSession, path: str) -> DataFrame:
 
 def cold_between(spark: SparkSession, path: str, start: float, end: float) -> DataFrame:
     """Cold edges of a time range; only the day folders it covers are opened."""
-    day = lambda t: F.to_date(F.timestamp_seconds(F.lit(float(t))))
+    day = lambda t: event_day(F.lit(float(t)))
     rows = spark.read.parquet(path).filter(F.col("day").between(day(start), day(end)))
     return rows.filter(F.col("t_e").between(F.lit(float(start)), F.lit(float(end)))).select(*COLD_EDGE.fieldNames())
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ebbgraph.functions.columns import safe_ratio
 from ebbgraph.operators.baseline import Z_THRESHOLD, flag_anomalies
-from ebbgraph.operators.scale import HOT_ROWS, segment_hot
+from ebbgraph.operators.scale import HOT_ROWS, materialize, segment_hot
 
 ANOMALY_TOLERANCE = 3600.0
 MOTIF_TOLERANCE = 14400.0
@@ -97,7 +97,8 @@ def _match(
             F.struct(*LABEL_KEY, "copies").alias("label"),
         )
     )
-    near = _near_other_kind(both, tolerance, hot_rows)
+    # stored: detections are few beside the rows they were found in, and are read several times
+    near = _near_other_kind(materialize(both), tolerance, hot_rows)
     rated_events = near.filter(~F.col("is_label")).select("event.*", "hit")
     rated_labels = (
         near.filter("is_label").select("label.*", "hit")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbgraph.operators.scale import HOT_ROWS, segment_hot
+from ebbgraph.operators.scale import HOT_ROWS, materialize, segment_hot
 
 ALPHA = 0.3
 MIN_PRIOR_ROWS = 2
@@ -61,13 +61,13 @@ class _Decayed:
         return df.withColumn(name, total).drop("_in", "_prev", "_end")
 
 
-def _score(df: DataFrame, groups: list[str], alpha: float, carry: bool = False) -> DataFrame:
-    """Signals for rows that have rn (1-based within ``groups``), the key's first value
-    ``_first`` and, with ``carry``, the state left by earlier segments."""
+def _walk(df: DataFrame, groups: list[str], alpha: float, carry: bool = False) -> DataFrame:
+    """Mean, step and variance columns for rows that have rn (1-based within ``groups``), the
+    key's first value ``_first`` and, with ``carry``, the mean state left by earlier segments.
+    The variance counts this segment's own steps only."""
     run = _Decayed(groups, alpha)
     n_in = F.col("_n_in") if carry else F.lit(0)
     m_in = F.col("_m_in") if carry else None
-    v_in = F.col("_v_in") if carry else None
 
     df = run.blocks(df).withColumn("_y", F.col("value") - F.col("_first"))
     df = run.running(df, "_m", F.lit(alpha) * F.col("_y"), m_in)
@@ -79,26 +79,32 @@ def _score(df: DataFrame, groups: list[str], alpha: float, carry: bool = False)
     step = F.when(F.abs(step) <= size * 4e-16, F.lit(0.0)).otherwise(step)
     first_row = (F.col("rn") == 1) & (n_in == 0)
     df = df.withColumn("_step", F.when(first_row, F.lit(0.0)).otherwise(step))
-    df = run.running(df, "_v", F.lit(alpha * run.q) * F.col("_step") * F.col("_step"), v_in)
-
-    prior_var = F.coalesce(F.lag("_v").over(run.ordered), v_in if carry else F.lit(0.0))
+    df = run.running(df, "_v", F.lit(alpha * run.q) * F.col("_step") * F.col("_step"), None)
     moved = F.coalesce(F.max(F.abs("_y")).over(run.before), F.lit(0.0))
     if carry:
         moved = F.greatest(moved, F.col("_moved_in"))
-    df = df.withColumns({"_v0": prior_var, "_moved": moved})
+    return df.withColumns(
+        {
+            "_v0": F.coalesce(F.lag("_v").over(run.ordered), F.lit(0.0)),
+            "_moved": moved, "_count": F.col("rn") + n_in,
+        }
+    )
+
+
+def _signals(walked: DataFrame) -> DataFrame:
     # rounding keeps the spread of a history that has changed once from reaching zero
-    floor = F.when(F.col("_moved") > 0, F.abs(F.col("_m0") + F.col("_first")) * 1e-16).otherwise(F.lit(0.0))
+    mean_before = F.col("_m0") + F.col("_first")
+    floor = F.when(F.col("_moved") > 0, F.abs(mean_before) * 1e-16).otherwise(F.lit(0.0))
     prior_std = F.greatest(F.sqrt(F.greatest(F.lit(0.0), F.col("_v0"))), floor)
-    count = F.col("rn") + n_in
-    z = F.when((count > MIN_PRIOR_ROWS) & (prior_std > 0), F.col("_step") / prior_std)
-    return df.withColumns(
+    z = F.when((F.col("_count") > MIN_PRIOR_ROWS) & (prior_std > 0), F.col("_step") / prior_std)
+    return walked.withColumns(
         {
             "baseline_mean": F.col("_m") + F.col("_first"),
             "baseline_std": F.sqrt(F.greatest(F.lit(0.0), F.col("_v"))),
-            "sample_count": count.cast("int"),
+            "sample_count": F.col("_count").cast("int"),
             "z_score": z,
         }
-    )
+    ).select(*SIGNAL)
 
 
 def _jump_to_newest(df: DataFrame, groups: list[str]) -> DataFrame:
@@ -147,11 +153,11 @@ def _segment_carries(hot: DataFrame, alpha: float) -> DataFrame:
     ).drop("_m_end", "_moved_here")
 
 
-def _variance_carries(scored: DataFrame, alpha: float) -> DataFrame:
+def _variance_carries(walked: DataFrame, alpha: float) -> DataFrame:
     """Variance before each segment, from the variance each segment adds on its own."""
     q = 1.0 - alpha
     earlier = Window.partitionBy(*KEYS).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    own = scored.groupBy(*KEYS, "_seg").agg(
+    own = walked.groupBy(*KEYS, "_seg").agg(
         F.count("*").alias("n"), F.max_by("_v", "rn").alias("x")
     )
     parts = F.collect_list(F.struct("n", "x")).over(earlier)
@@ -161,13 +167,19 @@ def _variance_carries(scored: DataFrame, alpha: float) -> DataFrame:
     )
 
 
-def _score_hot(hot: DataFrame, alpha: float) -> DataFrame:
+def _hot_signals(hot: DataFrame, alpha: float) -> DataFrame:
+    """Walk every segment once, then add what earlier segments leave of their variance."""
     seg_keys = [*KEYS, "_seg"]
-    carries = F.broadcast(_segment_carries(hot, alpha))
+    carries = F.broadcast(_segment_carries(hot, alpha))  # one row per segment
     rows = hot.join(carries, seg_keys).withColumn("rn", F.col("_pos") - F.col("_from") + 1)
-    alone = _score(rows.withColumn("_v_in", F.lit(0.0)), seg_keys, alpha, carry=True)
-    spread = F.broadcast(_variance_carries(alone, alpha))
-    return _score(rows.join(spread, seg_keys), seg_keys, alpha, carry=True)
+    kept = ["t", "value", "edge_id", "rn", "_first", "_m", "_m0", "_step", "_v", "_v0", "_moved", "_count"]
+    walked = materialize(_walk(rows, seg_keys, alpha, carry=True).select(*seg_keys, *kept))
+    spread = F.broadcast(_variance_carries(walked, alpha))  # one row per segment
+    left = lambda age: F.col("_v_in") * F.pow(F.lit(1.0 - alpha), age)
+    walked = walked.join(spread, seg_keys).withColumns(
+        {"_v": F.col("_v") + left(F.col("rn")), "_v0": F.col("_v0") + left(F.col("rn") - 1)}
+    )
+    return _signals(walked)
 
 
 def observations(edges: DataFrame, value: str = "w_0", t: str = "t_e") -> DataFrame:
@@ -193,9 +205,9 @@ def deviation_signals(
     cold, hot = segment_hot(rows, KEYS, ORDER, hot_rows)
     start = Window.partitionBy(*KEYS).orderBy(*ORDER)
     cold = cold.withColumns({"rn": F.row_number().over(start), "_first": F.first("value").over(start)})
-    signals = _score(cold, KEYS, alpha).select(*SIGNAL)
+    signals = _signals(_walk(cold, KEYS, alpha))
     if hot is not None:
-        signals = signals.unionByName(_score_hot(hot, alpha).select(*SIGNAL))
+        signals = signals.unionByName(_hot_signals(hot, alpha))
     return signals
 
 

@@ -1,5 +1,4 @@
 import math
-import random
 import statistics
 
 import pytest

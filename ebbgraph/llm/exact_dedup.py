@@ -44,7 +44,7 @@ def exact_groups(docs: DataFrame, carry: Mapping[str, Column] | None = None) ->
     )
     light = store(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
 
-    by_size = light.groupBy("size").count().where("count > 1").select("size")
+    by_size = store(light.groupBy("size").count().where("count > 1").select("size"))  # distinct lengths: few, of known size
     by_prefix = (
         light.join(by_size, "size", "left_semi").groupBy("size", "prefix").count().where("count > 1").select("size", "prefix")
     )

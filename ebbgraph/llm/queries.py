@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbgraph.llm import decontaminate, exact_dedup, simhash
+from ebbgraph.llm import decontaminate, exact_dedup, secrets, sentencepiece_codec, simhash, token_counts
 from ebbgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The public tokenizer's model file; the driver reads it and ships its bytes, so executors need no copy.
+TOKENIZER = os.environ.get("EBBGRAPH_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def tokenizer_model(path: str = TOKENIZER) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = [secrets.count_of_kind(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(exact_dedup.normalised(), 256)
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), {"text_sha256": digest})
@@ -34,6 +51,18 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.codec(table(spark, sf_dir, "documents"), tokenizer_model())
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_model())
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_exact_dedup, op6_simhash_near_dedup, op9_benchmark_decontamination)
+    f.__name__: f
+    for f in (
+        op4_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op8_sentencepiece_codec,
+        op9_benchmark_decontamination, op10_token_counts,
+    )
 }

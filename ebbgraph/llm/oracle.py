@@ -51,4 +51,23 @@ FROM words LEFT JOIN covered c ON c.doc_id = id LEFT JOIN listed l ON l.doc_id =
 WHERE kind = 'd'
 """
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5, "op9_benchmark_decontamination": OP9}
+OP7 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed AS (
+  SELECT *, row_number() OVER w AS place, lag(role) OVER w IS DISTINCT FROM role AS opens, lead(role) OVER w IS DISTINCT FROM role AS closes
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE WHEN opens THEN length('<turn >') + length(role) + length(regexp_replace(role, '[^<>\\]', '', 'g')) ELSE 0 END
+           + length(text) + length(regexp_replace(text, '[^<>\\]', '', 'g'))
+           + CASE WHEN closes THEN length('</turn>') ELSE length('<next>') END)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op5_exact_dedup": OP5, "op7_chat_formatting": OP7, "op9_benchmark_decontamination": OP9}

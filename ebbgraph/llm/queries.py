@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbgraph.llm import chat, decontaminate, exact_dedup, secrets, sentencepiece_codec, simhash, token_counts
+from ebbgraph.llm import chat, decontaminate, exact_dedup, html_text, secrets, sentencepiece_codec, simhash, token_counts
 from ebbgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def tokenizer_model(path: str = TOKENIZER) -> bytes:
         return f.read()
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -79,7 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op4_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_chat_formatting, op8_sentencepiece_codec,
+        op3_html_extraction, op4_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_chat_formatting, op8_sentencepiece_codec,
         op9_benchmark_decontamination, op10_token_counts,
     )
 }

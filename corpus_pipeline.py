@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbgraph.llm import decontaminate, exact_dedup, simhash
+from ebbgraph.llm import decontaminate, exact_dedup, quality, sentencepiece_codec, simhash
 from ebbgraph.llm.common import store, table
+from ebbgraph.llm.queries import tokenizer_model
+
+
+def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for junk or toxic go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +31,18 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids, and the digest of what they decode to."""
+    return sentencepiece_codec.codec(docs, tokenizer_model())
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", drop_bad),
     ("exact dedup", drop_copies),
     ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_benchmark),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
 #: SQL can express neither the classifier, nor the linked fingerprints, nor the tokenizer.

@@ -2,6 +2,36 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH lines AS (
+  SELECT doc_id, n - 1 AS n, trim(l[n], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line,
+         len(regexp_extract_all(l[n], '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(generate_series(1, len(l))) AS u(n)
+), full_lines AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY n) AS total FROM lines WHERE words > 0
+), ends AS (
+  SELECT a.doc_id, a.n AS first, min(b.n) AS last
+  FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.n >= a.n AND b.total - a.total + a.words >= 50
+  GROUP BY a.doc_id, a.n
+), windows AS (
+  SELECT e.doc_id, first, last, string_agg(line, chr(10) ORDER BY n) AS content
+  FROM ends e JOIN full_lines f ON e.doc_id = f.doc_id AND n BETWEEN first AND last GROUP BY ALL
+), later AS (
+  SELECT doc_id, first, last FROM windows
+  QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, first) > 1
+), gone AS (
+  SELECT DISTINCT l.doc_id, n FROM lines l JOIN later w ON l.doc_id = w.doc_id AND n BETWEEN first AND last
+), numbered AS (
+  SELECT doc_id, n, l[n + 1] AS raw
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(generate_series(0, len(l) - 1)) AS u(n)
+), kept AS (
+  SELECT a.doc_id, a.n, raw, g.n IS NOT NULL AS deleted FROM numbered a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.n = g.n
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (deleted) AS n_deleted,
+       coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (NOT deleted), '') AS text
+FROM kept GROUP BY doc_id
+"""
+
 OP5 = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -70,4 +100,6 @@ SELECT conv_id, count(*) AS n_turns,
 FROM placed GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5, "op7_chat_formatting": OP7, "op9_benchmark_decontamination": OP9}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": OP1, "op5_exact_dedup": OP5, "op7_chat_formatting": OP7, "op9_benchmark_decontamination": OP9,
+}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbgraph.llm import chat, decontaminate, exact_dedup, html_text, secrets, sentencepiece_codec, simhash, token_counts
+from ebbgraph.llm import chat, decontaminate, exact_dedup, html_text, lines, quality, secrets, sentencepiece_codec, simhash, token_counts
 from ebbgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,15 @@ def tokenizer_model(path: str = TOKENIZER) -> bytes:
         return f.read()
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -83,7 +92,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_html_extraction, op4_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_chat_formatting, op8_sentencepiece_codec,
+        op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_chat_formatting, op8_sentencepiece_codec,
         op9_benchmark_decontamination, op10_token_counts,
     )
 }

@@ -133,12 +133,15 @@ def find_secrets(docs: DataFrame, random: DataFrame | None = None, ordinary: Dat
     ``random`` and ``ordinary``: labelled samples, column ``value``; by default from the corpus and generated.
     """
     found = store(scan(docs))
+    others = found.select(F.explode("tokens").alias("m")).select("m.value")
     if random is None:
         caught = found.select(F.explode(F.concat("assign", "access", "hex")).alias("m")).select("m.value")
         random = caught.unionByName(generated_samples(docs.sparkSession))
-    if ordinary is None:
-        ordinary = found.select(F.explode("tokens").alias("m")).select("m.value")
-    ratios = log_ratios(pair_counts(random), pair_counts(ordinary))
+    of_random = pair_counts(random)
+    ratios = log_ratios(of_random, pair_counts(others if ordinary is None else ordinary))
+    if ordinary is None:  # once more without the tokens that the first model holds for random
+        value = F.col("value")
+        ratios = log_ratios(of_random, pair_counts(others.where(~mixed(value) | (log_likelihood_ratio(value, ratios) <= 0))))
     secret = F.filter("tokens", lambda t: mixed(t["value"]) & (log_likelihood_ratio(t["value"], ratios) > threshold))
     kinds = (F.col("assign"), F.col("access"), F.col("hex"), secret)
     spans = [_of_kind(k, matches) for k, matches in enumerate(kinds)]

@@ -20,20 +20,25 @@ SPACE = "▁"
 NORMAL, UNKNOWN, BYTE, UNUSED = 1, 2, 6, 5  # fixed values: the format's piece types
 UNIGRAM, BPE = 1, 2  # fixed values: the format's model types
 UNKNOWN_PENALTY = 10.0  # fixed value: the library's score of an unknown character below the worst piece
-MEMO = 300_000  # entries of a memo at most; a full one starts anew
+MEMO = 200_000  # entries of half a memo at most
 
 
 class Memo(dict):
-    """Values made on first use, at most ``MEMO`` of them."""
+    """Values made on first use. A full memo keeps what it has as the older half and starts anew."""
 
     def __init__(self, make: Callable):
         super().__init__()
         self.make = make
+        self.older: dict = {}
 
     def __missing__(self, key):
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -58,6 +63,7 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         #: neighbouring characters inside any piece: elsewhere no piece crosses, and all paths meet
         self.bound = {a + b for p in self.ids for a, b in zip(p, p[1:])}
+        self.letters = frozenset(p for p in self.ids if len(p) == 1)
         self.words = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
@@ -132,6 +138,10 @@ class Pieces:
                 out[at - start].append(piece)
         return out
 
+    def known(self, text: str) -> bool:
+        """Whether every character is a piece, so that every boundary ends one."""
+        return self.letters.issuperset(text)
+
     def segments(self, word: str) -> list[str]:
         """A text cut wherever no piece can cross."""
         out, start, bound = [], 0, self.bound

@@ -57,7 +57,19 @@ class Encoder:
         return b"".join(self.short[s] if len(s) <= SHORT else b"".join(self.stream(s)) for s in self.v.segments(word))
 
     def _segment(self, segment: str) -> bytes:
-        return b"".join(self.stream(segment))
+        """The ids of a short segment, whose window is all of it; simpler where every character is a piece."""
+        v = self.v
+        if not v.known(segment):
+            return b"".join(self.stream(segment))
+        fits, parts = v.fits, v.parts
+        last: list[str | None] = [None] * (len(segment) + 1)
+        for end, piece in v.automaton.iter(segment):
+            end += 1
+            if last[end] is None:
+                start = end - len(piece)
+                if fits[last[start], piece] if start else parts[piece] is not None:
+                    last[end] = piece
+        return self._ids(last, len(segment))
 
     def stream(self, text: str) -> Iterator[bytes]:
         """Committed ids, in order."""

@@ -24,7 +24,7 @@ SHORT = 64
 class Counter:
     def __init__(self, vocabulary: Pieces):
         self.v = vocabulary
-        self.short = Memo(self._count)
+        self.short = Memo(self._short)
         self.by_word = Memo(self._word)
 
     def count(self, text: str | None) -> int:
@@ -38,6 +38,22 @@ class Counter:
     def _word(self, word: str) -> int:
         return sum(self.short[s] if len(s) <= SHORT else self._count(s) for s in self.v.segments(word))
 
+    def _short(self, text: str) -> int:
+        """The count of a short segment; without a ring, and simpler where every character is a piece."""
+        v = self.v
+        if not v.known(text):
+            return self._count(text)
+        fits, parts = v.fits, v.parts
+        last: list[str | None] = [None] * (len(text) + 1)
+        count = [0] * (len(text) + 1)
+        for end, piece in v.automaton.iter(text):
+            end += 1
+            if last[end] is None:
+                start = end - len(piece)
+                if fits[last[start], piece] if start else parts[piece] is not None:
+                    last[end], count[end] = piece, count[start] + 1
+        return count[-1]
+
     def _count(self, text: str) -> int:
         v, by_fit, ring = self.v, self.v.kind == BPE, self.v.longest + 1
         last: list[str | None] = [None] * ring  # the state of boundary b is at b % ring

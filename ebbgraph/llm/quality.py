@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Sequence
 from itertools import chain
 from operator import eq
 
@@ -34,13 +35,16 @@ SAMPLE = 8000
 BUCKETS = 1 << 18
 LEAST_SCORE = 5.0  # standard deviations that a feature's share of bad documents must lie off the sample's
 LEAST_DOCUMENTS = 5  # of the sample, for a feature to get a weight
+UNCERTAIN = 0.1  # what a document without a gold label counts beside those with one
 ROUNDS = 300
-PRIOR_STRENGTH = 0.05  # of the penalty on squared weights
-PREFIX = 5  # bytes of a word's beginning that are a feature too
+MOST_WEIGHT = 1.5  # of a bad document, where few are bad
+PRIOR_STRENGTH = 0.02  # of the penalty on squared weights
+PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are features too
 ASPECTS = ("low", "toxic")
 NOTHING, GOOD, BAD = 0, 1, 2
 
 UPPER, LETTERS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123))
+BARE = frozenset(range(33, 48)) | frozenset(range(58, 65)) | frozenset(range(91, 97)) | frozenset(range(123, 127))  # ASCII marks
 SYMBOLS = b"#%*$&|@^~=<>{}[]\\"
 #: Words of abuse that the lexicon labeller knows; the scorer learns others from labels.
 ABUSE = frozenset(
@@ -63,6 +67,7 @@ def statistics(utf8: bytes) -> tuple[dict[str, float], set[bytes]]:
         "symbols": (len(utf8) - len(utf8.translate(None, SYMBOLS))) / few,
         "shouting": (len(utf8) - len(utf8.translate(None, UPPER)) + 5 * SHRINK * USUAL["shouting"]) / some,
         "exclaiming": utf8.count(b"!") / few,
+        "bare": sum(map(BARE.issuperset, words)) / few,
         "repeating": sum(map(eq, words, words[1:])) / few,
         "short": (sum(map((3).__ge__, map(len, words))) + SHRINK * USUAL["short"]) / few,
         "length": (len(utf8) + SHRINK * USUAL["length"]) / few,
@@ -70,10 +75,14 @@ def statistics(utf8: bytes) -> tuple[dict[str, float], set[bytes]]:
     }, distinct
 
 
-#: aspect: (measure, good below or at, bad from); a high value is bad
+#: From what a measure speaks of junk; a labeller for each says bad from there on, else nothing.
+LIMITS = {"symbols": 0.3, "shouting": 0.6, "exclaiming": 0.5, "repeating": 0.3, "bare": 0.25, "length": 12.0}
+#: Measures that an aspect is judged by; words count for each.
+JUDGED_BY = {"low": ("symbols", "shouting", "exclaiming", "bare", "repeating", "short", "length"), "toxic": ("abuse",)}
+#: aspect: (measure, good up to, bad from); ``oddness`` is the largest share of its limit that a measure reaches
 LABELLERS: dict[str, tuple[tuple[str, float, float], ...]] = {
-    "low": (("symbols", 0.15, 0.5), ("shouting", 0.25, 0.6), ("exclaiming", 0.2, 0.8), ("repeating", 0.1, 0.4), ("length", 9.0, 14.0)),
-    "toxic": (("abuse", 0.0, 1.0), ("abuse", 0.0, 2.0), ("exclaiming", 0.05, 3.0)),
+    "low": (*((name, -1.0, limit) for name, limit in LIMITS.items()), ("oddness", 0.7, 1.0)),
+    "toxic": (("abuse", 0.0, 1.0), ("abuse", -1.0, 2.0), ("abuse", -1.0, 4.0)),
 }
 
 
@@ -81,7 +90,7 @@ def pattern(measures: dict[str, float], aspect: str) -> int:
     """All labellers' votes as one number, base 3."""
     out = 0
     for name, good, bad in LABELLERS[aspect]:
-        x = measures[name]
+        x = max(measures[k] / limit for k, limit in LIMITS.items()) if name == "oddness" else measures[name]
         out = 3 * out + (BAD if x >= bad else GOOD if x <= good else NOTHING)
     return out
 
@@ -125,15 +134,18 @@ def estimate(counts: dict[tuple[int, int | None], int], aspect: str, rounds: int
     return {p: float(x) for (p, _), x in zip(keys, rated)}, [a / b for a, b in zip(right, cast)]
 
 
+MEASURES = ("symbols", "shouting", "exclaiming", "bare", "repeating", "short", "length", "abuse")
+STEPS = {name: (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.5, 3, 5, 7, 9, 12, 16) for name in MEASURES} | {"abuse": (0, 1, 2, 3)}
+
+
 def statistic_features(measures: dict[str, float]) -> list[int]:
     """The steps that each measure exceeds, hashed."""
-    steps = {name: (0, 1, 2, 3) if name == "abuse" else (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.5, 3, 5, 7, 9, 12, 16) for name in measures}
-    return [zlib.crc32(f"{k} > {s}".encode()) % BUCKETS for k, x in measures.items() for s in steps[k] if x > s]
+    return [zlib.crc32(f"{k} > {s}".encode()) % BUCKETS for k, x in measures.items() for s in STEPS[k] if x > s]
 
 
-def word_features(word: bytes) -> tuple[int, int]:
-    """A word and its beginning, hashed."""
-    return zlib.crc32(word) % BUCKETS, zlib.crc32(b"^" + word[:PREFIX]) % BUCKETS
+def word_features(word: bytes) -> tuple[int, ...]:
+    """A word and its beginnings, hashed."""
+    return zlib.crc32(word) % BUCKETS, *(zlib.crc32(b"^" + word[:n]) % BUCKETS for n in PREFIXES if len(word) >= n)
 
 
 def hashed(utf8: bytes | None) -> list[int]:
@@ -142,27 +154,36 @@ def hashed(utf8: bytes | None) -> list[int]:
     return sorted({*statistic_features(measures), *(f for w in words for f in word_features(w))})
 
 
-def fit(rows: list[list[int]], targets: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def foreign(aspect: str) -> list[int]:
+    """The statistic features that do not speak of an aspect."""
+    return statistic_features({k: float("inf") for k in MEASURES if k not in JUDGED_BY[aspect]})
+
+
+def fit(rows: list[list[int]], targets: np.ndarray, certain: np.ndarray | None = None, without: Sequence[int] = (), rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer of binary features, by adaptive gradient descent.
 
     Only features whose share of bad documents clearly differs from the sample's get a weight.
+    ``without`` names features that get none. Rows that are not ``certain`` count ``UNCERTAIN`` as much as the others, if there are others.
     """
     weights = np.zeros(BUCKETS, np.float64)
     if not rows:
         return weights, -1.0
     columns = np.concatenate([np.asarray(r, np.int64) for r in rows])
     lines = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    share = float(np.clip(targets.mean(), 1e-6, 1 - 1e-6))
-    seen, bad = np.bincount(columns, minlength=BUCKETS), np.bincount(columns, targets[lines], BUCKETS)
-    off = np.abs(bad - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+    counted = np.where(certain, 1.0, UNCERTAIN) if certain is not None and certain.any() else np.ones(len(rows))
+    share = float(np.clip(np.average(targets, weights=counted), 1e-6, 1 - 1e-6))
+    seen, bad = (np.bincount(columns, x[lines], BUCKETS) for x in (counted, counted * targets))
+    off = np.abs(bad - seen * share) / np.sqrt(np.maximum(seen, 1e-3) * share * (1 - share))
     used = (seen >= LEAST_DOCUMENTS) & (off >= LEAST_SCORE)
+    used[list(without)] = False
     inside = used[columns]
+    counted = counted * np.where(targets >= 0.5, min(MOST_WEIGHT, (1 - share) / share), 1.0)  # both classes count alike
     kept = np.flatnonzero(used)
     columns, lines = np.searchsorted(kept, columns[inside]), lines[inside]
     small, steps, bias, bias_step = np.zeros(len(kept)), np.full(len(kept), 1e-8), 0.0, 1e-8
     for _ in range(rounds):
         margin = np.bincount(lines, small[columns], len(rows)) + bias
-        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - targets
+        error = counted * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - targets)
         slope = np.bincount(columns, error[lines], len(kept)) + PRIOR_STRENGTH * small
         steps += slope**2
         small -= 0.5 * slope / np.sqrt(steps)
@@ -224,7 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sco
     fitted = []
     for a in ASPECTS:
         targets = np.array([float(r[f"gold_{a}"]) if r[f"gold_{a}"] is not None else chances[a][r[a]] for r in taken])
-        fitted.append(fit([r["f"] for r in taken], targets))
+        certain = np.array([r[f"gold_{a}"] is not None for r in taken])
+        fitted.append(fit([r["f"] for r in taken], targets, certain, foreign(a)))
     return Scorer(fitted), accuracies
 
 

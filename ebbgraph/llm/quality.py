@@ -168,8 +168,8 @@ def fit(rows: list[list[int]], targets: np.ndarray, certain: np.ndarray | None =
     weights = np.zeros(BUCKETS, np.float64)
     if not rows:
         return weights, -1.0
-    columns = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    lines = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    columns = np.concatenate([np.asarray(r, np.int32) for r in rows])
+    lines = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     counted = np.where(certain, 1.0, UNCERTAIN) if certain is not None and certain.any() else np.ones(len(rows))
     share = float(np.clip(np.average(targets, weights=counted), 1e-6, 1 - 1e-6))
     seen, bad = (np.bincount(columns, x[lines], BUCKETS) for x in (counted, counted * targets))
@@ -236,17 +236,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sco
     chosen = rows.select("doc_id", "text_key", *ASPECTS, *[f"gold_{a}" for a in ASPECTS]).orderBy(
         *golds, F.xxhash64("text_key", "doc_id"), "doc_id"
     ).limit(sample)
-    features = rowwise(lambda: hashed, "array<int>")
+    features = rowwise(lambda: lambda utf8: np.array(hashed(utf8), np.int32).tobytes(), "binary")
     texts = docs.select("doc_id", "text", text_key().alias("text_key"))
     picked = F.broadcast(chosen.withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key"))  # at most ``sample`` rows
     joined = texts.join(picked, texts["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
     taken = joined.select(features(F.col("text").cast("binary")).alias("f"), *ASPECTS, *[f"gold_{a}" for a in ASPECTS]).limit(2 * sample).collect()
     drop(rows)
-    fitted = []
+    fitted, features_of = [], [np.frombuffer(r["f"], np.int32) for r in taken]
     for a in ASPECTS:
         targets = np.array([float(r[f"gold_{a}"]) if r[f"gold_{a}"] is not None else chances[a][r[a]] for r in taken])
         certain = np.array([r[f"gold_{a}"] is not None for r in taken])
-        fitted.append(fit([r["f"] for r in taken], targets, certain, foreign(a)))
+        fitted.append(fit(features_of, targets, certain, foreign(a)))
     return Scorer(fitted), accuracies
 
 

@@ -78,14 +78,14 @@ def keep_marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     ``marks`` has a row for each document that needs something done: doc_id, text_key, dropped
     (boolean) and copies (how often the row occurs). Documents without a mark stay. Of a row that
-    stays and occurs several times, one copy stays. The join falls to Catalyst: a broadcast only
-    while the marks' files are under its threshold, else a sort-merge join that can split hot keys.
+    stays and occurs several times, one copy stays. The join is a merge join at every size, as marks
+    grow with the documents; adaptive execution splits a hot key.
     """
     id_, key, gone, copies = (fresh(f"mark_{x}", docs.columns) for x in ("doc", "key", "gone", "copies"))
     renamed = marks.select(
         F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("dropped").alias(gone), F.col("copies").alias(copies)
     )
-    joined = docs.join(renamed, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_key() == F.col(key)), "left").where(
+    joined = docs.join(renamed.hint("merge"), docs["doc_id"].eqNullSafe(F.col(id_)) & (text_key() == F.col(key)), "left").where(
         ~F.coalesce(F.col(gone), F.lit(False))
     )
     if marks.where("not dropped and copies > 1").isEmpty():

@@ -63,10 +63,6 @@ class DecayConfig:
         default_factory=lambda: {name: row[2] for name, row in SEED_DECAY.items()}
     )
 
-    def __post_init__(self) -> None:
-        if len(self.rates) > MAX_CONFIG_ROWS:
-            raise ValueError(f"decay config holds more than {MAX_CONFIG_ROWS} protocols")
-
     def with_lambda(self, protocol: str, lambda_p: float) -> "DecayConfig":
         return replace(self, rates={**self.rates, protocol: float(lambda_p)})
 

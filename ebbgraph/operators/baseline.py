@@ -30,7 +30,7 @@ class _Decayed:
     def __init__(self, groups: list[str], alpha: float) -> None:
         self.q = 1.0 - alpha
         rate = -math.log(self.q)
-        self.block = max(16, min(4096, math.ceil(20.0 / rate)))
+        self.block = max(16, math.ceil(20.0 / rate))  # q**-block stays near e**20, however small alpha
         self.levels = max(1, math.ceil(40.0 / (rate * self.block)))
         self.rows = Window.partitionBy(*groups, "_blk").orderBy("rn")
         self.inside = self.rows.rowsBetween(Window.unboundedPreceding, 0)
@@ -190,7 +190,7 @@ def observations(edges: DataFrame, value: str = "w_0", t: str = "t_e") -> DataFr
 
 def deviation_signals(
     edges: DataFrame, alpha: float = ALPHA, value: str = "w_0", t: str = "t_e",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One signal per edge: z against the state before it, baseline after it.
 

@@ -7,13 +7,13 @@ import math
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbgraph.config import MAX_CONFIG_ROWS, DecayConfig
+from ebbgraph.config import DecayConfig
 from ebbgraph.operators.scale import (
-    HOT_ROWS, dense_index, exact_median, fold_by_key, prefix_sums, salted_join, segment_hot,
+    HOT_ROWS, dense_index, exact_median, fold_by_key, prefix_sums, segment_hot,
 )
 
 MIN_SAMPLES = 30
@@ -23,9 +23,11 @@ MAX_RELATIVE_CHANGE = 0.25
 
 KEYS = ["src", "protocol"]
 
+GapsBefore = Mapping[str, int] | DataFrame | None
+
 
 def edge_gaps(
-    edges: DataFrame, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int = HOT_ROWS
+    edges: DataFrame, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Every edge with ``gap``: seconds since the entity's previous edge of that protocol.
 
@@ -53,14 +55,14 @@ def edge_gaps(
     return out.select(*wanted, F.when(gap > 0, gap).alias("gap"))
 
 
-def inter_arrival_gaps(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def inter_arrival_gaps(edges: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Positive gaps only, one row each."""
     return edge_gaps(edges, hot_rows=hot_rows).filter(F.col("gap").isNotNull())
 
 
 def calibrate_decay(
     edges: DataFrame, config: DecayConfig | None = None, min_samples: int = MIN_SAMPLES,
-    hot_rows: int = HOT_ROWS, *, split: bool | None = None,
+    hot_rows: int | None = HOT_ROWS, *, split: bool = True,
 ) -> DataFrame:
     """Suggested rate per configured protocol from its median gap."""
     config = config or DecayConfig()
@@ -81,33 +83,40 @@ def calibrate_decay(
 
 
 def arrival_gaps(
-    edges: DataFrame, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int = HOT_ROWS,
-    split: bool | None = None,
+    edges: DataFrame, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int | None = HOT_ROWS,
+    split: bool = True,
 ) -> DataFrame:
     """Every edge with its gap and its ``arrival`` number (0, 1, 2, ...)."""
     return dense_index(edge_gaps(edges, order, hot_rows), list(order), "arrival", split=split)
 
 
-def number_gaps(arrived: DataFrame, gaps_before: Mapping[str, int] | None = None, split: bool | None = None) -> DataFrame:
+def number_gaps(arrived: DataFrame, gaps_before: GapsBefore = None, split: bool = True) -> DataFrame:
     """(protocol, arrival, gap, number): positive gaps numbered 1, 2, ... per protocol."""
     rows = arrived.filter(F.col("gap").isNotNull()).select("protocol", "arrival", "gap")
     numbered = prefix_sums(rows, ["protocol"], ["arrival"], {"number": F.lit(1)}, split=split)
-    return numbered.withColumn("number", F.col("number") + _count_before(gaps_before))
+    return _with_before(numbered, gaps_before, "number")
+
 
+def _before(spark: SparkSession, gaps_before: GapsBefore) -> DataFrame:
+    """(protocol, before): gaps of a protocol seen in earlier batches, as a table."""
+    if gaps_before is None or isinstance(gaps_before, Mapping):
+        gaps_before = spark.createDataFrame(list((gaps_before or {}).items()), "protocol string, gaps long")
+    return gaps_before.select("protocol", F.col("gaps").cast("long").alias("before"))
 
-def _count_before(gaps_before: Mapping[str, int] | None) -> Column:
-    """Gaps of a protocol seen in earlier batches (a handful of protocols)."""
-    total = F.lit(0).cast("long")
-    for protocol, count in (gaps_before or {}).items():
-        total = F.when(F.col("protocol") == protocol, F.lit(int(count))).otherwise(total)
-    return total
+
+def _with_before(df: DataFrame, gaps_before: GapsBefore, number: str) -> DataFrame:
+    """Add earlier batches' gaps to a running number."""
+    if gaps_before is None:
+        return df
+    joined = df.join(_before(df.sparkSession, gaps_before), "protocol", "left")
+    return joined.withColumn(number, F.col(number) + F.coalesce("before", F.lit(0))).drop("before")
 
 
 def tick_medians(
     arrived: DataFrame, numbered: DataFrame, *, recent: DataFrame | None = None,
-    gaps_before: Mapping[str, int] | None = None, min_samples: int = MIN_SAMPLES,
-    window_gaps: int = WINDOW_GAPS, tick_edges: int = TICK_EDGES, hot_rows: int = HOT_ROWS,
-    split: bool | None = None,
+    gaps_before: GapsBefore = None, min_samples: int = MIN_SAMPLES,
+    window_gaps: int = WINDOW_GAPS, tick_edges: int = TICK_EDGES, hot_rows: int | None = HOT_ROWS,
+    split: bool = True,
 ) -> DataFrame:
     """(tick, t, protocol, sample_count, median): median of the newest gaps at each tick.
 
@@ -119,18 +128,21 @@ def tick_medians(
     closing = F.col("arrival") % tick_edges == tick_edges - 1
     ticks = arrived.filter(closing).select(tick.alias("tick"), F.col("t_e").alias("t"))
 
-    # gaps reached by each tick: totals carried over ticks that add none to a protocol
-    found = arrived.select("protocol").distinct().limit(MAX_CONFIG_ROWS).collect()
-    protocols = sorted({row[0] for row in found} | set(gaps_before or {}))
-    if not protocols:
-        protocols = [""]
-    grid = ticks.withColumn("protocol", F.explode(F.array(*[F.lit(p) for p in protocols])))
+    # gaps reached by each tick: a total holds from the tick that reaches it to the one before the next
+    # total, and a protocol has no row before it has min_samples gaps
     added = numbered.groupBy("protocol", tick.alias("tick")).agg(F.count("*").alias("_added"))
-    reached = prefix_sums(
-        grid.join(added, ["protocol", "tick"], "left"),
-        ["protocol"], ["tick"], {"upto": F.coalesce("_added", F.lit(0))}, split=split,
-    )
-    reached = reached.withColumn("upto", F.col("upto") + _count_before(gaps_before)).filter(F.col("upto") >= min_samples)
+    spark = arrived.sparkSession
+    if gaps_before is not None:
+        start = arrived.agg(F.min(tick).alias("tick"))
+        carried = _before(spark, gaps_before).select("protocol", F.lit(0).cast("long").alias("_added"))
+        added = added.unionByName(carried.join(F.broadcast(start), F.col("tick").isNotNull()).select("protocol", "tick", "_added"))  # one row
+        added = added.groupBy("protocol", "tick").agg(F.sum("_added").alias("_added"))
+    totals = prefix_sums(added, ["protocol"], ["tick"], {"upto": F.col("_added")}, split=split)
+    totals = _with_before(totals, gaps_before, "upto").filter(F.col("upto") >= min_samples)
+    end = arrived.agg(F.max(tick).alias("_end"))  # one row
+    following = F.lead("tick").over(Window.partitionBy("protocol").orderBy("tick"))
+    spans = totals.join(F.broadcast(end), F.col("_end").isNotNull()).withColumn("_last", F.coalesce(following - 1, F.col("_end")))
+    reached = spans.select("protocol", "upto", F.explode(F.sequence("tick", "_last")).alias("tick")).join(ticks, "tick")
 
     gaps = numbered.select("protocol", "number", "gap")
     if recent is not None:
@@ -148,12 +160,12 @@ def tick_medians(
         .agg(F.count("*").cast("int").alias("sample_count"), F.median("gap").alias("median"))
     )
     # a protocol that falls silent keeps the same number for all later ticks
-    return salted_join(reached, medians, ["protocol", "upto"], "tick", "inner", hot_rows).select("tick", "t", "protocol", "sample_count", "median")
+    return reached.join(medians, ["protocol", "upto"]).select("tick", "t", "protocol", "sample_count", "median")
 
 
 def rolling_gap_medians(
-    edges: DataFrame, *, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int = HOT_ROWS,
-    split: bool | None = None, **options,
+    edges: DataFrame, *, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int | None = HOT_ROWS,
+    split: bool = True, **options,
 ) -> DataFrame:
     """Rolling medians over a whole replay; see ``tick_medians`` for the options."""
     arrived = arrival_gaps(edges, order, hot_rows, split)
@@ -181,7 +193,7 @@ def _step_toward(current: float, suggested: float, change: float) -> float:
 
 def recalibrate(
     medians: DataFrame, config: DecayConfig | None = None,
-    max_relative_change: float = MAX_RELATIVE_CHANGE, hot_rows: int = HOT_ROWS,
+    max_relative_change: float = MAX_RELATIVE_CHANGE, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Rate changes tick by tick, each limited relative to the protocol's own previous rate."""
     config = config or DecayConfig()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbgraph.config import DecayConfig
+from ebbgraph.config import MAX_CONFIG_ROWS, DecayConfig
 from ebbgraph.functions.columns import decay_weight, epsilon
 from ebbgraph.schema import COLD_EDGE
 
@@ -20,10 +20,11 @@ def as_time(t: float | str | Column) -> Column:
 
 
 def with_lambda(edges: DataFrame, config: DecayConfig | None = None) -> DataFrame:
-    """Attach lambda_p by protocol; the table side is capped in size by the config itself."""
+    """Attach lambda_p by protocol; the rates are broadcast while the config is of a usual size."""
     config = config or DecayConfig()
     rates = config.to_df(edges.sparkSession).select("protocol", F.col("lambda_p").alias("_rate"))
-    joined = edges.join(F.broadcast(rates), "protocol", "left")
+    few = len(config.rates) <= MAX_CONFIG_ROWS
+    joined = edges.join(F.broadcast(rates) if few else rates, "protocol", "left")
     return joined.select(
         *[c for c in edges.columns if c != "lambda_p"], F.coalesce("_rate", F.lit(config.default_lambda)).alias("lambda_p")
     )

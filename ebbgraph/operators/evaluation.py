@@ -20,7 +20,7 @@ MOTIF_TOLERANCE = 14400.0
 LABEL_KEY = ["t", "user", "source_computer", "destination_computer"]
 
 
-def _near_other_kind(rows: DataFrame, tolerance: float, hot_rows: int) -> DataFrame:
+def _near_other_kind(rows: DataFrame, tolerance: float, hot_rows: int | None) -> DataFrame:
     """Add ``hit``: the other kind occurs on the same key within the tolerance.
 
     Rows have key, t, is_label; t need not be unique (an equal time is a distance of 0
@@ -109,7 +109,7 @@ def _match(
 
 def match_anomalies(
     signals: DataFrame, labels: DataFrame, z_threshold: float = Z_THRESHOLD,
-    tolerance: float = ANOMALY_TOLERANCE, hot_rows: int = HOT_ROWS,
+    tolerance: float = ANOMALY_TOLERANCE, hot_rows: int | None = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(flagged signals with hit, labels with hit), matched by acting user."""
     flagged = flag_anomalies(signals, z_threshold)
@@ -122,7 +122,7 @@ def match_anomalies(
 
 def match_motif_alerts(
     completions: DataFrame, labels: DataFrame, tolerance: float = MOTIF_TOLERANCE,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(completions with hit, labels with hit), matched by either computer or the user."""
     events = completions.select(
@@ -173,7 +173,7 @@ def detection_metrics(rated_events: DataFrame, rated_labels: DataFrame, detector
 def detection_report(
     signals: DataFrame, completions: DataFrame, labels: DataFrame, z_threshold: float = Z_THRESHOLD,
     anomaly_tolerance: float = ANOMALY_TOLERANCE, motif_tolerance: float = MOTIF_TOLERANCE,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One row per detector: anomaly and motif."""
     anomaly = match_anomalies(signals, labels, z_threshold, anomaly_tolerance, hot_rows)

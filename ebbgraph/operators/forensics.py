@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbgraph.operators.scale import HOT_ROWS, salted_join
 from ebbgraph.schema import COLD_EDGE
 
 
@@ -26,10 +25,10 @@ def reconstruct_activity(cold: DataFrame, entity: str, start: float, end: float)
     return activity(cold, entity, start, end).orderBy("t_e", "edge_id", "pruned_at")
 
 
-def reconstruct_many(cold: DataFrame, windows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def reconstruct_many(cold: DataFrame, windows: DataFrame) -> DataFrame:
     """The same for a table of (entity, start, end) with one window per entity."""
     touched = cold.withColumn("entity", F.explode(F.array_distinct(F.array("src", "dst"))))
-    joined = salted_join(touched, windows, "entity", "edge_id", "inner", hot_rows)
+    joined = touched.join(windows, "entity")
     return joined.filter(F.col("t_e").between(F.col("start"), F.col("end")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbgraph.functions.columns import shard_index
-from ebbgraph.operators.scale import HOT_ROWS, dense_index, materialize, salted_join
+from ebbgraph.operators.scale import dense_index, materialize
 
 FEATURES = 8
 HIDDEN = 16
@@ -19,14 +19,14 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def edge_index(
-    edges: DataFrame, *, hot_rows: int = HOT_ROWS, split: bool | None = None
+    edges: DataFrame, *, split: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """((node, idx), (edge_id, src_idx, dst_idx)) with dense numbers in node-id order."""
     numbered = dense_index(nodes(edges), ["node"], "idx", split=split)
     ends = edges.select("edge_id", "src", "dst")
     for end in ("src", "dst"):
         side = numbered.select(F.col("node").alias(end), F.col("idx").alias(f"{end}_idx"))
-        ends = salted_join(ends, side, end, "edge_id", "inner", hot_rows)
+        ends = ends.join(side, end)
     return numbered, ends.select("edge_id", "src_idx", "dst_idx")
 
 
@@ -76,14 +76,14 @@ def linked_pairs(edges: DataFrame) -> DataFrame:
 
 
 def gather(
-    pairs: DataFrame, features: DataFrame, names: list[str], hot_rows: int = HOT_ROWS
+    pairs: DataFrame, features: DataFrame, names: list[str]
 ) -> DataFrame:
     """Own values and mean in-neighbour values per node, in one join and one aggregation.
 
     ``pairs`` comes from ``linked_pairs``. Partial aggregation absorbs nodes with many
     incoming edges, salting those with many outgoing ones.
     """
-    rows = salted_join(pairs, features.withColumnRenamed("node", "src"), "src", "dst", "inner", hot_rows)
+    rows = pairs.join(features.withColumnRenamed("node", "src"), "src")
     itself = F.col("n") == 0
     return rows.groupBy(F.col("dst").alias("node")).agg(
         *[F.max(F.when(itself, F.col(c))).alias(c) for c in names],
@@ -92,17 +92,17 @@ def gather(
 
 
 def neighbour_means(
-    pairs: DataFrame, features: DataFrame, names: list[str], hot_rows: int = HOT_ROWS
+    pairs: DataFrame, features: DataFrame, names: list[str]
 ) -> DataFrame:
     """Mean of in-neighbour features per node that has incoming edges."""
-    rows = salted_join(pairs, features.withColumnRenamed("node", "src"), "src", "dst", "inner", hot_rows)
+    rows = pairs.join(features.withColumnRenamed("node", "src"), "src")
     return rows.groupBy(F.col("dst").alias("node")).agg(
         *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"near_{c}") for c in names]
     )
 
 
 def score_entities(
-    edges: DataFrame, deviations: DataFrame, only: DataFrame | None = None, hot_rows: int = HOT_ROWS
+    edges: DataFrame, deviations: DataFrame, only: DataFrame | None = None
 ) -> DataFrame:
     """(entity_id, score) for every node: two rounds of neighbour averaging, then a linear head.
 
@@ -118,7 +118,7 @@ def score_entities(
         F.coalesce("_z", F.lit(0.0)).alias("z"),
     )
     for layer in (1, 2):
-        gathered = gather(links, values, names, hot_rows)
+        gathered = gather(links, values, names)
         near = [f"near_{c}" for c in names]
         units = [f"greatest(0D, {_affine(layer, u, names, near)}) AS h{u}" for u in range(HIDDEN)]
         values = gathered.selectExpr("node", *units)
@@ -127,14 +127,14 @@ def score_entities(
     return scored if only is None else scored.join(only.select("entity_id").distinct(), "entity_id", "left_semi")
 
 
-def scheduled_scores(edges: DataFrame, deviations: DataFrame, t: float, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return score_entities(edges, deviations, hot_rows=hot_rows).select(
+def scheduled_scores(edges: DataFrame, deviations: DataFrame, t: float) -> DataFrame:
+    return score_entities(edges, deviations).select(
         "entity_id", "score", F.lit(float(t)).alias("t"), F.lit("scheduled").alias("trigger"),
         F.lit(None).cast("string").alias("motif_name"),
     )
 
 
-def alert_neighborhood(completions: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def alert_neighborhood(completions: DataFrame, edges: DataFrame) -> DataFrame:
     """(chain_key, entity_id): each alerted entity with its live neighbours.
 
     Works per distinct alerted entity, so it grows with the edges and not with
@@ -145,27 +145,26 @@ def alert_neighborhood(completions: DataFrame, edges: DataFrame, hot_rows: int =
         F.struct(F.col("src").alias("chain_key"), F.col("dst").alias("entity_id")),
         F.struct(F.col("dst").alias("chain_key"), F.col("src").alias("entity_id")),
     )
-    around = edges.select(F.explode(both_ways).alias("p")).select("p.*").distinct()
-    near = salted_join(around, alerted, "chain_key", "entity_id", "inner", hot_rows)
+    near = edges.select(F.explode(both_ways).alias("p")).select("p.*").join(alerted, "chain_key", "left_semi")
     itself = alerted.select("chain_key", F.col("chain_key").alias("entity_id"))
     return near.select("chain_key", "entity_id").union(itself).distinct()
 
 
 def score_alert_neighborhoods(
-    completions: DataFrame, edges: DataFrame, deviations: DataFrame, hot_rows: int = HOT_ROWS
+    completions: DataFrame, edges: DataFrame, deviations: DataFrame
 ) -> DataFrame:
     """Scores around alerted entities, one row per (motif, alerted entity, neighbour).
 
     ``t`` is the newest completion and ``alerts`` their number; ``per_alert`` lists each
     completion separately.
     """
-    area = alert_neighborhood(completions, edges, hot_rows)
-    scores = score_entities(edges, deviations, hot_rows=hot_rows)
+    area = alert_neighborhood(completions, edges)
+    scores = score_entities(edges, deviations)
     alerts = completions.groupBy("chain_key", "motif_name").agg(
         F.max("completed_at").alias("t"), F.count("*").alias("alerts")
     )
-    rated = salted_join(area, scores, "entity_id", "chain_key", "inner", hot_rows)
-    return salted_join(rated, alerts, "chain_key", "entity_id", "inner", hot_rows).select(
+    rated = area.join(scores, "entity_id")
+    return rated.join(alerts, "chain_key").select(
         "entity_id", "score", "t", F.lit("motif_completion").alias("trigger"), "motif_name",
         "chain_key", "alerts",
     )

@@ -128,7 +128,7 @@ def _open_after_last(rows: DataFrame) -> DataFrame:
     )
 
 
-def _two_step(cands: DataFrame, min_confidence: float, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def _two_step(cands: DataFrame, min_confidence: float, hot_rows: int | None) -> tuple[DataFrame, DataFrame]:
     """(completions, open chains) of two-step motifs."""
     cold, hot = segment_hot(cands, KEYS, ORDER, hot_rows)
     rows = _live_starts(cold, KEYS)
@@ -239,13 +239,12 @@ class ChainFold:
 
 
 def attach_prunes(cands: DataFrame, prunes: DataFrame | None) -> DataFrame:
-    """Time each candidate's edge was pruned at or after its own time (null: never)."""
+    """First time each candidate's edge was pruned at or after its own time (null: never)."""
     if prunes is None:
         return cands.withColumn("pruned_at", F.lit(None).cast("double"))
-    gone = prunes.groupBy("edge_id").agg(F.min("pruned_at").alias("pruned_at"))
-    return cands.join(gone, "edge_id", "left").withColumn(
-        "pruned_at", F.when(F.col("pruned_at") >= F.col("t_e"), F.col("pruned_at"))
-    )
+    later = cands.select("edge_id", "t_e").distinct().join(prunes.select("edge_id", "pruned_at"), "edge_id")
+    gone = later.filter(F.col("pruned_at") >= F.col("t_e")).groupBy("edge_id", "t_e").agg(F.min("pruned_at").alias("pruned_at"))
+    return cands.join(gone, ["edge_id", "t_e"], "left")
 
 
 def _folded(
@@ -274,7 +273,7 @@ def _named(df: DataFrame, schema: T.StructType) -> DataFrame:
 def run_motifs(
     edges: DataFrame, motifs: Sequence[Motif] | None = None, *, fuzzy: bool = False,
     min_confidence: float = MIN_CONFIDENCE, timeout: str = "none",
-    prunes: DataFrame | None = None, hot_rows: int = HOT_ROWS, stored: bool = True,
+    prunes: DataFrame | None = None, hot_rows: int | None = HOT_ROWS, stored: bool = True,
 ) -> MotifResult:
     """Match every motif. ``timeout="none"`` keeps a chain until a row of its own decides
     it (a replay); ``"event_time"`` forgets it window_seconds after its last edge.

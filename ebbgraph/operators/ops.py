@@ -47,7 +47,7 @@ def _per_second(count: Column, window: float) -> Column:
 
 
 def rolling_rate(
-    events: DataFrame, t: str, window: float = RATE_WINDOW, *, split: bool | None = None
+    events: DataFrame, t: str, window: float = RATE_WINDOW, *, split: bool = True
 ) -> DataFrame:
     """(t, rate) at every distinct event time over [t - window, t].
 

@@ -13,6 +13,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_BYTES = 64 << 20  # input below this fits one task whatever its key distribution
-HOT_ROWS = 1_000_000  # a key is only worth splitting above this many rows
+HOT_ROWS: int | None = None  # rows from which a key is split; None: twice an average partition, and ``LEAST_HOT``
+LEAST_HOT = 1_000_000  # fewer rows than these fit any task
 
 _local_scratch: list[str] = []
 
@@ -42,9 +43,25 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/ebbgraph-{uuid.uuid4().hex}"
 
 
+_stored: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Delete at the end what ``materialize`` stores inside: for work whose results are written by then."""
+    _stored.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _stored.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, *folders: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession)
+    _stored[-1].append((df.sparkSession, path))
     writer = df.write.partitionBy(*folders) if folders else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -54,16 +71,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the tables a frame reads, from Catalyst's leaf statistics."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    return input_bytes(df) <= SMALL_BYTES
-
-
 # --- global order ------------------------------------------------------------
 
 
@@ -84,10 +91,10 @@ def range_segments(df: DataFrame, order: Sequence[str], segments: int) -> DataFr
 
 
 def dense_index(
-    df: DataFrame, order: Sequence[str], name: str = "idx", *, split: bool | None = None
+    df: DataFrame, order: Sequence[str], name: str = "idx", *, split: bool = True
 ) -> DataFrame:
     """Number rows 0, 1, 2, ... in the given order without a one-task sort of large input."""
-    if not (not is_small(df) if split is None else split):
+    if not split:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     ranged = range_segments(df, order, parallelism(df.sparkSession))
     before = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,11 +111,11 @@ def dense_index(
 
 def prefix_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column],
-    *, split: bool | None = None,
+    *, split: bool = True,
 ) -> DataFrame:
     """Inclusive running totals per key in a total order; balanced even for a single key."""
     keys, order = list(keys), list(order)
-    if not (not is_small(df) if split is None else split):
+    if not split:
         running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(value).over(running) for name, value in sums.items()})
     ranged = range_segments(df, [*keys, *order], parallelism(df.sparkSession))
@@ -127,15 +134,17 @@ def prefix_sums(
 # --- hot keys ------------------------------------------------------------------
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
     """Keys too large for one task, with their row count ``_n``; None when there are none.
 
-    At most four per shuffle partition are returned: any further key holds a smaller
-    share of the rows than a quarter of an average partition, so it needs no splitting.
+    Keys are counted with partial aggregation whatever the input's size. By default a key is hot
+    above twice the rows of an average shuffle partition, so there are fewer than half as many as
+    partitions. With ``hot_rows`` at most four per partition are returned: any further key holds a
+    smaller share of the rows than a quarter of an average partition, so it needs no splitting.
     """
-    if hot_rows >= HOT_ROWS and is_small(df):
-        return None
     spark = df.sparkSession
+    relative = hot_rows is None
+    hot_rows = LEAST_HOT if relative else hot_rows
     found = (
         df.groupBy(*keys).agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > hot_rows)
@@ -143,19 +152,25 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
         .limit(4 * parallelism(spark))
     )
     rows = found.collect()
+    if rows and relative:
+        average = df.count() / parallelism(spark)
+        rows = [row for row in rows if row["_n"] > 2 * average]
     return spark.createDataFrame(rows, found.schema) if rows else None
 
 
 def segment_hot(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Split a frame into (rows of ordinary keys, segmented rows of hot keys or None)."""
+    """Split a frame into (rows of ordinary keys, segmented rows of hot keys or None).
+
+    There are at most four segments for each shuffle partition, whatever the rows.
+    """
     keys = list(keys)
     hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         return df, None
     total = hot.agg(F.sum("_n")).first()[0]
-    segments = max(2, math.ceil(total / hot_rows))
+    segments = max(2, min(math.ceil(total / (hot_rows or LEAST_HOT)), 4 * parallelism(df.sparkSession)))
     names = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     marked = df.join(names, keys, "left").select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot"))
     marked = materialize(marked, "_hot")  # read again by the range sampling and both parts
@@ -163,26 +178,6 @@ def segment_hot(
     return marked.filter(~F.col("_hot")).drop("_hot"), hot_part
 
 
-def salted_join(
-    facts: DataFrame, dims: DataFrame, keys: str | Sequence[str], spread: str, how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join facts to a table with few rows per key; rows of hot keys are spread over several tasks.
-
-    Rows of a hot key take a salt from their ``spread`` column, and only the hot keys'
-    rows of ``dims`` are repeated, once per salt.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = hot_keys(facts, keys, hot_rows)
-    if hot is None:
-        return facts.join(dims, keys, how)
-    salts = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts")))
-    width = F.coalesce("_salts", F.lit(1))
-    left = facts.join(salts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), width).cast("int"))
-    right = dims.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), width - 1)))
-    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
-
-
 # --- sequential folds -----------------------------------------------------------
 
 Fold = Callable[[str | None, pd.DataFrame], tuple[list[tuple], str | None]]
@@ -232,7 +227,7 @@ def _by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def fold_by_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, finish: Finish,
-    schema: T.StructType, hot_rows: int = HOT_ROWS,
+    schema: T.StructType, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Run a state machine over each key's rows in order.
 
@@ -302,14 +297,14 @@ def _settle_entries(hot: DataFrame, keys: list[str], fold: Fold) -> dict[tuple,
 # --- exact median ----------------------------------------------------------------
 
 
-def exact_median(df: DataFrame, group: str, value: str, *, split: bool | None = None) -> DataFrame:
+def exact_median(df: DataFrame, group: str, value: str, *, split: bool = True) -> DataFrame:
     """Exact count and median of positive values per group, for few large groups.
 
-    Large input: two histograms narrow the search to a thin slice of values, and only
+    Two histograms narrow the search to a thin slice of values, and only
     that slice is counted value by value, so no task holds a whole group.
     """
     rows = df.select(group, value).filter(F.col(value).isNotNull())
-    if not (not is_small(df) if split is None else split):
+    if not split:
         return rows.groupBy(group).agg(F.count("*").alias("n"), F.median(value).alias("median"))
     rows = materialize(rows).withColumn("_b1", F.floor(F.log2(value) * 64))
 

@@ -25,6 +25,7 @@ from ebbgraph.streaming import batches, continuous, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+SPLIT_ROWS = 50  # rows from which the split forms cut a key
 ORACLE: dict[str, str] = {}
 
 NOW, EPS = O.NOW, O.EPS
@@ -421,13 +422,29 @@ def cold_edge_lookup(spark, sf):
 SELECT edge_id, entity, protocol, t, value, round(baseline_mean + 1.234e-8, 6) AS baseline_mean,
        round(baseline_std, 6) AS baseline_std, sample_count, round(z_score, 5) AS z_score FROM signals"""))
 def deviation_signals(spark, sf):
-    s = baseline.deviation_signals(read_event_edges(spark, sf))
+    return signal_columns(baseline.deviation_signals(read_event_edges(spark, sf)))
+
+
+def signal_columns(s: DataFrame) -> DataFrame:
     return s.select(
         "edge_id", "entity", "protocol", "t", "value", r6(F.col("baseline_mean") + OFF_TIES).alias("baseline_mean"),
         r6("baseline_std").alias("baseline_std"), "sample_count", F.round("z_score", 5).alias("z_score"),
     )
 
 
+@query(ORACLE["deviation_signals"])
+def deviation_signals_split(spark, sf):
+    """The same with every larger key cut into segments."""
+    return signal_columns(baseline.deviation_signals(read_event_edges(spark, sf), hot_rows=SPLIT_ROWS))
+
+
+@query(O.with_edges(O.SIGNALS.replace("0.3 *", "0.0001 *").replace("0.7 *", "0.9999 *"), body="SELECT edge_id, sample_count, round(baseline_mean + 1.234e-8, 6) AS baseline_mean FROM signals"))
+def deviation_signals_slow(spark, sf):
+    """A baseline with a very long memory."""
+    s = baseline.deviation_signals(read_event_edges(spark, sf), alpha=1e-4)
+    return s.select("edge_id", "sample_count", r6(F.col("baseline_mean") + OFF_TIES).alias("baseline_mean"))
+
+
 @query(O.with_edges(O.SIGNALS, body="SELECT edge_id, entity, round(z_score, 5) AS z_score FROM signals WHERE abs(z_score) >= 3"))
 def flagged_anomalies(spark, sf):
     s = baseline.flag_anomalies(baseline.deviation_signals(read_event_edges(spark, sf)))
@@ -475,6 +492,11 @@ def match_motifs(spark, sf):
     return completion_columns(M.match_motifs(read_event_edges(spark, sf)))
 
 
+@query(O.with_edges(O.chains(), body=COMPLETIONS))
+def match_motifs_split(spark, sf):
+    return completion_columns(M.match_motifs(read_event_edges(spark, sf), hot_rows=SPLIT_ROWS))
+
+
 @query(O.with_edges(O.chains(PARTIAL, fuzzy=True, min_confidence=0.4), body=COMPLETIONS))
 def match_motifs_fuzzy(spark, sf):
     return completion_columns(M.match_motifs(read_event_edges(spark, sf), PARTIAL, fuzzy=True, min_confidence=0.4))
@@ -491,14 +513,15 @@ def match_motifs_timeout(spark, sf):
 
 
 PRUNES = """
-prunes AS (SELECT edge_id, t_e + 1800 * (1 + event_id % 12) AS pruned_at FROM edges WHERE event_id % 3 <> 0)"""
+prunes AS (SELECT edge_id, t_e + 1800 * (1 + event_id % 12) AS pruned_at FROM edges WHERE event_id % 3 <> 0
+           UNION ALL SELECT edge_id, t_e - 600 FROM edges WHERE event_id % 4 = 0)"""
 
 
 def early_prunes(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("raw_event_id").cast("bigint")
-    return read_event_edges(spark, sf).filter(n % 3 != 0).select(
-        "edge_id", (F.col("t_e") + 1800 * (1 + n % 12)).alias("pruned_at")
-    )
+    """Prunes after an edge's time, and for some edges one before it, which resets nothing."""
+    n, edges = F.col("raw_event_id").cast("bigint"), read_event_edges(spark, sf)
+    after = edges.filter(n % 3 != 0).select("edge_id", (F.col("t_e") + 1800 * (1 + n % 12)).alias("pruned_at"))
+    return after.unionByName(edges.filter(n % 4 == 0).select("edge_id", (F.col("t_e") - 600).alias("pruned_at")))
 
 
 @query(O.with_edges(PRUNES, O.chains(prunes="prunes"), body=COMPLETIONS))
@@ -627,6 +650,11 @@ def calibrate_decay(spark, sf):
     return calibration_columns(calibration.calibrate_decay(read_event_edges(spark, sf)))
 
 
+@query(CALIBRATION)
+def calibrate_decay_split(spark, sf):
+    return calibration_columns(calibration.calibrate_decay(read_event_edges(spark, sf), hot_rows=SPLIT_ROWS, split=True))
+
+
 @query(CALIBRATION)
 def calibration_report(spark, sf):
     """The report written as JSON and read back."""
@@ -642,6 +670,18 @@ def rolling_gap_medians(spark, sf):
     return m.select("tick", "t", "protocol", "sample_count", F.round("median", 5).alias("median"))
 
 
+MANY_PROTOCOLS = O.GAPS.replace("FROM edges)", "FROM (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 'P' || event_id ELSE protocol END AS protocol) FROM edges))")
+
+
+@query(O.with_edges(MANY_PROTOCOLS, O.TICKS, body="SELECT tick, t, protocol, sample_count, round(median, 5) AS median FROM medians"))
+def rolling_gap_medians_many_protocols(spark, sf):
+    """Every second edge has a protocol text of its own."""
+    n = F.col("raw_event_id").cast("bigint")
+    edges = read_event_edges(spark, sf).withColumn("protocol", F.when(n % 2 == 0, F.concat(F.lit("P"), n.cast("string"))).otherwise(F.col("protocol")))
+    m = calibration.rolling_gap_medians(edges)
+    return m.select("tick", "t", "protocol", "sample_count", F.round("median", 5).alias("median"))
+
+
 @query(O.with_edges(O.RATES, O.GAPS, O.TICKS, body="""
 , steps AS (
   SELECT m.*, ln(2) / m.median AS suggested, row_number() OVER (PARTITION BY m.protocol ORDER BY tick) AS rn FROM medians m),
@@ -655,11 +695,18 @@ fold AS (
 SELECT protocol, t, sample_count, round(previous, 12) AS previous_lambda_p, round(suggested, 12) AS suggested_lambda_p,
        round(applied, 12) AS applied_lambda_p FROM fold WHERE rn > 0 AND applied <> previous""".lstrip()))
 def adaptive_recalibration(spark, sf):
-    changes = calibration.adaptive_recalibration(read_event_edges(spark, sf))
-    return changes.select(
-        "protocol", "t", "sample_count",
-        *[F.round(c, 12).alias(c) for c in ("previous_lambda_p", "suggested_lambda_p", "applied_lambda_p")],
-    )
+    return rate_columns(calibration.adaptive_recalibration(read_event_edges(spark, sf)))
+
+
+def rate_columns(changes: DataFrame) -> DataFrame:
+    rates = ("previous_lambda_p", "suggested_lambda_p", "applied_lambda_p")
+    return changes.select("protocol", "t", "sample_count", *[F.round(c, 12).alias(c) for c in rates])
+
+
+@query(ORACLE["adaptive_recalibration"])
+def adaptive_recalibration_split(spark, sf):
+    medians = calibration.rolling_gap_medians(read_event_edges(spark, sf), hot_rows=SPLIT_ROWS, split=True)
+    return rate_columns(calibration.recalibrate(medians, hot_rows=SPLIT_ROWS))
 
 
 # --- graph ---------------------------------------------------------------------------------------------------
@@ -803,9 +850,12 @@ def audit_counts(spark, sf):
 
 
 @query(O.with_edges(body="""
-SELECT t_e AS t, round((SELECT count(*) FROM edges o WHERE o.t_e BETWEEN e.t_e - 3600 AND e.t_e) / CAST(3600 AS DOUBLE), 9) AS rate FROM edges e"""))
+, ties AS (SELECT CAST(floor(t_e / 900) * 900 AS DOUBLE) AS t FROM edges)
+SELECT DISTINCT t, round((SELECT count(*) FROM ties o WHERE o.t BETWEEN e.t - 3600 AND e.t) / CAST(3600 AS DOUBLE), 9) AS rate FROM ties e"""))
 def rolling_event_rate(spark, sf):
-    return ops.rolling_rate(read_event_edges(spark, sf), "t_e", 3600.0).select("t", F.round("rate", 9).alias("rate"))
+    """One row for each distinct time; quarter hours, so that many events share one."""
+    ties = read_event_edges(spark, sf).select((F.floor(F.col("t_e") / 900) * 900).cast("double").alias("t"))
+    return ops.rolling_rate(ties, "t", 3600.0).select("t", F.round("rate", 9).alias("rate"))
 
 
 @query(O.with_edges(body=f"SELECT round(count(*) / CAST(86400 AS DOUBLE), 9) AS rate FROM edges WHERE t_e >= {NOW} - 86400"))
@@ -867,9 +917,18 @@ def ranked_motifs(spark, sf):
 # --- streams over the event table ---------------------------------------------------------------------------------
 
 
+STREAM_BATCHES = 4
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event table as a finite stream of edges."""
-    raw = spark.readStream.schema(events(spark, sf).schema).parquet(f"{sf}/events*.parquet")
+    """The event table as a finite stream of edges: four files in order of time, a micro-batch each."""
+    path = scale.scratch_path(spark)
+    table = events(spark, sf)
+    last = table.agg(F.max("event_id")).first()[0]
+    for k in range(STREAM_BATCHES):  # one after the other: the source takes older files first
+        part = table.filter(F.floor(F.col("event_id") * STREAM_BATCHES / (last + 1)) == k)
+        part.coalesce(1).write.parquet(f"{path}/part-{k}")
+    raw = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
     return event_edges(raw)
 
 
@@ -890,11 +949,7 @@ def run_batches(frame: DataFrame, sink: Callable[[DataFrame, int], None]) -> Non
 
 @query(ORACLE["deviation_signals"])
 def stream_deviation_signals(spark, sf):
-    s = run_stream(keyed.stream_deviation(event_stream(spark, sf)), keyed.SIGNAL_LAYOUT)
-    return s.select(
-        "edge_id", "entity", "protocol", "t", "value", r6(F.col("baseline_mean") + OFF_TIES).alias("baseline_mean"),
-        r6("baseline_std").alias("baseline_std"), "sample_count", F.round("z_score", 5).alias("z_score"),
-    )
+    return signal_columns(run_stream(keyed.stream_deviation(event_stream(spark, sf)), keyed.SIGNAL_LAYOUT))
 
 
 @query(ORACLE["match_motifs"])
@@ -904,23 +959,39 @@ def stream_motif_completions(spark, sf):
 
 
 @query(O.with_edges(O.RATES, body="""
-SELECT count(*) AS scanned, count(*) FILTER (w < 0.05) AS pruned, round(CAST(0.05 AS DOUBLE), 6) AS epsilon, max(now) AS t FROM (
-  SELECT now, w_0 * exp(-lambda_p * greatest(0.0, now - t_e)) AS w
-  FROM (SELECT *, max(t_e) OVER () AS now FROM edges) JOIN rates USING (protocol))"""))
+, dealt AS (SELECT *, floor(event_id * 4 / ((SELECT max(event_id) FROM edges) + 1)) AS b FROM edges JOIN rates USING (protocol)),
+passes AS (SELECT b, max(t_e) AS now, lag(max(t_e)) OVER (ORDER BY b) AS before FROM dealt GROUP BY b),
+weighed AS (
+  SELECT p.b, now, w_0 * exp(-lambda_p * greatest(0.0, now - t_e)) AS w
+  FROM passes p JOIN dealt d ON d.b <= p.b AND (d.b = p.b OR w_0 * exp(-lambda_p * greatest(0.0, before - t_e)) >= 0.05))
+SELECT count(*) AS scanned, count(*) FILTER (w < 0.05) AS pruned, round(CAST(0.05 AS DOUBLE), 6) AS epsilon, max(now) AS t FROM weighed GROUP BY b"""))
 def stream_prune_passes(spark, sf):
+    """A pass after each of four micro-batches."""
     sink = batches.PruneSink(scale.scratch_path(spark), FIXED)
     run_batches(event_stream(spark, sf), sink)
     return sink.passes(spark).select("scanned", "pruned", r6("epsilon").alias("epsilon"), "t")
 
 
+@query(O.with_edges(body="SELECT edge_id, w_0 * CASE WHEN event_id % 7 = 0 THEN 0.25 WHEN event_id % 5 = 0 THEN 0.5 ELSE 1 END AS w_0 FROM edges"))
+def stream_upserts(spark, sf):
+    """Edges sent again with a smaller weight, in the same micro-batch and in the next: the later write counts."""
+    edges, n = read_event_edges(spark, sf).select(*EDGE.fieldNames()), F.col("raw_event_id").cast("bigint")
+    again = lambda every, share: edges.filter(n % every == 0).withColumn("w_0", F.col("w_0") * share)
+    first = again(5, 0.5).withColumn("sent", F.lit(1)).unionByName(edges.withColumn("sent", F.lit(0)))
+    path = scale.scratch_path(spark)
+    for k, part in enumerate((first, again(7, 0.25).withColumn("sent", F.lit(0)))):
+        part.coalesce(1).write.parquet(f"{path}/part-{k}")
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
+    sink = batches.PruneSink(scale.scratch_path(spark), decay.PrunePolicy(0.0, 0.0), arrival="sent")
+    run_batches(stream, sink)
+    return sink.live(spark, 1).select("edge_id", "w_0")
+
+
 @query(ORACLE["adaptive_recalibration"])
 def stream_recalibration(spark, sf):
     sink = batches.RecalibrationSink(scale.scratch_path(spark))
     run_batches(event_stream(spark, sf), sink)
-    return sink.events(spark).select(
-        "protocol", "t", "sample_count",
-        *[F.round(c, 12).alias(c) for c in ("previous_lambda_p", "suggested_lambda_p", "applied_lambda_p")],
-    )
+    return rate_columns(sink.events(spark))
 
 
 @query(ORACLE["normalized_edges"])
@@ -939,8 +1010,11 @@ UNION ALL SELECT 'completions', count(*) FROM completions
 UNION ALL SELECT 'active_graph_size', count(*) FROM (SELECT *, max(t_e) OVER () AS now FROM edges) JOIN rates USING (protocol)
 WHERE w_0 * exp(-lambda_p * greatest(0.0, now - t_e)) >= 0.05''')}) USING (product)""")
 def continuous_products(spark, sf):
-    """All products of a continuous run, counted."""
-    run = continuous.ContinuousRun(scale.scratch_path(spark), FIXED, adaptive=True)
+    """All products of a continuous run over four micro-batches, counted.
+
+    With fixed rates: adapted ones reach a pass when they are ready, so counts would depend on timing.
+    """
+    run = continuous.ContinuousRun(scale.scratch_path(spark), FIXED)
     for started in run.start(spark, lambda: event_stream(spark, sf)):
         started.awaitTermination()
     size = run.snapshot(spark, NOW).select(F.lit("active_graph_size").alias("product"), F.col("active_graph_size").alias("n"))

@@ -14,7 +14,7 @@ from ebbgraph.operators.scale import HOT_ROWS, materialize
 
 def evaluate_detectors(
     edges: DataFrame, labels: DataFrame, motifs: Sequence[Motif] | None = None,
-    z_threshold: float = baseline.Z_THRESHOLD, hot_rows: int = HOT_ROWS,
+    z_threshold: float = baseline.Z_THRESHOLD, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Anomaly and motif detectors over a replay, rated against labels. No pruning, so no resets."""
     signals = baseline.deviation_signals(edges, hot_rows=hot_rows)
@@ -22,10 +22,10 @@ def evaluate_detectors(
     return evaluation.detection_report(signals, completions, labels, z_threshold, hot_rows=hot_rows)
 
 
-def score_replay(edges: DataFrame, top_n: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def score_replay(edges: DataFrame, top_n: int | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Scheduled scores of every entity after a replay, largest magnitude first."""
     z = baseline.latest_deviation(baseline.deviation_signals(edges, hot_rows=hot_rows))
-    scores = graph.score_entities(edges, z, hot_rows=hot_rows)
+    scores = graph.score_entities(edges, z)
     if top_n is not None:
         return graph.top_entities(scores, top_n)
     return scores.orderBy(F.desc(F.abs("score")), "entity_id")

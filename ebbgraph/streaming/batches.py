@@ -34,7 +34,8 @@ class PruneSink:
 
     Under ``path``: live/v=N (snapshot after pass N with its prune flags), cold (by batch
     and day), passes (one reading per pass, written last: it publishes the snapshot).
-    Snapshots older than ``keep`` passes are removed.
+    Snapshots older than ``keep`` passes are removed. ``arrival`` names a column of the batch
+    that orders writes of one edge; without it their order in the batch counts.
     """
 
     path: str
@@ -42,10 +43,13 @@ class PruneSink:
     config: ConfigSource = lambda spark: DecayConfig()
     after_pass: Callable[[DataFrame, float, int], None] | None = None
     keep: int = 3
+    arrival: str | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        edges = upsert_edges(batch.select(*EDGE.fieldNames()), "t_e", "w_0")
+        place = self.arrival or F.monotonically_increasing_id()  # of the writes of one edge the last one counts
+        writes = batch.select(*EDGE.fieldNames(), (F.col(place) if isinstance(place, str) else place).alias("_arrival"))
+        edges = upsert_edges(writes, "_arrival").drop("_arrival")
         if batch_id > 0:  # only ids move: the live graph is not shuffled for a small batch
             edges = remove_edges(self.live(spark, batch_id - 1), edges).unionByName(edges)
         now = batch.agg(F.max("t_e")).first()[0]
@@ -93,20 +97,21 @@ class RecalibrationSink:
     window_gaps: int = calibration.WINDOW_GAPS
     tick_edges: int = calibration.TICK_EDGES
     max_relative_change: float = calibration.MAX_RELATIVE_CHANGE
+    keep: int = 3
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         order = ("fresh", "t_e", "edge_id")
         rows = batch.select("src", "protocol", "t_e", "edge_id", F.lit(1).alias("fresh"))
-        recent, before, arrivals = None, {}, 0
+        recent, before, arrivals = None, None, 0
         config = self.base
         if batch_id > 0:
             last = batch_id - 1
             rows = rows.unionByName(spark.read.parquet(f"{self.path}/seen/v={last}"))
             recent = spark.read.parquet(f"{self.path}/recent/v={last}")
-            counts = spark.read.parquet(f"{self.path}/counts/v={last}").collect()  # one row per protocol
-            before = {row["protocol"]: row["gaps"] for row in counts if row["protocol"] is not None}
-            arrivals = next(row["arrivals"] for row in counts if row["protocol"] is None)
+            counts = spark.read.parquet(f"{self.path}/counts/v={last}")
+            before = counts.filter(F.col("protocol").isNotNull()).select("protocol", "gaps")
+            arrivals = counts.filter(F.col("protocol").isNull()).first()["arrivals"]
             config = load_decay_config(spark, f"{self.path}/rates", self.base, before=batch_id)
 
         gaps = calibration.edge_gaps(rows, order)
@@ -132,22 +137,21 @@ class RecalibrationSink:
                 "overwrite"
             ).parquet(f"{self.path}/seen/v={batch_id}")
 
-            totals = numbered.groupBy("protocol").agg(F.count("*").alias("n")).collect()  # one row per protocol
-            after = dict(before)
-            for row in totals:
-                after[row["protocol"]] = after.get(row["protocol"], 0) + row["n"]
+            totals = numbered.groupBy("protocol").agg(F.count("*").alias("gaps"))
             kept = numbered.select("protocol", "number", "gap")
             if recent is not None:
                 kept = kept.unionByName(recent)
-            floor = F.lit(0).cast("long")
-            for protocol, count in after.items():
-                floor = F.when(F.col("protocol") == protocol, F.lit(count - self.window_gaps)).otherwise(floor)
-            kept.filter(F.col("number") > floor).write.mode("overwrite").parquet(f"{self.path}/recent/v={batch_id}")
-            rows_after = [(name, count, None) for name, count in after.items()]
-            rows_after.append((None, None, arrivals + arrived.count()))
-            spark.createDataFrame(rows_after, "protocol string, gaps long, arrivals long").coalesce(1).write.mode(
-                "overwrite"
-            ).parquet(f"{self.path}/counts/v={batch_id}")
+                totals = totals.unionByName(before).groupBy("protocol").agg(F.sum("gaps").alias("gaps"))
+            arrived_now = spark.createDataFrame([(None, None, arrivals + arrived.count())], "protocol string, gaps long, arrivals long")
+            after = f"{self.path}/counts/v={batch_id}"
+            totals.withColumn("arrivals", F.lit(None).cast("long")).unionByName(arrived_now).write.mode("overwrite").parquet(after)
+            floors = spark.read.parquet(after).select("protocol", (F.col("gaps") - self.window_gaps).alias("_floor"))
+            kept.join(floors, "protocol").filter(F.col("number") > F.col("_floor")).drop("_floor").write.mode("overwrite").parquet(
+                f"{self.path}/recent/v={batch_id}"
+            )
+            for old in ("seen", "recent", "counts"):
+                if batch_id >= self.keep:
+                    _drop_folder(spark, f"{self.path}/{old}/v={batch_id - self.keep}")
         finally:
             arrived.unpersist()
 

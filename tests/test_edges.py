@@ -83,7 +83,7 @@ def test_shard_index(spark):
 @pytest.mark.parametrize("split", [False, True])
 def test_edge_index(spark, split):
     df = edges(spark, [(f"User:u{i % 7}", f"Machine:m{i % 5}", "Authentication", "RDP", float(i), 1.0) for i in range(60)])
-    numbered, index = graph.edge_index(df, split=split, hot_rows=5 if split else 10**6)
+    numbered, index = graph.edge_index(df, split=split)
     names = [r.node for r in numbered.orderBy("idx").collect()]
     assert names == sorted({r.src for r in df.collect()} | {r.dst for r in df.collect()})
     assert [r.idx for r in numbered.orderBy("idx").collect()] == list(range(12))

@@ -56,18 +56,29 @@ def test_hot_keys(spark):
     assert hot.groupBy("_seg").count().agg(F.max("count")).first()[0] < 30
 
 
-def test_small_input_needs_no_counting(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    assert scale.is_small(df) and scale.hot_keys(df, ["user_id"]) is None
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join(spark, how):
-    facts = spark.createDataFrame([("a", str(i)) for i in range(60)] + [("b", "x"), ("z", "y")], "k string, e string")
-    dims = spark.createDataFrame([("a", 1), ("b", 2), ("q", 3)], "k string, v int")
-    plain = sorted(map(tuple, facts.join(dims, "k", how).select("k", "e", "v").collect()), key=str)
-    salted = scale.salted_join(facts, dims, "k", "e", how, hot_rows=10).select("k", "e", "v").collect()
-    assert sorted(map(tuple, salted), key=str) == plain
+def test_hot_keys_relative_to_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(scale, "LEAST_HOT", 10)
+    df = spark.createDataFrame([("a",)] * 90 + [("b",)] * 20 + [(str(i),) for i in range(50)], "k string")
+    assert [tuple(r) for r in scale.hot_keys(df, ["k"]).collect()] == [("a", 90)]  # four partitions: twice 40 rows
+    monkeypatch.setattr(scale, "LEAST_HOT", 100)
+    assert scale.hot_keys(df, ["k"]) is None
+
+
+def test_segments_are_bounded(spark):
+    df = spark.range(2000).selectExpr("'a' AS k", "id AS t")
+    _, hot = scale.segment_hot(df, ["k"], ["t"], 3)
+    assert hot.select("_seg").distinct().count() <= 16
+
+
+def test_scratch_scope_deletes(spark, tmp_path):
+    with scale.scratch_scope():
+        stored = scale.materialize(spark.range(3))
+        path = stored.inputFiles()[0]
+        assert stored.count() == 3
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    assert not Path(urlparse(path).path).exists()
 
 
 def test_scratch_must_be_shared_on_a_cluster(monkeypatch):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbgraph.schema import COLD_EDGE
+from ebbgraph.sources.tables import event_day
 
 
 def deduplicate_cold(cold: DataFrame) -> DataFrame:
@@ -14,7 +15,13 @@ def deduplicate_cold(cold: DataFrame) -> DataFrame:
 
 
 def activity(cold: DataFrame, entity: str, start: float, end: float) -> DataFrame:
-    """Cold edges touching an entity with start <= t_e <= end; the filter reaches the scan."""
+    """Cold edges touching an entity with start <= t_e <= end; the filter reaches the scan.
+
+    A column ``day`` (see ``tables.read_cold_edges``) limits the folders that are opened.
+    """
+    if "day" in cold.columns:
+        first, last = (event_day(F.lit(float(t))) for t in (start, end))
+        cold = cold.filter(F.col("day").between(first, last)).drop("day")
     return cold.filter(
         ((F.col("src") == entity) | (F.col("dst") == entity))
         & F.col("t_e").between(F.lit(float(start)), F.lit(float(end)))

@@ -376,7 +376,11 @@ def hourly_prune_schedule(spark, sf):
 @query(O.with_edges(O.COLD, body="""
 SELECT edge_id, src, dst, t_e FROM cold WHERE (src = 'Machine:C7' OR dst = 'Machine:C7') AND t_e BETWEEN 1704300000 AND 1705900000"""))
 def entity_activity(spark, sf):
-    return forensics.reconstruct_activity(pruned(spark, sf).cold, "Machine:C7", 1704300000, 1705900000).select(
+    """From a stored cold table, of which only the days asked for are opened."""
+    path = scale.scratch_path(spark)
+    tables.write_cold_edges(pruned(spark, sf).cold, path)
+    cold = tables.read_cold_edges(spark, path, by_day=True)
+    return forensics.reconstruct_activity(cold, "Machine:C7", 1704300000, 1705900000).select(
         "edge_id", "src", "dst", "t_e"
     )
 

@@ -46,8 +46,9 @@ def write_cold_edges(cold: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def read_cold_edges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*COLD_EDGE.fieldNames())
+def read_cold_edges(spark: SparkSession, path: str, by_day: bool = False) -> DataFrame:
+    """Cold records; with ``by_day`` also the folder column ``day``, by which ``forensics.activity`` opens few folders."""
+    return spark.read.parquet(path).select(*COLD_EDGE.fieldNames(), *["day"] * by_day)
 
 
 def cold_between(spark: SparkSession, path: str, start: float, end: float) -> DataFrame:

@@ -7,6 +7,7 @@ every sink its own folder, used with one stream checkpoint.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -21,6 +22,12 @@ from ebbgraph.sources.config_table import load_decay_config, upsert_lambdas
 from ebbgraph.sources.tables import write_cold_edges
 
 ConfigSource = Callable[[SparkSession], DecayConfig]
+#: Stores cold records in a folder of its own; returns the edge_ids it could not store, or None.
+ColdWriter = Callable[[DataFrame, str], DataFrame | None]
+
+
+def overwrite_cold(cold: DataFrame, path: str) -> None:
+    write_cold_edges(cold, path, mode="overwrite")
 
 
 def _drop_folder(spark: SparkSession, path: str) -> None:
@@ -35,7 +42,8 @@ class PruneSink:
     Under ``path``: live/v=N (snapshot after pass N with its prune flags), cold (by batch
     and day), passes (one reading per pass, written last: it publishes the snapshot).
     Snapshots older than ``keep`` passes are removed. ``arrival`` names a column of the batch
-    that orders writes of one edge; without it their order in the batch counts.
+    that orders writes of one edge; without it their order in the batch counts. Edges that ``writer``
+    could not store (all of them if it raises) stay live for the next pass and are counted.
     """
 
     path: str
@@ -44,6 +52,7 @@ class PruneSink:
     after_pass: Callable[[DataFrame, float, int], None] | None = None
     keep: int = 3
     arrival: str | None = None
+    writer: ColdWriter = overwrite_cold
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -63,17 +72,32 @@ class PruneSink:
         marked.write.mode("overwrite").partitionBy("prune").parquet(snapshot)
         written = spark.read.schema(marked.schema).parquet(snapshot)
         cold = decay.cold_records(written, now)
-        write_cold_edges(cold, f"{self.path}/cold/batch={batch_id}", mode="overwrite")
-        reading = decay.prune_stats(written).withColumn("t", F.lit(float(now)))
+        try:
+            failed = self.writer(cold, f"{self.path}/cold/batch={batch_id}")
+        except Exception:
+            logging.getLogger(__name__).exception("cold records of pass %s were not stored; their edges stay live", batch_id)
+            failed = cold
+        kept = f"{self.path}/failed/v={batch_id}"
+        (spark.createDataFrame([], "edge_id string") if failed is None else failed.select("edge_id").distinct()).write.mode(
+            "overwrite"
+        ).parquet(kept)
+        failures = F.lit(spark.read.parquet(kept).count())
+        reading = decay.prune_stats(written).withColumns(
+            {"t": F.lit(float(now)), "pruned": F.col("pruned") - failures, "write_failures": failures}
+        )
         reading.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/passes/batch={batch_id}")
         if self.after_pass is not None:
             self.after_pass(self.live(spark, batch_id), now, batch_id)
         if batch_id >= self.keep:
-            _drop_folder(spark, f"{self.path}/live/v={batch_id - self.keep}")
+            for old in ("live", "failed"):
+                _drop_folder(spark, f"{self.path}/{old}/v={batch_id - self.keep}")
 
     def live(self, spark: SparkSession, version: int) -> DataFrame:
         rows = spark.read.parquet(f"{self.path}/live/v={version}")
-        return rows.filter(~F.col("prune")).select(*EDGE.fieldNames())
+        gone = F.col("prune").cast("boolean")
+        stays, due = rows.filter(~gone), rows.filter(gone)
+        failed = spark.read.schema("edge_id string").parquet(f"{self.path}/failed/v={version}")
+        return stays.unionByName(due.join(failed, "edge_id", "left_semi")).select(*EDGE.fieldNames())
 
     def cold(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/cold").select(*COLD_EDGE.fieldNames())

@@ -92,6 +92,27 @@ def test_prune_sink(spark, tmp_path):
     assert not (tmp_path / "graph" / "live" / "v=0").exists()
 
 
+@pytest.mark.parametrize("raises", [False, True])
+def test_cold_writer_failures_stay_live(spark, tmp_path, raises):
+    df = random_edges(spark, 40)
+    stored = []
+
+    def writer(cold, path):
+        if raises:
+            raise OSError("no space")
+        cold.filter("t_e % 2 >= 1").write.mode("overwrite").parquet(path)
+        stored.append(path)
+        return cold.filter("t_e % 2 < 1")
+
+    sink = batches.PruneSink(str(tmp_path / "graph"), decay.PrunePolicy(1.0, 1.0), writer=writer)
+    sink(df, 0)
+    reading = sink.passes(spark).first()
+    due = decay.mark_prunable(df, df.agg(F.max("t_e")).first()[0], decay.PrunePolicy(1.0, 1.0)).filter("prune")
+    lost = due.count() if raises else due.filter("t_e % 2 < 1").count()
+    assert reading.write_failures == lost > 0 and reading.pruned == due.count() - lost
+    assert sink.live(spark, 0).count() == df.count() - reading.pruned
+
+
 def test_recalibration_stream_equals_batch(spark, tmp_path):
     df = random_edges(spark, 500, seed=4)
     options = {"min_samples": 10, "window_gaps": 50, "tick_edges": 20}

@@ -2,7 +2,7 @@
 
 A page is read as a sequence of words and tags. A word scores by where it stands: the summed weights of
 the elements around it (semantic tags, and words of class, id and role names). A tag scores below zero,
-by how often it stands outside content. One linear scan finds the contiguous run with the largest
+by how often it stands outside content, and next to nothing in content. One linear scan finds the contiguous run with the largest
 sum, the article with what is set into it; blocks of the run that stand in an element of
 negative weight (an advert or a form inside the article) are left out.
 
@@ -47,7 +47,8 @@ BLOCK = frozenset(
 TELLING = frozenset(
     "article main nav header footer aside form button select dialog menu p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split()
 )
-FRESH = frozenset(("article", "main"))  # what was left open before them is over
+FRESH = frozenset(("article", "main"))
+OFTEN_OPEN = frozenset(("nav", "header", "menu"))  # if one is still open where an article begins, its end was forgotten
 NEGATIVE = -1.0
 LEAST = 0.01  # what a tag costs at least
 MOST = 5.0
@@ -181,32 +182,37 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     blocks: list[list[tuple[int, str]]] = [[]]
     scores: list[float] = []
     tree = Page()
-    nothing = (0.0, True, False)  # summed weights, whether the words may be kept, whether inside an article
+    # summed weights, whether the words may be kept, whether inside an article, whether in what no article ends
+    nothing = (0.0, True, False, False)
     for kind, name, attributes in events(page):
-        total, kept, inside = tree.state(nothing)
+        total, kept, inside, shut = tree.state(nothing)
         if kind == "text":
             words = len(name.split())
-            good = 1.0 if total >= 0 else max(total, -MOST)
-            scores.append(words * (good if kept or not inside else -LEAST))
+            if kept:
+                good = 1.0 if total >= 0 else max(total, -MOST)
+            else:
+                good = -LEAST if inside else max(min(total, NEGATIVE), -MOST)
+            scores.append(words * good)
             if kept:
                 blocks[-1].append((len(scores) - 1, name))
             continue
         if kind == "open":
             if name in BLOCK and tree.count["p"]:
                 tree.end("p")
-                total, kept, inside = tree.state(nothing)
-            if name in FRESH and not inside:
+                total, kept, inside, shut = tree.state(nothing)
+            if name in FRESH and not inside and not shut:
                 total, kept = 0.0, True
             for f in features(name, attributes, inside):
                 weight = weights.get(f, 0.0)
                 total += weight
-                kept = kept and weight >= NEGATIVE
+                if weight < NEGATIVE:
+                    kept, shut = False, shut or f not in OFTEN_OPEN
             inside = inside or (name in FRESH and kept)
-            tree.start(name, (total, kept, inside))
+            tree.start(name, (total, kept, inside, shut))
         else:
             tree.end(name)
         cost = min(weights.get(f"<{name}", 0.0), 0.0)
-        scores.append(-LEAST if inside else max(min(cost, -LEAST), -MOST))
+        scores.append(-LEAST if inside or (kept and total > 0) else max(min(cost, -LEAST), -MOST))
         if name in BLOCK:
             if blocks[-1]:
                 blocks.append([])

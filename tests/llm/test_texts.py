@@ -218,6 +218,9 @@ CASES = [
     ("<article><header><h1>Head</h1></header><p>x &lt; y &#8364; &nbsp; z</p><aside>see also</aside><!-- no > --><script>if (a<b) '</p>'</script><p>end</p></article><footer>(c)</footer>", "Head\nx < y € z\nend"),
     ("<ul class=menu><li><a href=a>A</a><li><a href=b>B</a></ul><p>only text 5 < 6 here</p><!-- open", "only text 5 < 6 here"),
     ("<nav>one two<article><p>in unclosed nav</p></article>", "in unclosed nav"),
+    ("<article><p>short article text</p></article><section class='comments'>" + "<article class='comment'><p>a long reader comment here</p></article>" * 9 + "<article><p>more of them</p></article></section>", "short article text"),
+    ("<main><p>text of the page</p></main><aside><article><p>read this other piece too</p></article></aside>", "text of the page"),
+    ("<div class='sidebar-left'><ul><li><a href=a>one</a></li></ul></div><div class='post-content'><p>a b c</p><ul><li>d <a href=x>e</a></li></ul><p>f</p></div>", "a b c\nd e\nf"),
 ]
 
 

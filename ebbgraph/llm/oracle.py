@@ -32,6 +32,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (deleted) AS n_deleted,
 FROM kept GROUP BY doc_id
 """
 
+#: The given pages all mark their text as an article of headings and paragraphs, so SQL can cut it out.
+OP3 = r"""
+WITH inside AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS article FROM pages
+), blocks AS (
+  SELECT page_id, n, regexp_replace(b[n], '<[^>]*>', ' ', 'g') AS block
+  FROM (SELECT page_id, string_split_regex(article, '</?(?:p|h1)>') AS b FROM inside), unnest(generate_series(1, len(b))) AS u(n)
+), decoded AS (
+  SELECT page_id, n, trim(regexp_replace(replace(replace(regexp_replace(block, '&amp;?', chr(1), 'g'), '&quot;', '"'), chr(1), '&'), '\s+', ' ', 'g')) AS line
+  FROM blocks
+), texts AS (
+  SELECT page_id, string_agg(line, chr(10) ORDER BY n) AS text FROM decoded WHERE line <> '' GROUP BY page_id
+)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars
+FROM inside LEFT JOIN texts USING (page_id)
+"""
+
 OP5 = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -101,5 +118,5 @@ FROM placed GROUP BY conv_id
 """
 
 ORACLE: dict[str, str] = {
-    "op1_line_dedup": OP1, "op5_exact_dedup": OP5, "op7_chat_formatting": OP7, "op9_benchmark_decontamination": OP9,
+    "op1_line_dedup": OP1, "op3_html_extraction": OP3, "op5_exact_dedup": OP5, "op7_chat_formatting": OP7, "op9_benchmark_decontamination": OP9,
 }

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ebbgraph.operators.scale import scratch_dir
 
+OUTPUT_ROWS = 512
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -59,8 +60,8 @@ def rowwise(make: Callable[[], Callable], returns: str) -> Callable[[Column], Co
     """A function of whole values as a column function, evaluated one Arrow batch at a time.
 
     ``make`` runs once per task and returns the function of one value. A batch is bounded in bytes
-    by ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless set), so memory does not follow
-    the partition. Cast a string column to binary to get UTF-8 bytes.
+    by ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless set) and results go back a few
+    hundred rows at a time, so memory does not follow the partition. Cast a string column to binary to get UTF-8 bytes.
     """
     kind = to_arrow_type(T._parse_datatype_string(f"x {returns}")[0].dataType)
 
@@ -68,7 +69,8 @@ def rowwise(make: Callable[[], Callable], returns: str) -> Callable[[Column], Co
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = make()
         for batch in batches:
-            yield pa.array([one(x.as_py()) for x in batch], type=kind)
+            for start in range(0, len(batch), OUTPUT_ROWS):
+                yield pa.array([one(x.as_py()) for x in batch.slice(start, OUTPUT_ROWS)], type=kind)
 
     return run
 

@@ -32,6 +32,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (deleted) AS n_deleted,
 FROM kept GROUP BY doc_id
 """
 
+#: Repeated runs go to their last line: runs that start at a line or end at it, each with the fewest lines that make 50 words.
+OP1_WHOLE_RUNS = OP1.replace("), windows AS (", """
+  UNION
+  SELECT a.doc_id, max(b.n) AS first, a.n AS last
+  FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.n <= a.n AND a.total - b.total + b.words >= 50
+  GROUP BY a.doc_id, a.n
+  UNION
+  SELECT doc_id, n, next FROM (
+    SELECT *, lead(n) OVER w AS next, lead(words) OVER w AS next_words FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY n)
+  ) WHERE words >= 50 AND next_words >= 50
+), windows AS (""")
+
 #: The given pages all mark their text as an article of headings and paragraphs, so SQL can cut it out.
 OP3 = r"""
 WITH inside AS (
@@ -118,5 +130,5 @@ FROM placed GROUP BY conv_id
 """
 
 ORACLE: dict[str, str] = {
-    "op1_line_dedup": OP1, "op3_html_extraction": OP3, "op5_exact_dedup": OP5, "op7_chat_formatting": OP7, "op9_benchmark_decontamination": OP9,
+    "op1_line_dedup": OP1, "op1_line_dedup_whole_runs": OP1_WHOLE_RUNS, "op3_html_extraction": OP3, "op5_exact_dedup": OP5, "op7_chat_formatting": OP7, "op9_benchmark_decontamination": OP9,
 }

@@ -28,6 +28,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op1_line_dedup_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op1_line_dedup``, but repeated runs go to their last line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, whole_runs=True).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,7 +98,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_quality_classifier, op3_html_extraction, op4_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_chat_formatting, op8_sentencepiece_codec,
+        op1_line_dedup, op1_line_dedup_whole_runs, op2_quality_classifier, op3_html_extraction, op4_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_chat_formatting, op8_sentencepiece_codec,
         op9_benchmark_decontamination, op10_token_counts,
     )
 }

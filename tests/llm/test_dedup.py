@@ -195,3 +195,51 @@ def test_line_dedup_equals_brute_force(spark, least):
         kept = 0 if r.n_deleted == r.n_lines else len((r.text or "").split("\n"))
         assert r.n_lines - r.n_deleted == kept
     assert out.columns[:6] == docs(spark, rows).columns
+
+
+def maximal_runs(rows, least):
+    """Lines of every maximal run of equal lines, with enough words, that two places share: the later place's lines."""
+    places = [
+        ((i is not None, i or 0), n, x.strip(), len(x.split()), i)
+        for i, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)) for n, x in enumerate((text or "").split("\n")) if x.split()
+    ]
+    same = lambda a, b: b < len(places) and places[a][2] == places[b][2]
+    follows = lambda a: a > 0 and places[a - 1][0] == places[a][0]
+    gone = set()
+    for b in range(len(places)):
+        for a in range(b):
+            if not same(a, b) or (follows(a) and follows(b) and same(a - 1, b - 1)):
+                continue
+            k = 1
+            while same(a + k, b + k) and follows(a + k) and follows(b + k):
+                k += 1
+            if sum(p[3] for p in places[b : b + k]) >= least:
+                gone |= {(places[b][4], n) for n in range(places[b][1], places[b + k - 1][1] + 1)}
+    return {i: "\n".join(x for n, x in enumerate(text.split("\n")) if (i, n) not in gone) if text is not None else None for i, text in rows}
+
+
+@pytest.mark.parametrize("least", [4, 12, 50])
+def test_whole_runs_equal_brute_force(spark, least):
+    rnd = random.Random(least)
+    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice((0, 1, 2, 3, 4, least)))) for _ in range(25)]
+    runs = [[rnd.choice(pool) for _ in range(rnd.randint(2, 12))] for _ in range(8)]
+    rows = [(None, "a b\nc d e"), (0, None), (1, ""), (2, "\n\n")]
+    for i in range(4, 50):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            run = rnd.choice(runs)
+            parts += run[rnd.randint(0, 2) : rnd.randint(3, 12)] + [rnd.choice(pool) + rnd.choice(("", " ", "\r")) for _ in range(rnd.randint(0, 3))]
+        rows.append((i, "\n".join(parts)))
+    rows += [rows[-1], (99, "z " * 60 + "\n" + "z " * 60)]
+    got = lines.dedup_lines(docs(spark, rows), least, whole_runs=True).collect()
+    want = maximal_runs(rows, least)
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
+    assert want != naive_lines(rows, least)
+
+
+def test_short_tail_of_a_repeated_run_goes(spark):
+    # the second place's tail continues the match; the third repeats a place that is not the first of its long line
+    long, tail, other = "w " * 60, "only three words", "another tail"
+    rows = [(1, f"{long}\nhere alone"), (2, f"{long}\n{tail}\n{other}"), (3, f"own line\n{long}\n\n{tail}\n{other}\nown end")]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in lines.dedup_lines(docs(spark, rows), whole_runs=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (f"{tail}\n{other}", 1), 3: ("own line\nown end", 4)}

@@ -5,7 +5,8 @@ whole corpus (a handful of patterns, whatever its size), together with the gold
 documents have; expectation-maximisation on these counts estimates every labeller's accuracy and the
 chance that a document of a pattern is bad, gold labels being certain. These posteriors train a linear
 scorer on hashed features (a text's distinct words, and ranges of its statistics) by gradient descent,
-on at most ``sample`` documents: those with a gold label first, then others, in order of a hash. The scorer then rates every whole text.
+on at most ``sample`` documents in order of a hash: ``UNLABELLED`` of them without a gold label, whose targets
+are the posteriors, at every size, the rest with one; where one kind is short the other fills up. The scorer then rates every whole text.
 
 There are two aspects: ``low`` (junk) and ``toxic``. A document stays if both chances are under a half.
 
@@ -32,6 +33,7 @@ from ebbgraph.llm.decontaminate import TO_WORDS
 from ebbgraph.llm.pieces import Memo
 
 SAMPLE = 8000
+UNLABELLED = 0.25  # share of the sample for documents without a gold label
 BUCKETS = 1 << 18
 LEAST_SCORE = 5.0  # standard deviations that a feature's share of bad documents must lie off the sample's
 LEAST_DOCUMENTS = 5  # of the sample, for a feature to get a weight
@@ -232,10 +234,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sco
     for a in ASPECTS:
         counts = {(r[0], r[1]): r[2] for r in rows.groupBy(a, f"gold_{a}").count().collect()}
         chances[a], accuracies[a] = estimate(counts, a)
-    golds = [F.col(f"gold_{a}").isNull() for a in ASPECTS]  # documents with a gold label come first
-    chosen = rows.select("doc_id", "text_key", *ASPECTS, *[f"gold_{a}" for a in ASPECTS]).orderBy(
-        *golds, F.xxhash64("text_key", "doc_id"), "doc_id"
-    ).limit(sample)
+    golds = [F.col(f"gold_{a}").isNull() for a in ASPECTS]  # documents with all gold labels come first
+    bare = golds[0] & golds[1]
+    without = rows.where(bare).count()
+    without = min(without, max(int(sample * UNLABELLED), sample - rows.where(~bare).count()))
+    ranked = rows.select("doc_id", "text_key", *ASPECTS, *[f"gold_{a}" for a in ASPECTS]).orderBy(*golds, F.xxhash64("text_key", "doc_id"), "doc_id")
+    chosen = ranked.where(~bare).limit(sample - without).unionByName(ranked.where(bare).limit(without))
     features = rowwise(lambda: lambda utf8: np.array(hashed(utf8), np.int32).tobytes(), "binary")
     texts = docs.select("doc_id", "text", text_key().alias("text_key"))
     picked = F.broadcast(chosen.withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key"))  # at most ``sample`` rows

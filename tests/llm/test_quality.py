@@ -71,3 +71,29 @@ def test_learned_words_decide():
     weights, bias = quality.fit(rows, targets)
     assert bias + weights[list(range(10))].sum() + weights[50] > 0 > bias + weights[list(range(10))].sum() + weights[100]
     assert not weights[:10].any()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    texts = [(i, f"plain w{i % 7} text v{i % 11} of some words" if i % 3 else f"you idiot w{i % 5} moron stupid u{i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    return docs, docs.where("doc_id < 300").selectExpr("doc_id", "1 as quality", "int(doc_id % 3 = 0) as toxic")
+
+
+def test_posteriors_count_where_labels_exceed_the_sample(labelled, monkeypatch):
+    estimate, fitted = quality.estimate, []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, targets, certain, *a: fitted.append((len(rows), int((~certain).sum()))) or fit(rows, targets, certain, *a))
+    usual = quality.train(*labelled, sample=200)[0]
+    monkeypatch.setattr(quality, "estimate", lambda *a: ({p: 1 - x for p, x in estimate(*a)[0].items()}, []))
+    changed = quality.train(*labelled, sample=200)[0]
+    assert fitted == [(200, 50)] * 4
+    assert any(not np.array_equal(a, b) or x != y for (a, x), (b, y) in zip(usual.models, changed.models))
+
+
+@pytest.mark.parametrize("sample, without", [(380, 95), (396, 99), (1000, 100), (320, 80)])
+def test_share_without_labels(labelled, monkeypatch, sample, without):
+    fit, fitted = quality.fit, []
+    monkeypatch.setattr(quality, "fit", lambda rows, targets, certain, *a: fitted.append((len(rows), int((~certain).sum()))) or fit(rows, targets, certain, *a))
+    quality.train(*labelled, sample=sample)
+    assert fitted == [(min(sample, 400), without)] * 2

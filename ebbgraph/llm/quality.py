@@ -11,7 +11,8 @@ are the posteriors, at every size, the rest with one; where one kind is short th
 There are two aspects: ``low`` (junk) and ``toxic``. A document stays if both chances are under a half.
 
 Defined results: a null or empty text has no features beyond its empty statistics and gets the score of
-that; documents without a label, labels without a document and null labels add nothing; of several
+that; repeated rows count once in the sample;
+documents without a label, labels without a document and null labels add nothing; of several
 labels of a doc_id the worst counts; rows with equal text get equal scores; an empty table gives
 an empty result; extra columns are kept by ``keep_good`` and ignored by ``rate``.
 """
@@ -229,10 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sco
         F.max(1 - F.col("quality")).alias("gold_low"), F.max("toxic").alias("gold_toxic")
     )
     voted = docs.select("doc_id", text_key().alias("text_key"), cast(F.col("text").cast("binary")).alias("v"))
-    rows = store(voted.join(gold, "doc_id", "left").select("doc_id", "text_key", "v.*", *[f"gold_{a}" for a in ASPECTS]))
+    once = voted.select("doc_id", "text_key", "v.*").groupBy("doc_id", "text_key", *ASPECTS).agg(F.count("*").alias("copies"))
+    rows = store(once.join(gold, "doc_id", "left").select("doc_id", "text_key", *ASPECTS, "copies", *[f"gold_{a}" for a in ASPECTS]))
     chances, accuracies = {}, {}
     for a in ASPECTS:
-        counts = {(r[0], r[1]): r[2] for r in rows.groupBy(a, f"gold_{a}").count().collect()}
+        counts = {(r[0], r[1]): r[2] for r in rows.groupBy(a, f"gold_{a}").agg(F.sum("copies")).collect()}
         chances[a], accuracies[a] = estimate(counts, a)
     golds = [F.col(f"gold_{a}").isNull() for a in ASPECTS]  # documents with all gold labels come first
     bare = golds[0] & golds[1]
@@ -243,8 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sco
     features = rowwise(lambda: lambda utf8: np.array(hashed(utf8), np.int32).tobytes(), "binary")
     texts = docs.select("doc_id", "text", text_key().alias("text_key"))
     picked = F.broadcast(chosen.withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key"))  # at most ``sample`` rows
-    joined = texts.join(picked, texts["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
-    taken = joined.select(features(F.col("text").cast("binary")).alias("f"), *ASPECTS, *[f"gold_{a}" for a in ASPECTS]).limit(2 * sample).collect()
+    joined = texts.join(picked, texts["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).dropDuplicates(["id", "key"])
+    taken = joined.select("id", "key", features(F.col("text").cast("binary")).alias("f"), *ASPECTS, *[f"gold_{a}" for a in ASPECTS]).collect()
+    taken.sort(key=lambda r: (r["key"], r["id"] is not None, r["id"] or 0))
     drop(rows)
     fitted, features_of = [], [np.frombuffer(r["f"], np.int32) for r in taken]
     for a in ASPECTS:

@@ -97,3 +97,13 @@ def test_share_without_labels(labelled, monkeypatch, sample, without):
     monkeypatch.setattr(quality, "fit", lambda rows, targets, certain, *a: fitted.append((len(rows), int((~certain).sum()))) or fit(rows, targets, certain, *a))
     quality.train(*labelled, sample=sample)
     assert fitted == [(min(sample, 400), without)] * 2
+
+
+def test_repeated_rows_do_not_crowd_the_sample(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    again = docs.where("doc_id = 0").crossJoin(spark.range(150)).select("doc_id", "text")
+    fit, fitted = quality.fit, []
+    monkeypatch.setattr(quality, "fit", lambda rows, *a: fitted.append([tuple(r) for r in rows]) or fit(rows, *a))
+    quality.train(docs, labels, sample=200)
+    quality.train(docs.unionByName(again), labels, sample=200)
+    assert len(fitted[2]) == 200 and fitted[2] == fitted[0]

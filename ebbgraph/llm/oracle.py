@@ -129,6 +129,116 @@ SELECT conv_id, count(*) AS n_turns,
 FROM placed GROUP BY conv_id
 """
 
+OP11 = r"""
+WITH lowered AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM lowered
+), sizes AS (
+  SELECT count(*) FILTER (len(w) > 0)::BIGINT AS n_docs, greatest(1, sum(len(w)))::BIGINT AS total FROM words WHERE kind = 'd'
+), item_terms AS (
+  SELECT DISTINCT id AS item_id, unnest(w) AS term FROM words WHERE kind = 'b'
+), counted AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT id AS doc_id, len(w) AS n, unnest(w) AS term FROM words WHERE kind = 'd') GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM counted, sizes GROUP BY term, n_docs
+), scored AS (
+  SELECT item_id, doc_id,
+         sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))))::BIGINT AS score
+  FROM item_terms JOIN counted USING (term) JOIN weights USING (term), sizes GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+OP12 = r"""
+WITH RECURSIVE chars AS (
+  SELECT doc_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS codes FROM documents WHERE doc_id IS NOT NULL
+), crc AS (
+  SELECT doc_id, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], codes), lambda acc, code:
+    list_reduce([xor(acc, code), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) AS value
+  FROM chars
+), fields AS (
+  SELECT d.doc_id, source, text, coalesce(value % 5 = 0, false) AS chosen,
+         coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM documents d LEFT JOIN crc USING (doc_id)
+), leaves AS (
+  SELECT doc_id, source, chosen, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS changed
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), nodes(source, level, place, h, n) AS (
+  SELECT source, 0, place, leaf, n FROM placed
+  UNION ALL
+  SELECT source, level + 1, place // 16, sha256(string_agg(h, '' ORDER BY place)), (n + 15) // 16
+  FROM nodes WHERE n > 1 GROUP BY source, level, place // 16, n
+), subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(level, place, h, n) AS (
+  SELECT 0, place, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 16, sha256(string_agg(h, '' ORDER BY place)), (n + 15) // 16
+  FROM tops WHERE n > 1 GROUP BY level, place // 16, n
+), runs AS (
+  SELECT source, level, place // 16 AS run, list(h ORDER BY place) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+), top_runs AS (
+  SELECT level, place // 16 AS run, list(h ORDER BY place) AS hs FROM tops WHERE n > 1 GROUP BY ALL
+), steps AS (
+  SELECT p.doc_id, p.leaf, r.level, (p.place // (16 ** r.level)::BIGINT) % 16 AS digit, hs
+  FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND r.run = p.place // (16 ** (r.level + 1))::BIGINT
+  UNION ALL
+  SELECT p.doc_id, p.leaf, 100 + r.level, (s.place // (16 ** r.level)::BIGINT) % 16, hs
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source JOIN top_runs r ON r.run = s.place // (16 ** (r.level + 1))::BIGINT
+), paths AS (
+  SELECT doc_id, leaf, list({'l': array_to_string(hs[1 : digit], ''), 'r': array_to_string(hs[digit + 2 :], '')} ORDER BY level) AS path
+  FROM steps GROUP BY doc_id, leaf
+), folded AS (
+  SELECT p.doc_id, p.leaf, p.source, coalesce(path, []) AS path,
+         CASE WHEN chosen THEN changed ELSE p.leaf END AS start
+  FROM placed p LEFT JOIN paths t ON p.doc_id = t.doc_id AND p.leaf = t.leaf
+), folding(doc_id, leaf, source, path, i, h) AS (
+  SELECT doc_id, leaf, source, path, 0, start FROM folded
+  UNION ALL
+  SELECT doc_id, leaf, source, path, i + 1, sha256(path[i + 1].l || h || path[i + 1].r) FROM folding WHERE i < len(path)
+)
+SELECT f.doc_id, f.leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+       sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256,
+       f.h AS folded_root, f.h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM folding f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source WHERE i = len(path)
+"""
+
+OP13 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + 3], ' ') AS gram
+  FROM words, unnest(generate_series(1, greatest(1, len(w) - 3))) AS u(s) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, b FROM reached r JOIN links ON r.other = a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": OP1, "op1_line_dedup_whole_runs": OP1_WHOLE_RUNS, "op3_html_extraction": OP3, "op5_exact_dedup": OP5, "op7_chat_formatting": OP7, "op9_benchmark_decontamination": OP9,
+    "op11_ranked_search": OP11, "op12_merkle_manifest": OP12, "op13_jaccard_join": OP13,
 }

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbgraph.llm import chat, decontaminate, exact_dedup, html_text, lines, quality, secrets, sentencepiece_codec, simhash, token_counts
+from ebbgraph.llm import (
+    chat, decontaminate, exact_dedup, html_text, lexical, lines, merkle, parity_join, quality, secrets, sentencepiece_codec, simhash, token_counts,
+)
 from ebbgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,10 +97,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_model())
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The fields of a leaf, in order; of the rows where TAMPERED divides crc32 of the id, the text is changed.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+TAMPERED = 5
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proof digests; a fifth of the rows is folded from a changed text."""
+    values = {name: F.col(name) for name in LEAF_FIELDS}
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED == 0
+    changed = F.when(chosen, merkle.leaf(list({**values, "text": lowered}.values())))
+    proven = merkle.manifest(table(spark, sf_dir, "documents"), values, "source", "doc_id", {"changed": changed})
+    folded = proven.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op1_line_dedup_whole_runs, op2_quality_classifier, op3_html_extraction, op4_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_chat_formatting, op8_sentencepiece_codec,
-        op9_benchmark_decontamination, op10_token_counts,
+        op9_benchmark_decontamination, op10_token_counts, op11_ranked_search, op12_merkle_manifest, op13_jaccard_join,
     )
 }

@@ -150,16 +150,27 @@ def alert_neighborhood(completions: DataFrame, edges: DataFrame) -> DataFrame:
     return near.select("chain_key", "entity_id").union(itself).distinct()
 
 
+def scoring_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """The edges that the scores of ``entities`` (entity_id) depend on: two rounds of averaging reach the
+    in-neighbours' in-edges. Two semi-joins; whatever is grouped afterwards grows with the entities."""
+    wanted = entities.select(F.col("entity_id").alias("dst")).distinct()
+    near = edges.join(wanted, "dst", "left_semi")
+    reached = near.select(F.col("src").alias("dst")).unionByName(wanted).distinct()
+    return edges.join(reached, "dst", "left_semi")
+
+
 def score_alert_neighborhoods(
     completions: DataFrame, edges: DataFrame, deviations: DataFrame
 ) -> DataFrame:
     """Scores around alerted entities, one row per (motif, alerted entity, neighbour).
 
     ``t`` is the newest completion and ``alerts`` their number; ``per_alert`` lists each
-    completion separately.
+    completion separately. Edges that cannot reach an alerted neighbourhood are left out
+    before anything is averaged.
     """
     area = alert_neighborhood(completions, edges)
-    scores = score_entities(edges, deviations)
+    needed = scoring_edges(edges, area).select("src", "dst")  # every edge at an alerted entity ends in the area
+    scores = score_entities(needed, deviations)
     alerts = completions.groupBy("chain_key", "motif_name").agg(
         F.max("completed_at").alias("t"), F.count("*").alias("alerts")
     )

@@ -42,10 +42,10 @@ EVENT = T.StructType(
 
 
 def motif_candidates(
-    edges: DataFrame, motifs: Sequence[Motif] | None = None, fuzzy: bool = False
+    edges: DataFrame, motifs: Sequence[Motif] | None = None, fuzzy: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Every step an edge fits: (motif, stage, chain_key, score). A projection, not a join:
-    each step is an expression and only the fitting ones are exploded."""
+    """Every step an edge fits: (motif, stage, chain_key, score), and the columns of ``keep``. A projection,
+    not a join: each step is an expression and only the fitting ones are exploded."""
     motifs = load_motifs() if motifs is None else motifs
     fits = []
     for motif in motifs:
@@ -61,8 +61,8 @@ def motif_candidates(
             )
             fits.append(F.when(score.isNotNull() & key.isNotNull(), fit))
     return edges.select(
-        "edge_id", "t_e", F.explode(F.array_compact(F.array(*fits))).alias("c")
-    ).select("c.*", "edge_id", "t_e")
+        "edge_id", "t_e", *keep, F.explode(F.array_compact(F.array(*fits))).alias("c")
+    ).select("c.*", "edge_id", "t_e", *keep)
 
 
 # --- two steps: window functions ---------------------------------------------------

@@ -12,6 +12,13 @@ RATE_WINDOW = 60.0
 HISTORY = 1000
 
 
+#: The fields of audit records; a record has those of its type.
+AUDIT = (
+    "type string, edge_id string, src string, dst string, edge_type string, protocol string, w_at_prune double, pruned_at double, "
+    "motif_name string, chain_key string, triggering_edge_id string, matched_edges array<string>, reset_at double, logged_at double"
+)
+
+
 def prune_audit(cold: DataFrame) -> DataFrame:
     return cold.select(
         F.lit("prune").alias("type"), "edge_id", "src", "dst", "edge_type", "protocol", "w_at_prune", "pruned_at"

@@ -487,6 +487,10 @@ def completion_columns(df: DataFrame) -> DataFrame:
     return df.select("motif_name", "chain_key", joined("matched_edges").alias("matched"), "completed_at", r6("confidence").alias("confidence"))
 
 
+def reset_columns(df: DataFrame) -> DataFrame:
+    return df.select("motif_name", "chain_key", "triggering_edge_id", joined("matched_edges").alias("matched"), "reset_at")
+
+
 COMPLETIONS = "SELECT motif_name, chain_key, array_to_string(matched_edges, ',') AS matched, completed_at, round(confidence, 6) AS confidence FROM completions"
 RESETS = "SELECT motif_name, chain_key, triggering_edge_id, array_to_string(matched_edges, ',') AS matched, reset_at FROM resets"
 
@@ -535,8 +539,7 @@ def match_motifs_pruned(spark, sf):
 
 @query(O.with_edges(PRUNES, O.chains(prunes="prunes"), body=RESETS))
 def motif_resets(spark, sf):
-    resets = M.motif_resets(read_event_edges(spark, sf), early_prunes(spark, sf))
-    return resets.select("motif_name", "chain_key", "triggering_edge_id", joined("matched_edges").alias("matched"), "reset_at")
+    return reset_columns(M.motif_resets(read_event_edges(spark, sf), early_prunes(spark, sf)))
 
 
 @query(O.with_edges(O.chains(), body="""
@@ -924,16 +927,49 @@ def ranked_motifs(spark, sf):
 STREAM_BATCHES = 4
 
 
+def dealt_stream(spark: SparkSession, table: DataFrame, batch: Column, batches: int = STREAM_BATCHES) -> DataFrame:
+    """A table as a finite stream: a micro-batch for each value of ``batch``, in ascending order.
+
+    Each is written in as many files as tasks run side by side, and a trigger takes as many files.
+    """
+    path, files = scale.scratch_path(spark), spark.sparkContext.defaultParallelism
+    for k in range(batches):  # one after the other: the source takes older files first
+        table.filter(batch == k).repartition(files).write.parquet(f"{path}/part-{k}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part-*")
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event table as a finite stream of edges: four files in order of time, a micro-batch each."""
-    path = scale.scratch_path(spark)
+    """The event table as a finite stream of edges: four micro-batches in order of time."""
     table = events(spark, sf)
     last = table.agg(F.max("event_id")).first()[0]
-    for k in range(STREAM_BATCHES):  # one after the other: the source takes older files first
-        part = table.filter(F.floor(F.col("event_id") * STREAM_BATCHES / (last + 1)) == k)
-        part.coalesce(1).write.parquet(f"{path}/part-{k}")
-    raw = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
-    return event_edges(raw)
+    return event_edges(dealt_stream(spark, table, F.floor(F.col("event_id") * STREAM_BATCHES / (last + 1))))
+
+
+#: Events come up to two days late, by the event's number (microseconds).
+DELAY_US = 172_800_000_000
+ARRIVALS = f"""
+arrived AS (
+  SELECT e.*, epoch_us(v.ts) + (e.event_id * 7919 % 1000) * {DELAY_US // 1000} AS due FROM events v JOIN edges e ON e.event_id = v.event_id),
+dealt AS (
+  SELECT *, ((due - (SELECT min(due) FROM arrived)) * {STREAM_BATCHES}) // (SELECT max(due) - min(due) + 1 FROM arrived) AS b FROM arrived),
+latest_by AS (SELECT b, max(2 * floor(t_e * 1000)) AS clock FROM dealt GROUP BY b),
+kept AS (
+  SELECT * FROM dealt d
+  WHERE 2 * floor(t_e * 1000) > coalesce((SELECT max(clock) FROM latest_by l WHERE l.b < d.b - 1), 0) - 2 * 86400 * 1000)"""
+
+
+def late_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The event table as a stream of edges out of order: four micro-batches, and one with a far later
+    edge that fits no chain, which lets the stream's time pass all others."""
+    delay = F.col("event_id") * 7919 % 1000 * (DELAY_US // 1000)
+    table = events(spark, sf).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")) + delay)
+    low, high = table.agg(F.min("_at"), F.max("_at")).first()
+    dealt = table.withColumn("_b", F.floor((F.col("_at") - low) * STREAM_BATCHES / F.lit(high - low + 1))).drop("_at")
+    closing = dealt.orderBy(F.desc("ts")).limit(1).withColumns(
+        {"ts": F.col("ts") + F.expr("INTERVAL 90 DAYS"), "user_id": F.lit(-1).cast(table.schema["user_id"].dataType),
+         "event_type": F.lit("view"), "_b": F.lit(STREAM_BATCHES).cast("long")}
+    )
+    return event_edges(dealt_stream(spark, dealt.unionByName(closing), F.col("_b"), STREAM_BATCHES + 1))
 
 
 def run_stream(frame: DataFrame, schema: T.StructType | str) -> DataFrame:
@@ -962,6 +998,19 @@ def stream_motif_completions(spark, sf):
     return completion_columns(keyed.completions(found))
 
 
+@query(ORACLE["match_motifs"])
+def stream_motifs_reordered(spark, sf):
+    """Edges up to two days out of order, none late: the chains of the batch match."""
+    return completion_columns(keyed.completions(run_stream(keyed.ordered_motifs(late_stream(spark, sf), lateness=172_800), M.EVENT)))
+
+
+@query(O.with_edges(ARRIVALS, O.chains(timeout=True).replace("FROM edges", "FROM kept"), body=COMPLETIONS))
+def stream_motifs_late(spark, sf):
+    """Lateness of one day: older edges are left out once the watermark has passed them; chains time out in event time."""
+    found = run_stream(keyed.ordered_motifs(late_stream(spark, sf), lateness=86_400, timeout="event_time"), M.EVENT)
+    return completion_columns(keyed.completions(found))
+
+
 @query(O.with_edges(O.RATES, body="""
 , dealt AS (SELECT *, floor(event_id * 4 / ((SELECT max(event_id) FROM edges) + 1)) AS b FROM edges JOIN rates USING (protocol)),
 passes AS (SELECT b, max(t_e) AS now, lag(max(t_e)) OVER (ORDER BY b) AS before FROM dealt GROUP BY b),
@@ -982,10 +1031,8 @@ def stream_upserts(spark, sf):
     edges, n = read_event_edges(spark, sf).select(*EDGE.fieldNames()), F.col("raw_event_id").cast("bigint")
     again = lambda every, share: edges.filter(n % every == 0).withColumn("w_0", F.col("w_0") * share)
     first = again(5, 0.5).withColumn("sent", F.lit(1)).unionByName(edges.withColumn("sent", F.lit(0)))
-    path = scale.scratch_path(spark)
-    for k, part in enumerate((first, again(7, 0.25).withColumn("sent", F.lit(0)))):
-        part.coalesce(1).write.parquet(f"{path}/part-{k}")
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
+    second = again(7, 0.25).withColumns({"sent": F.lit(0), "_b": F.lit(1)})
+    stream = dealt_stream(spark, first.withColumn("_b", F.lit(0)).unionByName(second), F.col("_b"), 2)
     sink = batches.PruneSink(scale.scratch_path(spark), decay.PrunePolicy(0.0, 0.0), arrival="sent")
     run_batches(stream, sink)
     return sink.live(spark, 1).select("edge_id", "w_0")
@@ -1007,12 +1054,23 @@ def replayed_edges(spark, sf):
     return replayed.select("edge_id", "src", "dst", "protocol", "t_e", "src_type", "dst_type", "w_0", "source_system")
 
 
-@query(f"""SELECT * FROM (VALUES ('anomalies'), ('completions'), ('active_graph_size')) p(product) JOIN (
-{O.with_edges(O.RATES, O.SIGNALS, O.chains(), body='''
+@query(O.with_edges(O.RATES, O.SIGNALS, """
+dealt AS (SELECT *, floor(event_id * 4 / ((SELECT max(event_id) FROM edges) + 1)) AS b FROM edges JOIN rates USING (protocol)),
+passes AS (SELECT b, max(t_e) AS now, lag(max(t_e)) OVER (ORDER BY b) AS before FROM dealt GROUP BY b),
+weighed AS (
+  SELECT d.*, p.b AS pass, now, w_0 * exp(-lambda_p * greatest(0.0, now - t_e)) AS w
+  FROM passes p JOIN dealt d ON d.b <= p.b AND (d.b = p.b OR w_0 * exp(-lambda_p * greatest(0.0, before - t_e)) >= 0.05)),
+prunes AS (SELECT edge_id, now AS pruned_at FROM weighed WHERE w < 0.05),
+active AS (SELECT * FROM weighed WHERE pass = 3 AND w >= 0.05)""", O.chains(prunes="prunes"), NEIGHBORHOOD, body="""
 SELECT 'anomalies' AS product, count(*) AS n FROM signals WHERE abs(z_score) >= 3
 UNION ALL SELECT 'completions', count(*) FROM completions
-UNION ALL SELECT 'active_graph_size', count(*) FROM (SELECT *, max(t_e) OVER () AS now FROM edges) JOIN rates USING (protocol)
-WHERE w_0 * exp(-lambda_p * greatest(0.0, now - t_e)) >= 0.05''')}) USING (product)""")
+UNION ALL SELECT 'active_graph_size', count(*) FROM active
+UNION ALL SELECT 'resets', count(*) FROM resets
+UNION ALL SELECT 'audit_prune', count(*) FROM prunes
+UNION ALL SELECT 'audit_motif_reset', count(*) FROM resets
+UNION ALL SELECT 'alert_scores', count(*) FROM (
+  SELECT DISTINCT motif_name, chain_key, entity_id FROM area JOIN completions USING (chain_key)
+  JOIN (SELECT src AS entity_id FROM active UNION SELECT dst FROM active) USING (entity_id))"""))
 def continuous_products(spark, sf):
     """All products of a continuous run over four micro-batches, counted.
 
@@ -1023,6 +1081,25 @@ def continuous_products(spark, sf):
         started.awaitTermination()
     size = run.snapshot(spark, NOW).select(F.lit("active_graph_size").alias("product"), F.col("active_graph_size").alias("n"))
     counted = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("product"), "n")
-    return size.unionByName(counted("anomalies", run.anomalies(spark))).unionByName(
-        counted("completions", keyed.completions(run.motif_events(spark)))
-    )
+    found, records = run.motif_events(spark), run.audit(spark)
+    parts = [
+        size, counted("anomalies", run.anomalies(spark)), counted("completions", keyed.completions(found)), counted("resets", keyed.resets(found)),
+        counted("audit_prune", records.filter("type = 'prune'")), counted("audit_motif_reset", records.filter("type = 'motif_reset'")),
+        counted("alert_scores", run.alert_scores(spark).select("motif_name", "chain_key", "entity_id").distinct()),
+    ]
+    return E.union_edges(*parts)
+
+
+@query(O.with_edges(O.RATES, """
+dealt AS (SELECT *, floor(event_id * 4 / ((SELECT max(event_id) FROM edges) + 1)) AS b FROM edges JOIN rates USING (protocol)),
+passes AS (SELECT b, max(t_e) AS now, lag(max(t_e)) OVER (ORDER BY b) AS before FROM dealt GROUP BY b),
+prunes AS (
+  SELECT edge_id, now AS pruned_at
+  FROM passes p JOIN dealt d ON d.b <= p.b AND (d.b = p.b OR w_0 * exp(-lambda_p * greatest(0.0, before - t_e)) >= 0.05)
+  WHERE w_0 * exp(-lambda_p * greatest(0.0, now - t_e)) < 0.05)""", O.chains(prunes="prunes"), body=RESETS))
+def stream_motif_resets(spark, sf):
+    """Chains that prune passes reset: edges and the pass sink's prunes, two streams in one order of time."""
+    sink = batches.PruneSink(scale.scratch_path(spark), FIXED)
+    run_batches(event_stream(spark, sf), sink)
+    found = run_stream(keyed.ordered_motifs(event_stream(spark, sf), pruned=sink.prune_stream(spark)), M.EVENT)
+    return reset_columns(keyed.resets(found))

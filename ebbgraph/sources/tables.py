@@ -58,8 +58,8 @@ def cold_between(spark: SparkSession, path: str, start: float, end: float) -> Da
     return rows.filter(F.col("t_e").between(F.lit(float(start)), F.lit(float(end)))).select(*COLD_EDGE.fieldNames())
 
 
-def write_audit(records: DataFrame, path: str) -> None:
-    records.withColumn("logged_at", F.unix_micros(F.current_timestamp()) / 1e6).write.mode("append").json(path)
+def write_audit(records: DataFrame, path: str, mode: str = "append") -> None:
+    records.withColumn("logged_at", F.unix_micros(F.current_timestamp()) / 1e6).write.mode(mode).json(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

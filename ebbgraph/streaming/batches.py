@@ -8,6 +8,7 @@ every sink its own folder, used with one stream checkpoint.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -30,6 +31,20 @@ def overwrite_cold(cold: DataFrame, path: str) -> None:
     write_cold_edges(cold, path, mode="overwrite")
 
 
+#: A pruned edge on its way to other streams; one row without an edge for each pass moves their time on.
+PRUNE_EVENT = "edge_id string, src string, dst string, edge_type string, protocol string, src_type string, dst_type string, pruned_at double"
+
+
+def _publish(df: DataFrame, path: str, name: str) -> None:
+    """Write a folder under a hidden name and rename it, so that a stream sees all of its files or none."""
+    spark = df.sparkSession
+    hidden, shown = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}{name}") for prefix in ("_", ""))
+    df.write.mode("overwrite").parquet(f"{path}/_{name}")
+    system = hidden.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(shown, True)
+    system.rename(hidden, shown)
+
+
 def _drop_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -40,7 +55,8 @@ class PruneSink:
     """Upsert a batch into the live graph, prune it, keep cold records and a pass reading.
 
     Under ``path``: live/v=N (snapshot after pass N with its prune flags), cold (by batch
-    and day), passes (one reading per pass, written last: it publishes the snapshot).
+    and day), prunes (the pruned edges again, for streams: see ``prune_stream``), passes (one
+    reading per pass, written last: it publishes the snapshot).
     Snapshots older than ``keep`` passes are removed. ``arrival`` names a column of the batch
     that orders writes of one edge; without it their order in the batch counts. Edges that ``writer``
     could not store (all of them if it raises) stay live for the next pass and are counted.
@@ -85,6 +101,10 @@ class PruneSink:
         reading = decay.prune_stats(written).withColumns(
             {"t": F.lit(float(now)), "pruned": F.col("pruned") - failures, "write_failures": failures}
         )
+        due = written.filter("prune").join(spark.read.parquet(kept), "edge_id", "left_anti").withColumn("pruned_at", F.lit(float(now)))
+        tick = spark.createDataFrame([(None,) * 7 + (float(now),)], PRUNE_EVENT)
+        if math.isfinite(now):
+            _publish(due.select(*tick.columns).unionByName(tick), f"{self.path}/prunes", f"pass-{batch_id}")
         reading.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/passes/batch={batch_id}")
         if self.after_pass is not None:
             self.after_pass(self.live(spark, batch_id), now, batch_id)
@@ -105,6 +125,12 @@ class PruneSink:
     def passes(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/passes")
 
+    def prune_stream(self, spark: SparkSession) -> DataFrame:
+        """The pruned edges as a stream, with a row that has only ``pruned_at`` for each pass."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/prunes")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        return spark.readStream.schema(PRUNE_EVENT).parquet(f"{self.path}/prunes/pass-*")
+
 
 @dataclass
 class RecalibrationSink:

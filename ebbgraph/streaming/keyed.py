@@ -2,12 +2,13 @@
 
 Each micro-batch is bounded by the source's trigger limit, and so is what one key can
 bring in one call. Rows are ordered inside the micro-batch; between micro-batches they
-count in the order they arrive.
+count in the order they arrive, or, in ``ordered_motifs``, in event order.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -113,6 +114,84 @@ def stream_motifs(
     )
 
 
+class OrderedChainStep:
+    """Advance one (motif, chain_key) slot in event order.
+
+    Rows wait in the key's state until the watermark has passed them: by then none before them can
+    still arrive, so they are released in order. A key's wait list holds what came within the
+    lateness, no more. A timer wakes the key for its earliest waiting row, else for its time-out.
+    """
+
+    ROW = ("t_e", "edge_id", "stage", "n_steps", "window_seconds", "score")
+
+    def __init__(self, fold: ChainFold) -> None:
+        self.fold = fold
+
+    def __call__(self, key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        chain, text = state.get if state.exists else (None, "[]")
+        waiting = json.loads(text)
+        if not state.hasTimedOut:
+            for frame in batches:
+                waiting.extend(zip(*(frame[c].tolist() for c in self.ROW)))
+        passed = state.getCurrentWatermarkMs()
+        due = sorted((w for w in waiting if clock_ms(w[0]) <= passed), key=lambda w: (w[0], w[2] == PRUNE_ROW, w[1], w[2]))
+        later = [w for w in waiting if clock_ms(w[0]) > passed]
+        if due:
+            rows = pd.DataFrame(due, columns=self.ROW).assign(motif_name=key[0], chain_key=key[1], pruned_at=None)
+            out, chain = self.fold(chain, rows)
+            if out:
+                yield pd.DataFrame(out, columns=EVENT.fieldNames())
+        dies = json.loads(chain)["dies"] if chain else None
+        if not later and dies is not None and clock_ms(dies) <= passed:
+            chain = None  # no row that could still use it can arrive
+        if not later and not chain:
+            if state.exists:
+                state.remove()
+            return
+        state.update((chain, json.dumps(later)))
+        wakes = [clock_ms(w[0]) for w in later] or ([clock_ms(dies)] if dies is not None else [])
+        if wakes:
+            state.setTimeoutTimestamp(max(min(wakes) - 1, passed + 1))  # fires once the watermark reaches it
+
+
+def clock_ms(t: float) -> int:
+    """The stream clock counts half milliseconds, so that a timer can be set just before any instant.
+
+    It is one millisecond ahead: a stream's watermark begins at 0, and an edge at time 0 is not late. No
+    edge may lie before the epoch.
+    """
+    return 2 * math.floor(t * 1000) + 2
+
+
+def _clocked(frame: DataFrame, t: str, lateness: float) -> DataFrame:
+    """With ``_clock``, the time column of the watermark, which trails the newest row by ``lateness`` seconds."""
+    timed = frame.withColumn("_clock", F.timestamp_millis(2 * F.floor(F.col(t) * 1000) + 2))
+    return timed.withWatermark("_clock", f"{2 * round(lateness * 1000)} milliseconds")
+
+
+def ordered_motifs(
+    edges: DataFrame, motifs: Sequence[Motif] | None = None, *, fuzzy: bool = False, min_confidence: float = MIN_CONFIDENCE,
+    timeout: str = "none", lateness: float = 0.0, pruned: DataFrame | None = None,
+) -> DataFrame:
+    """Completion and reset events of edges that arrive in any order within ``lateness`` seconds.
+
+    Equal to the batch match of the edges that are not late. Edges at or before the watermark of earlier
+    micro-batches are late and left out; the newest ``lateness`` seconds wait for newer edges. ``pruned``
+    is a second stream, of pruned edges (with ``pruned_at``): both streams' rows meet in one state in
+    order of time, edges before prunes at one instant, and the slower stream holds the watermark back. A
+    row of it without an edge_id only moves its time on.
+    """
+    rows = motif_candidates(_clocked(edges, "t_e", lateness), motifs, fuzzy, keep=["_clock"])
+    if pruned is not None:
+        timed = _clocked(pruned.withColumn("t_e", F.col("pruned_at")), "pruned_at", lateness)
+        routed = motif_candidates(timed, motifs, fuzzy, keep=["_clock"])
+        rows = rows.unionByName(routed.withColumn("stage", F.lit(PRUNE_ROW)))
+    fold = ChainFold(min_confidence, timeout == "event_time")
+    return rows.groupBy(*KEYS).applyInPandasWithState(
+        OrderedChainStep(fold).__call__, EVENT, "chain string, waiting string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def completions(events: DataFrame) -> DataFrame:
     return events.filter(F.col("kind") == "completion").select(
         "motif_name", "chain_key", "matched_edges", F.col("at").alias("completed_at"), "confidence"

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbgraph.config import DecayConfig
-from ebbgraph.operators import forensics, graph, ops
+from ebbgraph.operators import baseline, forensics, graph, motifs as M, ops
 from ebbgraph.schema import COLD_EDGE, FEEDBACK, RESET
 from ebbgraph.sources import config_table, tables
-from helpers import edges
+from helpers import edges, random_edges
 
 
 def cold(spark, *rows):
@@ -131,3 +131,17 @@ def test_partitioned_write(spark, tmp_path):
     graph.write_partitioned(df, str(tmp_path / "g"), 4)
     back = spark.read.parquet(str(tmp_path / "g"))
     assert back.count() == 20 and back.filter(F.col("shard") >= 4).count() == 0
+
+
+def test_alert_scores_average_only_what_they_need(spark):
+    df = random_edges(spark, 150, seed=8)
+    far = edges(spark, [(f"Machine:far{i}", f"Machine:far{i + 1}", "Authentication", "SMB", float(i), 1.0) for i in range(40)])
+    everything = df.unionByName(far)
+    alerts = M.match_motifs(df).limit(2)
+    z = baseline.latest_deviation(baseline.deviation_signals(df))
+    area = graph.alert_neighborhood(alerts, everything).select("entity_id")
+    whole = {r.entity_id: r.score for r in graph.score_entities(everything, z, area).collect()}
+    got = {r.entity_id: r.score for r in graph.score_alert_neighborhoods(alerts, everything, z).collect()}
+    assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-12 for k in got)
+    needed = graph.scoring_edges(everything, area)
+    assert needed.filter("src like 'Machine:far%'").isEmpty() and needed.count() <= df.count()

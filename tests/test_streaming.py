@@ -1,11 +1,12 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ebbgraph.config import DecayConfig, load_motifs
-from ebbgraph.operators import baseline, calibration, decay, motifs as M
+from ebbgraph.operators import baseline, calibration, decay, graph, motifs as M
 from ebbgraph.schema import EDGE
 from ebbgraph.sources.tables import replay_stream
 from ebbgraph.streaming import batches, continuous, keyed
@@ -126,6 +127,116 @@ def test_recalibration_stream_equals_batch(spark, tmp_path):
         assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-12)
 
 
+def shuffled(spark, df, folder, delay, last=None):
+    """Edges dealt to micro-batches by time plus a delay of up to ``delay`` seconds; then one far later edge that fits nothing."""
+    folder.mkdir()
+    rows = [r.asDict() for r in df.collect()]
+    rows.sort(key=lambda r: r["t_e"] + int(r["edge_id"][:6], 16) % 1000 / 1000 * delay)
+    size = -(-len(rows) // 4)
+    far = {**rows[0], "src": "User:none", "dst": "User:none", "edge_type": "None", "t_e": max(r["t_e"] for r in rows) + 10 * delay, "edge_id": "far"}
+    parts = [rows[i : i + size] for i in range(0, len(rows), size)] + [[far]]
+    for i, part in enumerate(parts):
+        (folder / f"part-{i}.json").write_text("\n".join(json.dumps(r) for r in part))
+        time.sleep(0.05)
+    return replay_stream(spark, str(folder)), parts
+
+
+def events_of(df):
+    return sorted((r.motif_name, r.chain_key, tuple(r.matched_edges), r.completed_at) for r in df.collect())
+
+
+@pytest.mark.parametrize("timeout", ["none", "event_time"])
+def test_edges_out_of_order_match_as_in_batch(spark, tmp_path, timeout):
+    df = random_edges(spark, 400)
+    span = df.agg(F.max("t_e") - F.min("t_e")).first()[0]
+    stream, parts = shuffled(spark, df, tmp_path / "in", span / 2)
+    assert min(r["t_e"] for r in parts[1]) < max(r["t_e"] for r in parts[0])
+    got = keyed.completions(drain(keyed.ordered_motifs(stream, timeout=timeout, lateness=span / 2), M.EVENT, tmp_path))
+    expected = events_of(M.match_motifs(df, timeout=timeout))
+    assert events_of(got) == expected and len(expected) > 10
+
+
+def test_late_edges_are_left_out(spark, tmp_path):
+    df = random_edges(spark, 400)
+    span, lateness = df.agg(F.max("t_e") - F.min("t_e")).first()[0], 50.0
+    stream, parts = shuffled(spark, df, tmp_path / "in", span / 2)
+    newest, kept = [], []
+    for k, part in enumerate(parts[:4]):
+        passed = max((keyed.clock_ms(t) for t in newest[: max(0, k - 1)]), default=0) - 2000 * lateness if k > 1 else 0
+        kept += [r["edge_id"] for r in part if keyed.clock_ms(r["t_e"]) > passed]
+        newest.append(max(r["t_e"] for r in part))
+    assert 0 < len(kept) < df.count()
+    got = keyed.completions(drain(keyed.ordered_motifs(stream, lateness=lateness), M.EVENT, tmp_path))
+    assert events_of(got) == events_of(M.match_motifs(df.filter(F.col("edge_id").isin(kept))))
+
+
+class State:
+    """What the fold needs of a group's state."""
+
+    def __init__(self, watermark):
+        self.watermark, self.value, self.wakes, self.hasTimedOut = watermark, None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.watermark
+        self.wakes = at
+
+
+def test_waiting_rows_and_time_outs_of_one_key():
+    step, key = keyed.OrderedChainStep(M.ChainFold(0.5, True)), ("m", "k")
+    frame = lambda *rows: pd.DataFrame([(t, e, s, 2, 100.0, 1.0) for t, e, s in rows], columns=step.ROW)
+    state = State(0)
+    assert list(step(key, iter([frame((30.0, "b", 1)), frame((10.0, "a", 0))]), state)) == []
+    assert state.wakes == keyed.clock_ms(10.0) - 1 and len(json.loads(state.value[1])) == 2
+    state.watermark, state.hasTimedOut = keyed.clock_ms(10.0), True
+    assert list(step(key, iter([]), state)) == [] and json.loads(state.value[0])["ids"] == ["a"]
+    state.watermark = keyed.clock_ms(30.0)
+    (out,) = step(key, iter([]), state)
+    assert out.iloc[0]["matched_edges"] == ["a", "b"] and state.value is None
+    state.hasTimedOut = False
+    list(step(key, iter([frame((40.0, "c", 0))]), state))
+    state.watermark, state.hasTimedOut = keyed.clock_ms(50.0), True
+    list(step(key, iter([]), state))
+    assert state.wakes == keyed.clock_ms(140.0) - 1  # the chain's time-out
+    state.watermark = keyed.clock_ms(140.0)
+    assert list(step(key, iter([]), state)) == [] and state.value is None
+
+
+def test_prunes_take_their_place_in_time(spark, tmp_path):
+    """A prune that arrives before later edges, and one at the instant of the edge that completes the chain."""
+    df = edges(spark, [hop(0), hop(10, "A", "Z"), hop(20, "A", "Y"), admin(60), admin(70, "Z", "Q"), admin(80, "Y", "Q")])
+    ids = {r.t_e: r for r in df.collect()}
+    (tmp_path / "prunes").mkdir()
+    pruned = [{**ids[0.0].asDict(), "pruned_at": 30.0}, {**ids[10.0].asDict(), "pruned_at": 70.0}, {"pruned_at": 500.0}]
+    (tmp_path / "prunes" / "g.json").write_text("\n".join(json.dumps(r) for r in pruned))
+    source = spark.readStream.schema(batches.PRUNE_EVENT).json(str(tmp_path / "prunes"))
+    events = drain(keyed.ordered_motifs(replay_stream(spark, staged(df, tmp_path / "in", files=3)), AB, pruned=source), M.EVENT, tmp_path)
+    assert [(r.chain_key, r.triggering_edge_id, r.reset_at) for r in keyed.resets(events).collect()] == [("Machine:B", ids[0.0].edge_id, 30.0)]
+    assert sorted(r.chain_key for r in keyed.completions(events).collect()) == ["Machine:Y", "Machine:Z"]
+
+
+def test_pass_sink_publishes_prunes(spark, tmp_path):
+    df = random_edges(spark, 60)
+    sink = batches.PruneSink(str(tmp_path / "graph"), decay.PrunePolicy(0.4, 0.4))
+    sink(df, 0)
+    sink(df, 0)  # a pass that runs again replaces its prunes
+    seen = drain(sink.prune_stream(spark), batches.PRUNE_EVENT, tmp_path).collect()
+    now = df.agg(F.max("t_e")).first()[0]
+    gone = {r.edge_id for r in sink.cold(spark).collect()}
+    assert {r.edge_id for r in seen} == gone | {None} and len(seen) == len(gone) + 1 and {r.pruned_at for r in seen} == {now}
+
+
 def test_continuous_run(spark, tmp_path):
     df = random_edges(spark, 200)
     path = staged(df, tmp_path / "in", files=2)
@@ -133,7 +244,18 @@ def test_continuous_run(spark, tmp_path):
     for query in run.start(spark, lambda: replay_stream(spark, path)):
         query.awaitTermination()
     assert run.signals(spark).count() == df.count()
-    assert keyed.completions(run.motif_events(spark)).count() == M.match_motifs(df).count()
+    found = run.motif_events(spark)
+    sink = run.prune_sink()
+    pruned = sink.cold(spark).select("edge_id", "pruned_at")
+    assert events_of(keyed.completions(found)) == events_of(M.match_motifs(df, prunes=pruned))
+    resets = lambda d: sorted((r.chain_key, r.triggering_edge_id, r.reset_at) for r in d.collect())
+    assert resets(keyed.resets(found)) == resets(M.motif_resets(df, pruned))
+    audit = {r.type: r["count"] for r in run.audit(spark).groupBy("type").count().collect()}
+    assert audit == {k: n for k, n in (("prune", pruned.count()), ("motif_reset", keyed.resets(found).count())) if n}
+    z = baseline.latest_deviation(run.signals(spark))
+    want = graph.score_alert_neighborhoods(keyed.completions(found), sink.live(spark, 1), z)
+    scores_of = lambda d: {(r.motif_name, r.chain_key, r.entity_id, round(r.score, 9)) for r in d.collect()}
+    assert scores_of(run.alert_scores(spark)) == scores_of(want) and want.count()
     now = df.agg(F.max("t_e")).first()[0]
     snap = run.snapshot(spark, now).first()
     assert snap.active_graph_size == decay.active_at(df, now, 0.2).count()

@@ -21,10 +21,11 @@ NORMAL, UNKNOWN, BYTE, UNUSED = 1, 2, 6, 5  # fixed values: the format's piece t
 UNIGRAM, BPE = 1, 2  # fixed values: the format's model types
 UNKNOWN_PENALTY = 10.0  # fixed value: the library's score of an unknown character below the worst piece
 MEMO = 200_000  # entries of half a memo at most
+LONGEST_KEY = 64  # characters of a key that is remembered, at most: with MEMO it bounds a memo in bytes
 
 
 class Memo(dict):
-    """Values made on first use. A full memo keeps what it has as the older half and starts anew."""
+    """Values made on first use. A full memo keeps what it has as the older half and starts anew; long keys stay out."""
 
     def __init__(self, make: Callable):
         super().__init__()
@@ -32,6 +33,8 @@ class Memo(dict):
         self.older: dict = {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
         if len(self) >= MEMO:
             self.older = dict(self)
             self.clear()

@@ -1,4 +1,10 @@
-"""A training-corpus pipeline of five stages over ``documents``, each stage the next one's input."""
+"""A training-corpus pipeline of five stages over ``documents``, each stage the next one's input.
+
+Defined results: a null text counts as empty in every stage; a very long text is read whole; of rows that are
+repeated whole, one copy stays after exact dedup; of equal or linked texts the stage's own rule names the one
+that stays, so ties have one result; an empty table gives an empty result with the last stage's columns;
+further columns of ``documents``, whatever their names, are handed through by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +17,17 @@ from ebbgraph.llm.common import store, table
 from ebbgraph.llm.queries import tokenizer_model
 
 
+#: Rows of an Arrow batch: documents can be long, and an executor holds several batches on each side of a Python worker.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for junk or toxic go."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -23,16 +38,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked one stays."""
+    small_batches(spark)
     return simhash.near_dedup(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat benchmark passages go."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids, and the digest of what they decode to."""
+    small_batches(spark)
     return sentencepiece_codec.codec(docs, tokenizer_model())
 
 

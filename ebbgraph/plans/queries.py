@@ -398,11 +398,18 @@ def entity_activity_many(spark, sf):
     return forensics.reconstruct_many(cold, windows).select("entity", "edge_id", "t_e")
 
 
+def stored_cold(spark: SparkSession, sf: str) -> str:
+    """The cold table as it is kept: in day folders."""
+    path = scale.scratch_path(spark)
+    tables.write_cold_edges(pruned(spark, sf).cold, path)
+    return path
+
+
 @query(O.with_edges(O.COLD, body="""
 SELECT CASE WHEN src = 'Machine:C7' THEN dst ELSE src END AS other, protocol, edge_type, t_e, pruned_at
 FROM cold WHERE src = 'Machine:C7' OR dst = 'Machine:C7' ORDER BY t_e DESC, edge_id LIMIT 50"""))
 def newest_entity_activity(spark, sf):
-    return forensics.newest_activity(pruned(spark, sf).cold, "Machine:C7").drop("edge_id")
+    return forensics.newest_stored(spark, stored_cold(spark, sf), "Machine:C7").drop("edge_id")
 
 
 @query(O.with_edges(O.COLD, body="""
@@ -414,7 +421,7 @@ def prunes_by_protocol(spark, sf):
 @query(O.with_edges(O.COLD, body="""
 SELECT edge_id, src, dst, t_e FROM cold WHERE edge_id = (SELECT min(edge_id) FROM cold)"""))
 def cold_edge_lookup(spark, sf):
-    cold = pruned(spark, sf).cold
+    cold = tables.read_cold_edges(spark, stored_cold(spark, sf))
     wanted = cold.agg(F.min("edge_id")).first()[0]
     return forensics.get_edge(cold, wanted).select("edge_id", "src", "dst", "t_e")
 
@@ -561,7 +568,8 @@ def open_chains_hit_by_prunes(spark, sf):
 SELECT motif_name, chain_key, completed_at, c.edge_id, c.src, c.dst, round(c.w_at_prune, 6) AS w_at_prune
 FROM (SELECT *, unnest(matched_edges) AS edge_id FROM completions) a JOIN cold c ON c.edge_id = a.edge_id"""))
 def alert_cold_edges(spark, sf):
-    found = forensics.alert_edges(M.match_motifs(read_event_edges(spark, sf)), pruned(spark, sf).cold)
+    cold = tables.read_cold_edges(spark, stored_cold(spark, sf), by_day=True)
+    found = forensics.alert_edges(M.match_motifs(read_event_edges(spark, sf)), cold)
     return found.select("motif_name", "chain_key", "completed_at", "edge_id", "src", "dst", r6("w_at_prune").alias("w_at_prune"))
 
 

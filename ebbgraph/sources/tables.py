@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbgraph.operators.edges import normalize_edges, to_json
 from ebbgraph.schema import COLD_EDGE, EDGE
@@ -36,25 +37,49 @@ def event_day(t: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(t / 86400).cast("int"))
 
 
+#: Columns by which single cold records are looked up: each file says by a Bloom filter what it cannot hold.
+LOOKUP_COLUMNS = ("edge_id", "src", "dst")
+
+
 def write_cold_edges(cold: DataFrame, path: str, mode: str = "append") -> None:
-    """Cold records by event day. Ranges of t_e keep each task to few days, so few files."""
+    """Cold records by event day. Ranges of t_e keep each task to few days, so few files.
+
+    Bloom filters of ``LOOKUP_COLUMNS``, of a size that follows the file's values, let a lookup by
+    equality skip the row groups that do not hold its value.
+    """
     day = event_day(F.col("t_e"))
-    (
+    writer = (
         cold.select(*COLD_EDGE.fieldNames(), day.alias("day"))
         .repartitionByRange("t_e", "edge_id").sortWithinPartitions("day", "t_e")
-        .write.mode(mode).partitionBy("day").parquet(path)
+        .write.mode(mode).partitionBy("day").option("parquet.bloom.filter.adaptive.enabled", "true")
     )
+    for name in LOOKUP_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.parquet(path)
+
+
+def cold_days(spark: SparkSession, path: str) -> list[str]:
+    """The days of a cold table, newest first: a listing of its folders, no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [status.getPath().getName() for status in found]
+    return sorted((n.removeprefix("day=") for n in names if n.startswith("day=")), reverse=True)
 
 
 def read_cold_edges(spark: SparkSession, path: str, by_day: bool = False) -> DataFrame:
     """Cold records; with ``by_day`` also the folder column ``day``, by which ``forensics.activity`` opens few folders."""
-    return spark.read.parquet(path).select(*COLD_EDGE.fieldNames(), *["day"] * by_day)
+    return _cold_table(spark, path).select(*COLD_EDGE.fieldNames(), *["day"] * by_day)
+
+
+def _cold_table(spark: SparkSession, path: str) -> DataFrame:
+    """With its layout given, so that no file is opened to find it out."""
+    return spark.read.schema(T.StructType([*COLD_EDGE.fields, T.StructField("day", T.DateType())])).parquet(path)
 
 
 def cold_between(spark: SparkSession, path: str, start: float, end: float) -> DataFrame:
     """Cold edges of a time range; only the day folders it covers are opened."""
     day = lambda t: event_day(F.lit(float(t)))
-    rows = spark.read.parquet(path).filter(F.col("day").between(day(start), day(end)))
+    rows = _cold_table(spark, path).filter(F.col("day").between(day(start), day(end)))
     return rows.filter(F.col("t_e").between(F.lit(float(start)), F.lit(float(end)))).select(*COLD_EDGE.fieldNames())
 
 

@@ -145,3 +145,57 @@ def test_alert_scores_average_only_what_they_need(spark):
     assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-12 for k in got)
     needed = graph.scoring_edges(everything, area)
     assert needed.filter("src like 'Machine:far%'").isEmpty() and needed.count() <= df.count()
+
+
+def spoil(path, days):
+    """Make the files of some day folders unreadable."""
+    for day in days:
+        for file in (path / f"day={day}").glob("*.parquet"):
+            file.write_bytes(b"no parquet")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+
+
+def days_of_cold(spark, path, days=12):
+    rows = [(f"e{d}-{i}", "User:a" if i % 10 == 0 else f"User:u{d}-{i}", f"Machine:m{i}", "RDP", 86400.0 * d + i, 9e6) for d in range(days) for i in range(30)]
+    tables.write_cold_edges(cold(spark, *rows), str(path))
+    return cold(spark, *rows)
+
+
+def test_newest_edges_open_the_newest_days(spark, tmp_path):
+    path = tmp_path / "cold"
+    table = days_of_cold(spark, path)
+    assert tables.cold_days(spark, str(path))[:2] == ["1970-01-12", "1970-01-11"]
+    everything = forensics.newest_activity(table, "User:a", 100).collect()
+    assert forensics.newest_stored(spark, str(path), "User:a", 100).collect() == everything and len(everything) == 36
+    spoil(path, [f"1970-01-{d:02d}" for d in range(1, 10)])
+    got = forensics.newest_stored(spark, str(path), "User:a", 7)  # three edges a day: one day, then two more
+    assert [r.t_e for r in got.collect()] == [r.t_e for r in everything[:7]]
+
+
+def test_alert_edges_open_the_days_of_their_windows(spark, tmp_path):
+    path = tmp_path / "cold"
+    days_of_cold(spark, path)
+    spoil(path, [f"1970-01-{d:02d}" for d in (*range(1, 6), *range(9, 13))])
+    alerts = spark.createDataFrame(
+        [("m", "k", ["e6-29", "e7-3", "gone"], 86400.0 * 7 + 3, 1.0)],
+        "motif_name string, chain_key string, matched_edges array<string>, completed_at double, confidence double",
+    )
+    stored = tables.read_cold_edges(spark, str(path), by_day=True)
+    assert sorted((r.position, r.edge_id) for r in forensics.alert_edges(alerts, stored).collect()) == [(0, "e6-29"), (1, "e7-3")]
+    assert forensics.alert_edges(alerts.limit(0), stored).count() == 0
+
+
+def test_lookups_skip_files_by_bloom_filter(spark, tmp_path):
+    path = tmp_path / "cold"
+    days_of_cold(spark, path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for column, value, least, most in (("edge_id", "e5-7", 1, 60), ("src", "User:u3-4", 1, 60), ("edge_id", "e5-7x", 0, 30)):
+            found = tables.read_cold_edges(spark, str(path)).filter(F.col(column) == value)
+            assert found.count() == least
+            rows = found.select("t_e")
+            rows.collect()
+            leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+            assert leaves.head().metrics().apply("numOutputRows").value() <= most
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbgraph.config import DecayConfig
-from ebbgraph.operators.scale import (
-    HOT_ROWS, dense_index, exact_median, fold_by_key, prefix_sums, segment_hot,
-)
+from ebbgraph.operators.decay import with_lambda
+from ebbgraph.operators.scale import HOT_ROWS, dense_index, exact_median, materialize, prefix_sums, segment_hot
 
 MIN_SAMPLES = 30
 WINDOW_GAPS = 500
@@ -147,22 +144,42 @@ def tick_medians(
     gaps = numbered.select("protocol", "number", "gap")
     if recent is not None:
         gaps = gaps.unionByName(recent.select("protocol", "number", "gap"))
-    block = F.lit(window_gaps)
-    first = F.floor(F.greatest(F.col("upto") - window_gaps, F.lit(0)) / block)
-    windows = reached.select("protocol", "upto").distinct().withColumn(
-        "_bucket", F.explode(F.sequence(first, F.floor((F.col("upto") - 1) / block)))
-    )
-    parts = gaps.withColumn("_bucket", F.floor((F.col("number") - 1) / block))
-    inside = (F.col("number") <= F.col("upto")) & (F.col("number") > F.col("upto") - window_gaps)
-    medians = (
-        windows.join(parts, ["protocol", "_bucket"]).filter(inside)
-        .groupBy("protocol", "upto")
-        .agg(F.count("*").cast("int").alias("sample_count"), F.median("gap").alias("median"))
-    )
+    medians = _window_medians(reached.select("protocol", "upto").distinct(), gaps, window_gaps)
     # a protocol that falls silent keeps the same number for all later ticks
     return reached.join(medians, ["protocol", "upto"]).select("tick", "t", "protocol", "sample_count", "median")
 
 
+def _window_medians(windows: DataFrame, gaps: DataFrame, size: int) -> DataFrame:
+    """(protocol, upto, sample_count, median) of the newest ``size`` gaps up to number ``upto``.
+
+    Gaps of a protocol, numbered without holes, are packed into arrays of ``size``. A window lies in at most two of
+    them, so it meets two rows, not its gaps one by one.
+    """
+    keys = ["protocol", "_bucket"]
+    packed = F.array_sort(F.collect_list(F.struct("number", "gap")))
+    blocks = (
+        gaps.withColumn("_bucket", F.floor((F.col("number") - 1) / size))
+        .groupBy(*keys).agg(packed.alias("_packed"))
+        .select(*keys, F.col("_packed")[0]["number"].alias("_from"), F.col("_packed.gap").alias("_gaps"))
+    )
+    earlier = blocks.select("protocol", (F.col("_bucket") + 1).alias("_bucket"), F.col("_from").alias("_from_0"), F.col("_gaps").alias("_gaps_0"))
+
+    def inside(values: str, start: str) -> Column:
+        first = F.greatest(F.col("upto") - size + 1, F.col(start))
+        last = F.least(F.col("upto"), F.col(start) + F.size(values) - 1)
+        cut = F.slice(values, (first - F.col(start) + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))
+        return F.coalesce(cut, F.array().cast("array<double>"))
+
+    met = (
+        windows.withColumn("_bucket", F.floor((F.col("upto") - 1) / size))
+        .join(blocks, keys, "left").join(earlier, keys, "left")
+        .select("protocol", "upto", F.sort_array(F.concat(inside("_gaps", "_from"), inside("_gaps_0", "_from_0"))).alias("_window"))
+    )
+    n = F.size("_window")
+    low, high = F.col("_window")[F.floor((n - 1) / 2).cast("int")], F.col("_window")[F.floor(n / 2).cast("int")]
+    return met.filter(n > 0).select("protocol", "upto", n.alias("sample_count"), (low * 0.5 + high * 0.5).alias("median"))
+
+
 def rolling_gap_medians(
     edges: DataFrame, *, order: tuple[str, ...] = ("t_e", "edge_id"), hot_rows: int | None = HOT_ROWS,
     split: bool = True, **options,
@@ -185,34 +202,88 @@ RECALIBRATION = T.StructType(
 )
 
 
-def _step_toward(current: float, suggested: float, change: float) -> float:
-    if current <= 0:
-        return suggested
-    return min(max(suggested, current * (1.0 - change)), current * (1.0 + change))
+#: Ticks of a protocol that are walked as one array.
+BLOCK_TICKS = 512
+
+
+def _step_toward(current: Column, suggested: Column, change: float) -> Column:
+    held = F.least(F.greatest(suggested, current * (1.0 - change)), current * (1.0 + change))
+    return F.when(current <= 0, suggested).otherwise(held)
+
+
+def _rate_after(entry: str, change: float) -> Column:
+    """The rate at the end of a block that is entered with the rate in column ``entry``."""
+    return F.aggregate("_ticks", F.col(entry), lambda rate, tick: _step_toward(rate, tick["suggested"], change))
+
+
+def _rates_along(entry: str, change: float) -> Column:
+    """The entry rate and the rate after each tick of a block."""
+    after = lambda rates, tick: F.array(_step_toward(F.element_at(rates, -1), tick["suggested"], change))
+    return F.aggregate("_ticks", F.array(entry), lambda rates, tick: F.concat(rates, after(rates, tick)))
+
+
+def _block_entries(blocks: DataFrame, config: DecayConfig, change: float) -> DataFrame:
+    """(protocol, _block, _entry): the rate in force when each block begins.
+
+    A rate stays between the protocol's lowest and highest suggestion and its first rate, and a step keeps the
+    order of two rates. So each block is walked from both bounds at once: where they end alike, its end is
+    known whatever came before. Where not, it is walked again from the bounds that the block before ended with,
+    until all are closed; each round closes at least the first open block of every protocol.
+    """
+    keys = ["protocol", "_block"]
+    ends = blocks.groupBy("protocol").agg(F.min("_low").alias("_lowest"), F.max("_high").alias("_highest"), F.min("_block").alias("_first"))
+    positive = F.when(F.col("lambda_p") > 0, F.col("lambda_p"))
+    first = F.col("_block") == F.col("_first")
+    exits = materialize(
+        blocks.join(with_lambda(ends, config), "protocol").select(
+            *keys, "_ticks",
+            F.when(first, F.col("lambda_p")).otherwise(F.least("_lowest", positive)).alias("_lo"),
+            F.when(first, F.col("lambda_p")).otherwise(F.greatest("_highest", positive)).alias("_hi"),
+        ).select(*keys, "_lo", "_hi", _rate_after("_lo", change).alias("_out_lo"), _rate_after("_hi", change).alias("_out_hi"))
+    )
+    before = Window.partitionBy("protocol").orderBy("_block")  # a row for each block
+    while True:
+        now = exits.withColumns({
+            "_now_lo": F.coalesce(F.lag("_out_lo").over(before), "_lo"), "_now_hi": F.coalesce(F.lag("_out_hi").over(before), "_hi"),
+        })
+        narrower = (F.col("_now_lo") != F.col("_lo")) | (F.col("_now_hi") != F.col("_hi"))
+        again = (F.col("_out_lo") != F.col("_out_hi")) & narrower
+        if now.filter(again).isEmpty():
+            return now.select(*keys, F.col("_now_lo").alias("_entry"))
+        walked = blocks.join(
+            now.filter(again).select(*keys, F.col("_now_lo").alias("_lo"), F.col("_now_hi").alias("_hi")), keys
+        ).select(*keys, "_lo", "_hi", _rate_after("_lo", change).alias("_out_lo"), _rate_after("_hi", change).alias("_out_hi"))
+        exits = materialize(now.filter(~again).select(*exits.columns).unionByName(walked))
 
 
 def recalibrate(
     medians: DataFrame, config: DecayConfig | None = None,
     max_relative_change: float = MAX_RELATIVE_CHANGE, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Rate changes tick by tick, each limited relative to the protocol's own previous rate."""
-    config = config or DecayConfig()
-    rates, default, change = dict(config.rates), config.default_lambda, max_relative_change
-
-    def fold(text: str | None, rows: pd.DataFrame) -> tuple[list[tuple], str | None]:
-        current = json.loads(text) if text else None
-        out = []
-        for protocol, t, count, median in zip(*(rows[c].tolist() for c in ("protocol", "t", "sample_count", "median"))):
-            if current is None:
-                current = rates.get(protocol, default)
-            suggested = math.log(2) / median
-            applied = _step_toward(current, suggested, change)
-            if applied != current:
-                out.append((protocol, current, suggested, applied, count, t))
-                current = applied
-        return out, None if current is None else json.dumps(current)
-
-    return fold_by_key(medians, ["protocol"], ["tick"], fold, lambda key, state: [], RECALIBRATION, hot_rows)
+    """Rate changes tick by tick, each limited relative to the protocol's own previous rate.
+
+    A protocol's ticks are cut into blocks of ``BLOCK_TICKS`` tick numbers (of ``hot_rows``, if fewer), each walked by
+    itself from the rate that ``_block_entries`` finds for it.
+    """
+    size = min(hot_rows or BLOCK_TICKS, BLOCK_TICKS)
+    suggested = (F.lit(math.log(2)) / F.col("median")).alias("suggested")
+    ticks = medians.select("protocol", "tick", "t", "sample_count", suggested, F.floor(F.col("tick") / size).alias("_block"))
+    blocks = materialize(
+        ticks.groupBy("protocol", "_block").agg(
+            F.array_sort(F.collect_list(F.struct("tick", "t", "sample_count", "suggested"))).alias("_ticks"),
+            F.min("suggested").alias("_low"), F.max("suggested").alias("_high"),
+        )
+    )
+    entries = _block_entries(blocks, config or DecayConfig(), max_relative_change)
+    rates = blocks.join(entries, ["protocol", "_block"]).select(
+        "protocol", "_ticks", _rates_along("_entry", max_relative_change).alias("_rates")
+    )
+    steps = F.transform("_ticks", lambda tick, i: F.struct(
+        F.col("_rates")[i].alias("previous_lambda_p"), tick["suggested"].alias("suggested_lambda_p"),
+        F.col("_rates")[i + 1].alias("applied_lambda_p"), tick["sample_count"].cast("int").alias("sample_count"), tick["t"].alias("t"),
+    ))
+    changes = F.filter(steps, lambda step: step["applied_lambda_p"] != step["previous_lambda_p"])
+    return rates.select("protocol", F.explode(changes).alias("_step")).select("protocol", "_step.*").select(*RECALIBRATION.fieldNames())
 
 
 def adaptive_recalibration(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbgraph.config import MAX_CONFIG_ROWS, DecayConfig
 from ebbgraph.functions.columns import decay_weight, epsilon
+from ebbgraph.operators.scale import carry_last
 from ebbgraph.schema import COLD_EDGE
 
 
@@ -30,6 +31,21 @@ def with_lambda(edges: DataFrame, config: DecayConfig | None = None) -> DataFram
     )
 
 
+def rates_in_force(edges: DataFrame, changes: DataFrame, config: DecayConfig | None = None) -> DataFrame:
+    """Attach the lambda_p that held at each edge's own time.
+
+    ``changes`` (protocol, t, applied_lambda_p; as from ``calibration.recalibrate``) hold from their time on; of two at one
+    time the higher rate counts. Before its first change a protocol has its rate of ``config``. Edges and changes are
+    sorted together and each edge takes the last change before it: no pairs, and no limit on either table.
+    """
+    kept = [c for c in edges.columns if c != "lambda_p"]
+    rows = edges.select(*kept).withColumns({"_kind": F.lit(1), "_changed": F.lit(None).cast("double")})
+    marks = changes.select("protocol", F.col("t").alias("t_e"), F.lit(0).alias("_kind"), F.col("applied_lambda_p").alias("_changed"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    found = carry_last(both, ["protocol"], ["t_e", "_kind", "_changed"], "_changed", "_held").filter(F.col("_kind") == 1)
+    return with_lambda(found, config).select(*kept, F.coalesce("_held", "lambda_p").alias("lambda_p"))
+
+
 def refresh_weights(
     edges: DataFrame, t: float | str | Column = "t_e", config: DecayConfig | None = None
 ) -> DataFrame:

@@ -131,6 +131,23 @@ def prefix_sums(
     )
 
 
+def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``name``: the newest value of column ``value`` that is not null, at or before each row of its key.
+
+    Rows are cut into balanced ranges, and each range hands on one value a key, so a single key may hold all rows.
+    """
+    keys, order = list(keys), list(order)
+    ranged = range_segments(df, [*keys, *order], parallelism(df.sparkSession))
+    inside = Window.partitionBy(*keys, "_seg").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    newest = ranged.groupBy(*keys, "_seg").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_pos"))).alias("_newest")
+    )
+    carried = newest.select(*keys, "_seg", F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
+    local = ranged.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
+    return local.join(carried, [*keys, "_seg"]).select(*df.columns, F.coalesce("_inside", "_carried").alias(name))
+
+
 # --- hot keys ------------------------------------------------------------------
 
 

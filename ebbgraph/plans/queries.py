@@ -697,7 +697,7 @@ def rolling_gap_medians_many_protocols(spark, sf):
     return m.select("tick", "t", "protocol", "sample_count", F.round("median", 5).alias("median"))
 
 
-@query(O.with_edges(O.RATES, O.GAPS, O.TICKS, body="""
+RATE_FOLD = """
 , steps AS (
   SELECT m.*, ln(2) / m.median AS suggested, row_number() OVER (PARTITION BY m.protocol ORDER BY tick) AS rn FROM medians m),
 fold AS (
@@ -707,6 +707,10 @@ fold AS (
   SELECT s.protocol, s.rn, f.applied, s.suggested,
          least(greatest(s.suggested, f.applied * CAST(0.75 AS DOUBLE)), f.applied * CAST(1.25 AS DOUBLE)), s.sample_count, s.t
   FROM fold f JOIN steps s ON s.protocol = f.protocol AND s.rn = f.rn + 1)
+""".lstrip()
+
+
+@query(O.with_edges(O.RATES, O.GAPS, O.TICKS, body=RATE_FOLD + """
 SELECT protocol, t, sample_count, round(previous, 12) AS previous_lambda_p, round(suggested, 12) AS suggested_lambda_p,
        round(applied, 12) AS applied_lambda_p FROM fold WHERE rn > 0 AND applied <> previous""".lstrip()))
 def adaptive_recalibration(spark, sf):
@@ -724,6 +728,19 @@ def adaptive_recalibration_split(spark, sf):
     return rate_columns(calibration.recalibrate(medians, hot_rows=SPLIT_ROWS))
 
 
+@query(O.with_edges(O.RATES, O.GAPS, O.TICKS, body=RATE_FOLD + """
+, held AS (SELECT protocol, t, applied FROM fold WHERE rn > 0 AND applied <> previous)
+SELECT e.edge_id, e.t_e, round(coalesce(h.applied, r.lambda_p), 12) AS lambda_p,
+       round(e.w_0 * exp(-coalesce(h.applied, r.lambda_p) * 3600), 6) AS w_hour_later
+FROM edges e ASOF LEFT JOIN held h ON e.protocol = h.protocol AND e.t_e >= h.t JOIN rates r ON r.protocol = e.protocol""".lstrip()))
+def rates_in_force(spark, sf):
+    """Each edge's rate by the changes made until its own time, and its weight an hour later."""
+    edges = read_event_edges(spark, sf)
+    rated = decay.rates_in_force(edges, calibration.adaptive_recalibration(edges))
+    later = F.col("w_0") * F.exp(-F.col("lambda_p") * 3600)
+    return rated.select("edge_id", "t_e", F.round("lambda_p", 12).alias("lambda_p"), r6(later).alias("w_hour_later"))
+
+
 # --- graph ---------------------------------------------------------------------------------------------------
 
 

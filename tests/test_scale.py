@@ -47,6 +47,17 @@ def test_dense_index(spark, split):
     assert got == sorted((x, i) for _, x, i in rows)
 
 
+def test_carry_last(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("aaaab"), i, rng.choice([None, None, None, float(i)])) for i in range(200)]
+    got = scale.carry_last(spark.createDataFrame(rows, "g string, i int, x double"), ["g"], ["i"], "x", "held").collect()
+    seen, expected = {}, {}
+    for g, i, x in rows:
+        seen[g] = seen.get(g) if x is None else x
+        expected[i] = seen[g]
+    assert {r.i: r.held for r in got} == expected
+
+
 def test_hot_keys(spark):
     df = spark.createDataFrame([("a",)] * 30 + [("b",)] * 5 + [("c",)] * 20, "k string")
     assert [tuple(r) for r in scale.hot_keys(df, ["k"], 10).orderBy("k").collect()] == [("a", 30), ("c", 20)]

@@ -1070,6 +1070,25 @@ def stream_recalibration(spark, sf):
     return rate_columns(sink.events(spark))
 
 
+REPLAY_SHARD, REPLAY_FILES = 500, 5
+
+
+@query(O.with_edges(body=f"""
+SELECT (n // {REPLAY_SHARD}) // {REPLAY_FILES} AS batch, count(*) AS edges, min(t_e) AS first_t, max(t_e) AS last_t
+FROM (SELECT t_e, row_number() OVER (ORDER BY t_e, edge_id) - 1 AS n FROM edges) GROUP BY 1"""))
+def replay_batches(spark, sf):
+    """What each micro-batch of a replay in event order holds."""
+    path, out = scale.scratch_path(spark), scale.scratch_path(spark)
+    tables.write_replay(read_event_edges(spark, sf), path, REPLAY_SHARD)
+
+    def note(batch: DataFrame, batch_id: int) -> None:
+        held = batch.agg(F.count("*").alias("edges"), F.min("t_e").alias("first_t"), F.max("t_e").alias("last_t"))
+        held.select(F.lit(batch_id).cast("bigint").alias("batch"), "*").write.mode("overwrite").parquet(f"{out}/of={batch_id}")
+
+    run_batches(tables.replay_stream(spark, path, REPLAY_FILES), note)
+    return spark.read.parquet(out).select("batch", "edges", "first_t", "last_t")
+
+
 @query(ORACLE["normalized_edges"])
 def replayed_edges(spark, sf):
     """Edges staged as JSON lines and replayed as a finite stream."""

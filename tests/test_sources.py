@@ -1,6 +1,7 @@
 import gzip
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ebbgraph.schema import WINDOWS_EVENT
@@ -133,3 +134,23 @@ def test_staged_files(spark, tmp_path):
 def test_unc_server(spark):
     df = spark.createDataFrame([("\\\\srv\\a",), ("//srv/a/b",), ("\\\\srv",), ("\\\\srv\\",), ("C:\\a\\b",), ("\\srv\\a",), (None,)], "p string")
     assert [r[0] for r in df.select(windows_events.unc_server(F.col("p"))).collect()] == ["srv", "srv", None, None, None, None, None]
+
+
+@pytest.mark.parametrize("n, shard, files", [(230, 20, 3), (40, 40, 1), (41, 40, 1), (1, 10, 2)])
+def test_replay_in_event_order(spark, tmp_path, n, shard, files):
+    df = random_edges(spark, n)
+    order = [r.edge_id for r in df.orderBy("t_e", "edge_id").select("edge_id").collect()]
+    tables.write_replay(df.repartition(7), str(tmp_path / "in"), shard)
+    seen = []
+
+    def note(batch, batch_id):
+        seen.append([r.edge_id for r in batch.orderBy("t_e", "edge_id").collect()])
+
+    stream = tables.replay_stream(spark, str(tmp_path / "in"), files).writeStream.foreachBatch(note)
+    stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [order[i : i + shard * files] for i in range(0, len(order), shard * files)]
+
+
+def test_replay_of_nothing(spark, tmp_path):
+    tables.write_replay(random_edges(spark, 5).limit(0), str(tmp_path / "in"))
+    assert tables.read_staged_edges(spark, str(tmp_path / "in")).count() == 0

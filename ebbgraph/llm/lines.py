@@ -129,7 +129,12 @@ def repeated_windows(docs: DataFrame, least_words: int = LEAST_WORDS, whole_runs
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from ``text``; adds n_lines and n_deleted."""
+    """``docs`` with later repeated runs of lines deleted from ``text``; adds n_lines and n_deleted.
+
+    A column that ``docs`` has under one of these two names, in any case of letters, is replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    docs = docs.select(*kept)
     taken = [*docs.columns, "n_lines", "n_deleted"]
     id_, key, runs, out = (fresh(x, taken) for x in ("run_doc", "run_key", "runs", "shortened"))
     found = repeated_windows(docs, least_words, whole_runs).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("runs").alias(runs))
@@ -154,4 +159,4 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, whole_runs: boo
     return done.withColumns({
         "text": F.when(F.col(out).isNull(), F.col("text")).otherwise(F.col(f"{out}.text")),
         "n_deleted": F.coalesce(F.col(f"{out}.gone"), F.lit(0)).cast("long"),
-    }).select(*docs.columns, "n_lines", "n_deleted")
+    }).select(*kept, "n_lines", "n_deleted")

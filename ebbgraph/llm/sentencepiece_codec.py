@@ -160,6 +160,7 @@ def decode_column(model: bytes):
 
 
 def encode(docs: DataFrame, model: bytes, into: str = "ids") -> DataFrame:
+    """``docs`` with the ids of ``text`` in column ``into``; a column of that name is replaced."""
     return docs.withColumn(into, encode_column(model)(F.col("text")))
 
 

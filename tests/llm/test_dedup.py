@@ -243,3 +243,12 @@ def test_short_tail_of_a_repeated_run_goes(spark):
     rows = [(1, f"{long}\nhere alone"), (2, f"{long}\n{tail}\n{other}"), (3, f"own line\n{long}\n\n{tail}\n{other}\nown end")]
     got = {r.doc_id: (r.text, r.n_deleted) for r in lines.dedup_lines(docs(spark, rows), whole_runs=True).collect()}
     assert got == {1: (rows[0][1], 0), 2: (f"{tail}\n{other}", 1), 3: ("own line\nown end", 4)}
+
+
+def test_line_dedup_replaces_columns_of_its_names(spark, tmp_path):
+    text = "\n".join(["w " * 60] * 2)
+    given = spark.createDataFrame([(1, text, 7, "x", "y")], "doc_id long, text string, N_lines int, n_deleted string, runs string")
+    lines.dedup_lines(given).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == ["doc_id", "text", "runs", "n_lines", "n_deleted"]
+    assert [tuple(r) for r in got.collect()] == [(1, "w " * 60, "y", 2, 1)]

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ebbgraph.llm import exact_dedup, lines, simhash
+from ebbgraph.llm import exact_dedup, lines, parity_join, simhash
 from ebbgraph.llm.bktree import BKForest
 from ebbgraph.llm.components import connected_components
 
@@ -51,7 +51,7 @@ def test_exact_dedup_keeps_one_of_each(spark):
     assert {(9, "a  b"), (None, "c"), (4, " \n"), (6, "long " * 5000), (11, "twice")} <= set(got)
 
 
-@pytest.mark.parametrize("operator", [exact_dedup.exact_dedup, simhash.near_dedup, lines.dedup_lines])
+@pytest.mark.parametrize("operator", [exact_dedup.exact_dedup, simhash.near_dedup, simhash.similar_dedup, lines.dedup_lines])
 def test_empty_tables(spark, operator):
     assert operator(docs(spark, ROWS).where("false")).count() == 0
 
@@ -114,6 +114,90 @@ def test_near_dedup_without_ids(spark):
     assert sorted(r.text for r in got.collect()) == ["a b c", "p q r", "x y z u"]
 
 
+def similar_pairs(texts, n=5, percent=80):
+    """Index pairs of texts whose word shingles are alike enough, counted on all pairs."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set())
+    return [
+        (a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
+
+
+def near_copies(rnd, groups=12, copies=8, length=120, edits=3):
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(groups):
+        base = [rnd.choice(words) for _ in range(length)]
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rnd.randrange(1, edits + 1)):
+                copy[rnd.randrange(length)] = rnd.choice(words)
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("limit", [8, 1024])
+def test_similar_groups_equal_brute_force(spark, limit):
+    texts = [None, "", "hi", "HI", "one two three four", "one two three", "long word " * 30_000, "word long " * 30_000]
+    texts += near_copies(random.Random(4))
+    # a passage that many texts share, too short to link them
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts += [f"{shared} " + " ".join(f"o{i}x{j}" for j in range(30)) for i in range(40)]
+    want = roots(len(texts), similar_pairs(texts))
+    assert 12 + 40 < len(set(want)) < len(texts)
+    frame = docs(spark, [*enumerate(texts), (0, None), (3, "HI")])
+    got = simhash.similar_groups(frame, tree_limit=limit).collect()
+    assert len(got) == len(texts) + 2
+    groups = {}
+    for r in got:
+        groups.setdefault(r.root, []).append(r.doc_id)
+    assert {i: min(g) for g in groups.values() for i in g} == dict(enumerate(want))
+    kept = simhash.similar_dedup(frame, tree_limit=limit)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_similar_dedup_without_ids(spark):
+    got = simhash.similar_dedup(docs(spark, [(None, "a b c"), (None, "a b c"), (None, "x y z u"), (1, "p q r"), (None, None), (2, " ")]))
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "a b c"), (0, "x y z u"), (1, "p q r"), (2, " ")]
+
+
+def test_similar_groups_find_near_copies_of_the_corpus(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    exact = parity_join.jaccard_components(corpus, words=5, percent=80).where("n_shingles > 0").select("doc_id", "component_id")
+    found = simhash.similar_groups(corpus).select("doc_id", "root")
+    both = exact.join(found, "doc_id")
+    counts = both.agg(
+        F.count_distinct("component_id").alias("exact"), F.count_distinct("root").alias("found"),
+        F.count_distinct("component_id", "root").alias("parts"), F.count_distinct("doc_id").alias("docs"),
+    ).first()
+    assert counts.parts == counts.found  # nothing that the exact join keeps apart is joined
+    assert counts.docs - counts.found >= 0.98 * (counts.docs - counts.exact) > 0
+
+
+def test_closest_forest_is_a_minimum_spanning_forest():
+    rnd = random.Random(1)
+    for _ in range(100):
+        n = rnd.randrange(1, 30)
+        pairs = [(a, b) for a, b in itertools.combinations(range(n), 2) if rnd.random() < 0.15]
+        a, b = (np.array([p[k] for p in pairs], np.int32) for k in (0, 1))
+        apart = np.array([rnd.randrange(6) for _ in pairs], np.int64)
+        x, y = simhash.closest_forest(a, b, apart, n)
+        chosen = set(zip(x.tolist(), y.tolist()))
+        assert roots(n, chosen) == roots(n, pairs) and len(chosen) == len(x) == n - len(set(roots(n, pairs)))
+        weight = dict(zip(pairs, apart.tolist()))
+        least, tree = 0, []
+        for p in sorted(pairs, key=weight.get):
+            if len(set(roots(n, [*tree, p]))) < len(set(roots(n, tree))):
+                tree.append(p)
+                least += weight[p]
+        assert sum(weight[p] for p in chosen) == least
+
+
 @pytest.mark.parametrize("limit", [4, 4096])
 def test_links_of_dense_shards_equal_brute_force(spark, limit):
     rnd = random.Random(5)

@@ -37,9 +37,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked one stays."""
+    """Of documents linked by five-word similarities of 0.8 or more one stays."""
     small_batches(spark)
-    return simhash.near_dedup(docs)
+    return simhash.similar_dedup(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("SentencePiece encoding and decoding", encode),
 ]
 
-#: SQL can express neither the classifier, nor the linked fingerprints, nor the tokenizer.
+#: SQL can express neither the classifier, nor the linked documents, nor the tokenizer.
 ORACLE_SQL = None
 
 

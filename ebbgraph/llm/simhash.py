@@ -12,7 +12,7 @@ fingerprint (to the first of its group), never all pairs; components are contrac
 Such pairs lie too many bits apart for blocks of 64 bits, so a document's shards are named by ``KEYS``
 triples of min-hashes of its shingles instead: a pair of similarity s shares a shard with a probability
 of 1 - (1 - s^3)^KEYS (0.996 at 0.8). In a shard a BK-tree of the fingerprints is searched within
-``WIDE_RADIUS`` bits, and what it finds is confirmed by counting the shingles in common. A tree sends a
+``WIDE_RADIUS`` bits; pairs whose parities show that they differ too much go, and the rest is confirmed by counting the shingles in common. A tree sends a
 spanning forest of its closest matches; where a shard still holds several components after those are
 counted, the matches between different ones are counted too. A shard of many documents that are within
 the radius, but not similar enough, so costs comparisons that grow with the square of its members.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ebbgraph.llm.bktree import BKForest
 from ebbgraph.llm.common import keep_marked, rowwise, store, text_key
 from ebbgraph.llm.components import connected_components
-from ebbgraph.llm.parity_join import _components, _dealt, _rooted, _verified, mix, tokens_of
+from ebbgraph.llm.parity_join import _components, _dealt, _rooted, _verified, mix, most_apart, tokens_of
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -47,6 +47,7 @@ SIMILAR_WORDS, SIMILAR_PERCENT = 5, 80
 WIDE_RADIUS = 16
 WIDE_TREE_LIMIT = 1024  # a wide search meets most of a tree
 KEYS, TRIPLE = 8, 3  # shards of a document, min-hashes that name one
+PARITY_WORDS = 16  # 64-bit words of parities
 MULTIPLIERS = mix(np.arange(1, KEYS * TRIPLE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -156,6 +157,12 @@ def shard_keys(tokens: np.ndarray) -> np.ndarray:
     return mix(triples.sum(axis=1, dtype=np.uint64) + np.arange(KEYS, dtype=np.uint64))
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Each token flips one bit: two sets differ in at least as many tokens as their parities differ in bits."""
+    bits = np.bincount((mix(tokens) & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def closest_forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a minimum spanning forest over nodes 0 to n - 1: every component takes its closest pair, until none is left."""
     order = np.argsort(apart, kind="stable")
@@ -185,7 +192,7 @@ def closest_forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> t
 
 
 def _tree_matches(trees: DataFrame, radius: int, percent: int, across: bool) -> DataFrame:
-    """Rows (shard, pair, node, n, root, fingerprint) in order of trees to candidate pairs (a, b) of nodes.
+    """Rows (shard, pair, node, n, root, fingerprint, parities) in order of trees to candidate pairs (a, b) of nodes.
 
     A forest of the closest matches in each tree, or, ``across`` components, all matches of different roots.
     """
@@ -193,14 +200,18 @@ def _tree_matches(trees: DataFrame, radius: int, percent: int, across: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def matches(shard, pair, node, size, root, value) -> pa.RecordBatch:
+        def matches(shard, pair, node, size, root, value, *words) -> pa.RecordBatch:
             new = np.r_[True, (shard[1:] != shard[:-1]) | (pair[1:] != pair[:-1])] if len(shard) else np.zeros(0, bool)
             value = value.view(np.uint64)
+            words = [w.view(np.uint64) for w in words]
             a, b = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for x, y in BKForest(value, np.cumsum(new)).near(radius):
                 fits = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
                 if across:
                     fits &= root[x] != root[y]
+                x, y = x[fits], y[fits]
+                flips = sum((np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words), np.zeros(len(x), np.int64))
+                fits = flips <= most_apart(size[x], size[y], percent)
                 a.append(x[fits].astype(np.int32))
                 b.append(y[fits].astype(np.int32))
             x, y = np.concatenate(a), np.concatenate(b)
@@ -210,7 +221,10 @@ def _tree_matches(trees: DataFrame, radius: int, percent: int, across: bool) ->
             return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            if not batch.num_rows:
+                continue
+            words = batch.column(6).flatten().to_numpy().reshape(-1, PARITY_WORDS).T
+            held.append(np.concatenate([np.stack([c.to_numpy() for c in batch.columns[:6]]), words]))
             if sum(h.shape[1] for h in held) < 2 * WIDE_TREE_LIMIT:
                 continue
             rows = np.concatenate(held, axis=1)
@@ -239,14 +253,14 @@ def similar_groups(
             tokens = tokens_of(utf8, words)
             raw = tokens.tobytes()
             h1, h2 = (x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(raw, seed) for seed in (1, 2)))
-            return len(tokens), h1, h2, fingerprint(utf8), shard_keys(tokens).view(np.int64)
+            return len(tokens), h1, h2, fingerprint(utf8), shard_keys(tokens).view(np.int64), parities(tokens).view(np.int64)
 
         return one
 
-    of = rowwise(make, "struct<n: bigint, h1: bigint, h2: bigint, fingerprint: bigint, keys: array<bigint>>")
+    of = rowwise(make, "struct<n: bigint, h1: bigint, h2: bigint, fingerprint: bigint, keys: array<bigint>, parities: array<bigint>>")
     rows = store(docs.select("doc_id", text_key().alias("text_key"), of(F.col("text").cast("binary")).alias("set")).select("doc_id", "text_key", "set.*"))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("rep_doc"), F.col("text_key").alias("rep_key"))
-    grouped = rows.groupBy("n", "h1", "h2").agg(F.min(first).alias("rep"), F.min("fingerprint").alias("fingerprint"), F.any_value("keys").alias("keys"))
+    grouped = rows.groupBy("n", "h1", "h2").agg(F.min(first).alias("rep"), F.min("fingerprint").alias("fingerprint"), F.any_value("keys").alias("keys"), F.any_value("parities").alias("parities"))
     nodes = store(grouped.withColumn("node", F.monotonically_increasing_id()))
 
     named = nodes.select("node", F.explode("keys").alias("key"))
@@ -257,8 +271,8 @@ def similar_groups(
     members = store(named.join(shards.select("key", "c").hint("merge"), "key").select("key", "c", "node"))
 
     def matches(held: DataFrame, across: bool) -> DataFrame:
-        dealt = _dealt(held, tree_limit).join(nodes.select("node", "n", "fingerprint").hint("merge"), "node")
-        trees = dealt.select(F.col("key").alias("shard"), "pair", "node", "n", "root", "fingerprint").repartition("shard", "pair")
+        dealt = _dealt(held, tree_limit).join(nodes.select("node", "n", "fingerprint", "parities").hint("merge"), "node")
+        trees = dealt.select(F.col("key").alias("shard"), "pair", "node", "n", "root", "fingerprint", "parities").repartition("shard", "pair")
         return _tree_matches(trees.sortWithinPartitions("shard", "pair", "fingerprint"), radius, percent, across)
 
     forest = store(matches(members.withColumn("root", F.lit(0).cast("long")), across=False))
@@ -270,7 +284,7 @@ def similar_groups(
     if not more.isEmpty():
         found = _components(links, _verified(more, nodes, docs, words, percent))
     rooted = store(_rooted(nodes.select("node", "n", "h1", "h2"), found).select("n", "h1", "h2", "root"))
-    return rows.join(rooted, ["n", "h1", "h2"]).select("doc_id", "text_key", "root")
+    return rows.select("doc_id", "text_key", "n", "h1", "h2").join(rooted, ["n", "h1", "h2"]).select("doc_id", "text_key", "root")
 
 
 def near_dedup(docs: DataFrame, **options: int) -> DataFrame:

@@ -8,7 +8,7 @@ edge id, and an edge opens a chain before it may advance it.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -184,10 +184,17 @@ class ChainFold:
         return state, None
 
     def __call__(self, text: str | None, rows: pd.DataFrame) -> tuple[list[tuple], str | None]:
+        columns = ("t_e", "edge_id", "stage", "n_steps", "window_seconds", "score", "pruned_at")
+        key = tuple(rows[c].iloc[0] for c in KEYS) if len(rows) else (None, None)  # rows of one key
+        return self.advance(text, key, zip(*(rows[c].tolist() for c in columns)))
+
+    def advance(self, text: str | None, names: tuple, rows: Iterable[Sequence]) -> tuple[list[tuple], str | None]:
+        """Advance the slot of the key ``names`` over rows of (t_e, edge_id, stage, n_steps, window_seconds, score, pruned_at if known)."""
+        motif, key = names
         state = json.loads(text) if text else None
         out: list[tuple] = []
-        columns = ("motif_name", "chain_key", "t_e", "edge_id", "stage", "n_steps", "window_seconds", "score", "pruned_at")
-        for motif, key, t, edge, stage, steps, window, score, pruned in zip(*(rows[c].tolist() for c in columns)):
+        for t, edge, stage, steps, window, score, *rest in rows:
+            pruned = rest[0] if rest else None
             state, reset = self._lapse(state, t)
             if reset:
                 out.append(self.reset_row(motif, key, reset))

@@ -12,9 +12,8 @@ import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ebbgraph.config import Motif
@@ -27,17 +26,40 @@ SIGNAL_LAYOUT = (
 )
 
 
+#: Groups of a stream's state. Spark's call of a group costs milliseconds whatever it holds, so the keys of one hash share a
+#: group, each with a state of its own in it. A stream keeps the number it began with.
+BUCKETS = 1024
+
+
+def _bucketed(rows: DataFrame, keys: Sequence[str], buckets: int) -> GroupedData:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
+
+
+def _place(t: float, edge: str | None, *more: int) -> tuple:
+    """Sort key of event order: time, then edge id, unknown ones last."""
+    return t != t, 0.0 if t != t else t, edge is None, edge or "", *more
+
+
 class BaselineStep:
-    """Advance one (entity, protocol) baseline over the rows of a micro-batch."""
+    """Advance one bucket of (entity, protocol) baselines over the rows of a micro-batch."""
+
+    STATE = "entities array<string>, protocols array<string>, means array<double>, vars array<double>, counts array<bigint>"
 
     def __init__(self, alpha: float) -> None:
         self.alpha = alpha
 
-    def __call__(self, key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, var, n = state.get if state.exists else (0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["t", "edge_id"], kind="stable")
+    def __call__(self, bucket: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {}
+        if state.exists:
+            entities, protocols, *numbers = state.get
+            held = dict(zip(zip(entities, protocols), zip(*numbers)))
+        rows = []
+        for frame in batches:
+            rows.extend(zip(*(frame[c].tolist() for c in (*baseline.KEYS, "t", "value", "edge_id"))))
+        rows.sort(key=lambda row: _place(row[2], row[4]))
         alpha, out = self.alpha, []
-        for t, value, edge in zip(rows["t"].tolist(), rows["value"].tolist(), rows["edge_id"].tolist()):
+        for entity, protocol, t, value, edge in rows:
+            mean, var, n = held.get((entity, protocol), (0.0, 0.0, 0))
             std = var**0.5
             z = (value - mean) / std if n >= baseline.MIN_PRIOR_ROWS and std > 0 else None
             if n == 0:
@@ -47,50 +69,94 @@ class BaselineStep:
                 mean += alpha * step
                 var = (1 - alpha) * (var + alpha * step * step)
             n += 1
-            out.append((*key, t, value, mean, var**0.5, n, z, edge))
-        state.update((mean, var, n))
+            held[entity, protocol] = mean, var, n
+            out.append((entity, protocol, t, value, mean, var**0.5, n, z, edge))
+        state.update((*map(list, zip(*held)), *map(list, zip(*held.values()))))
         frame = pd.DataFrame(out, columns=baseline.SIGNAL)
         frame["z_score"] = frame["z_score"].astype("float64")
         yield frame
 
 
-def stream_deviation(edges: DataFrame, alpha: float = baseline.ALPHA, value: str = "w_0", t: str = "t_e") -> DataFrame:
+def stream_deviation(
+    edges: DataFrame, alpha: float = baseline.ALPHA, value: str = "w_0", t: str = "t_e", buckets: int = BUCKETS
+) -> DataFrame:
     """One signal per arriving edge."""
-    rows = baseline.observations(edges, value, t)
-    return rows.groupBy(*baseline.KEYS).applyInPandasWithState(
-        BaselineStep(alpha).__call__, SIGNAL_LAYOUT, "mean double, var double, n long", "append",
-        GroupStateTimeout.NoTimeout,
+    return _bucketed(baseline.observations(edges, value, t), baseline.KEYS, buckets).applyInPandasWithState(
+        BaselineStep(alpha).__call__, SIGNAL_LAYOUT, BaselineStep.STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
+#: What a chain needs of a row.
+ROW = ("t_e", "edge_id", "stage", "n_steps", "window_seconds", "score")
+
+
+def _event_order(row: Sequence) -> tuple:
+    """Sort key of a ``ROW``; at one instant edges come before prunes."""
+    late, t, *edge = _place(row[0], row[1], row[2])
+    return late, t, row[2] == PRUNE_ROW, *edge
+
+
+class ChainSlots:
+    """Run a step for every (motif, chain_key) slot of a bucket that has rows or whose timer is due.
+
+    The bucket's timer is its earliest slot's. ``step.advance(key, rows, value, passed)`` takes a slot's value
+    (None: new), its rows (None: the timer is due) and the watermark, and returns events, value and timer.
+    """
+
+    STATE = "motifs array<string>, chain_keys array<string>, chains array<string>, waiting array<string>, wakes array<bigint>"
+
+    def __init__(self, step: ChainStep | OrderedChainStep, timed: bool) -> None:
+        self.step, self.timed = step, timed
+
+    def __call__(self, bucket: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        slots, arrived, out = {}, {}, []
+        if state.exists:
+            motifs, keys, chains, waiting, wakes = state.get
+            slots = dict(zip(zip(motifs, keys), zip(zip(chains, waiting), wakes)))
+        passed = state.getCurrentWatermarkMs() if self.timed else 0
+        if not state.hasTimedOut:
+            for frame in batches:
+                names = zip(*(frame[c].tolist() for c in KEYS))
+                for key, row in zip(names, zip(*(frame[c].tolist() for c in ROW))):
+                    arrived.setdefault(key, []).append(row)
+        due = [key for key, (_, wake) in slots.items() if wake is not None and wake < passed and key not in arrived]
+        for key in (*arrived, *due):
+            found, value, wake = self.step.advance(key, arrived.get(key), slots.pop(key, (None, None))[0], passed)
+            out += found
+            if value is not None:
+                slots[key] = value, wake
+        if slots:
+            held = [(*key, *value, wake) for key, (value, wake) in slots.items()]
+            state.update(tuple(map(list, zip(*held))))
+            wakes = [row[-1] for row in held if row[-1] is not None]
+            if wakes:
+                state.setTimeoutTimestamp(max(min(wakes), passed + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=EVENT.fieldNames())
+
+
 class ChainStep:
     """Advance one (motif, chain_key) slot over the rows of a micro-batch."""
 
     def __init__(self, fold: ChainFold) -> None:
         self.fold = fold
 
-    def __call__(self, key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches))
-        rows["_late"] = rows["stage"] == PRUNE_ROW  # at one instant edges come before prunes
-        rows = rows.sort_values(["t_e", "_late", "edge_id", "stage"], kind="stable")
-        out, text = self.fold(state.get[0] if state.exists else None, rows)
-        if text:
-            state.update((text,))
-            dies = json.loads(text)["dies"]
-            if dies is not None:
-                state.setTimeoutTimestamp(max(int(dies * 1000), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=EVENT.fieldNames())
+    def advance(self, key: tuple, rows: list | None, value: tuple | None, passed: int) -> tuple[list, tuple | None, int | None]:
+        if rows is None:
+            return [], None, None
+        out, text = self.fold.advance(value[0] if value else None, key, sorted(rows, key=_event_order))
+        if not text:
+            return out, None, None
+        dies = json.loads(text)["dies"]
+        return out, (text, None), None if dies is None else max(int(dies * 1000), passed + 1)
 
 
 def stream_motifs(
     edges: DataFrame, motifs: Sequence[Motif] | None = None, *, fuzzy: bool = False,
     min_confidence: float = MIN_CONFIDENCE, timeout: str = "none", lateness: str = "1 hour",
-    pruned: DataFrame | None = None,
+    pruned: DataFrame | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Completion and reset events of an edge stream (columns as in ``motifs.EVENT``).
 
@@ -108,10 +174,9 @@ def stream_motifs(
         rows = rows.withColumn("event_time", F.timestamp_micros((F.col("t_e") * 1e6).cast("long")))
         rows = rows.withWatermark("event_time", lateness)
         limit = GroupStateTimeout.EventTimeTimeout
-    fold = ChainFold(min_confidence, timeout == "event_time")
-    return rows.groupBy(*KEYS).applyInPandasWithState(
-        ChainStep(fold).__call__, EVENT, T.StructType([T.StructField("chain", T.StringType())]), "append", limit
-    )
+    timed = timeout == "event_time"
+    slots = ChainSlots(ChainStep(ChainFold(min_confidence, timed)), timed)
+    return _bucketed(rows, KEYS, buckets).applyInPandasWithState(slots.__call__, EVENT, ChainSlots.STATE, "append", limit)
 
 
 class OrderedChainStep:
@@ -122,36 +187,42 @@ class OrderedChainStep:
     lateness, no more. A timer wakes the key for its earliest waiting row, else for its time-out.
     """
 
-    ROW = ("t_e", "edge_id", "stage", "n_steps", "window_seconds", "score")
+    ROW = ROW
 
     def __init__(self, fold: ChainFold) -> None:
         self.fold = fold
 
     def __call__(self, key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chain, text = state.get if state.exists else (None, "[]")
-        waiting = json.loads(text)
+        """The step of a group that is one slot."""
+        rows = None
         if not state.hasTimedOut:
-            for frame in batches:
-                waiting.extend(zip(*(frame[c].tolist() for c in self.ROW)))
-        passed = state.getCurrentWatermarkMs()
-        due = sorted((w for w in waiting if clock_ms(w[0]) <= passed), key=lambda w: (w[0], w[2] == PRUNE_ROW, w[1], w[2]))
-        later = [w for w in waiting if clock_ms(w[0]) > passed]
+            rows = [row for frame in batches for row in zip(*(frame[c].tolist() for c in self.ROW))]
+        out, value, wake = self.advance(key, rows, state.get if state.exists else None, state.getCurrentWatermarkMs())
+        if value is not None:
+            state.update(value)
+            if wake is not None:
+                state.setTimeoutTimestamp(wake)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=EVENT.fieldNames())
+
+    def advance(self, key: tuple, rows: list | None, value: tuple | None, passed: int) -> tuple[list, tuple | None, int | None]:
+        chain, text = value or (None, "[]")
+        out, due, later = [], [], []
+        for row in (*json.loads(text), *(rows or ())):
+            (due if clock_ms(row[0]) <= passed else later).append(row)
         if due:
-            rows = pd.DataFrame(due, columns=self.ROW).assign(motif_name=key[0], chain_key=key[1], pruned_at=None)
-            out, chain = self.fold(chain, rows)
-            if out:
-                yield pd.DataFrame(out, columns=EVENT.fieldNames())
+            due.sort(key=_event_order)
+            out, chain = self.fold.advance(chain, key, due)
         dies = json.loads(chain)["dies"] if chain else None
         if not later and dies is not None and clock_ms(dies) <= passed:
             chain = None  # no row that could still use it can arrive
         if not later and not chain:
-            if state.exists:
-                state.remove()
-            return
-        state.update((chain, json.dumps(later)))
-        wakes = [clock_ms(w[0]) for w in later] or ([clock_ms(dies)] if dies is not None else [])
-        if wakes:
-            state.setTimeoutTimestamp(max(min(wakes) - 1, passed + 1))  # fires once the watermark reaches it
+            return out, None, None
+        wake = min(row[0] for row in later) if later else dies
+        # fires once the watermark reaches it
+        return out, (chain, json.dumps(later)), None if wake is None else max(clock_ms(wake) - 1, passed + 1)
 
 
 def clock_ms(t: float) -> int:
@@ -171,7 +242,7 @@ def _clocked(frame: DataFrame, t: str, lateness: float) -> DataFrame:
 
 def ordered_motifs(
     edges: DataFrame, motifs: Sequence[Motif] | None = None, *, fuzzy: bool = False, min_confidence: float = MIN_CONFIDENCE,
-    timeout: str = "none", lateness: float = 0.0, pruned: DataFrame | None = None,
+    timeout: str = "none", lateness: float = 0.0, pruned: DataFrame | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Completion and reset events of edges that arrive in any order within ``lateness`` seconds.
 
@@ -186,9 +257,9 @@ def ordered_motifs(
         timed = _clocked(pruned.withColumn("t_e", F.col("pruned_at")), "pruned_at", lateness)
         routed = motif_candidates(timed, motifs, fuzzy, keep=["_clock"])
         rows = rows.unionByName(routed.withColumn("stage", F.lit(PRUNE_ROW)))
-    fold = ChainFold(min_confidence, timeout == "event_time")
-    return rows.groupBy(*KEYS).applyInPandasWithState(
-        OrderedChainStep(fold).__call__, EVENT, "chain string, waiting string", "append", GroupStateTimeout.EventTimeTimeout
+    slots = ChainSlots(OrderedChainStep(ChainFold(min_confidence, timeout == "event_time")), True)
+    return _bucketed(rows, KEYS, buckets).applyInPandasWithState(
+        slots.__call__, EVENT, ChainSlots.STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -263,3 +263,32 @@ def test_continuous_run(spark, tmp_path):
     scores = spark.read.parquet(run.folder("scores"))
     assert {r.trigger for r in scores.select("trigger").distinct().collect()} == {"scheduled"}
     assert spark.read.schema(EDGE).parquet(run.folder("graph/live/v=1")).count() > 0
+
+
+def test_slots_of_one_bucket_keep_their_own_state_and_timers():
+    slots = keyed.ChainSlots(keyed.OrderedChainStep(M.ChainFold(0.5, True)), True)
+    columns = [*M.KEYS, *keyed.ROW]
+    frame = lambda *rows: pd.DataFrame([("m", k, t, e, s, 2, 100.0, 1.0) for k, t, e, s in rows], columns=columns)
+    state = State(0)
+    assert list(slots((7,), iter([frame(("k", 30.0, "b", 1), ("l", 20.0, "c", 0)), frame(("k", 10.0, "a", 0))]), state)) == []
+    assert state.wakes == keyed.clock_ms(10.0) - 1 and sorted(state.value[1]) == ["k", "l"]
+    state.watermark = keyed.clock_ms(30.0)
+    # a call for the rows of another slot wakes the due ones too
+    (out,) = slots((7,), iter([frame(("n", 40.0, "d", 0))]), state)
+    assert out[["chain_key", "matched_edges"]].values.tolist() == [["k", ["a", "b"]]]
+    assert sorted(state.value[1]) == ["l", "n"] and state.wakes == keyed.clock_ms(40.0) - 1
+    state.watermark, state.hasTimedOut = keyed.clock_ms(120.0), True
+    assert list(slots((7,), iter([]), state)) == []
+    assert state.value[1] == ["n"] and state.wakes == keyed.clock_ms(140.0) - 1
+    state.watermark = keyed.clock_ms(140.0)
+    assert list(slots((7,), iter([]), state)) == [] and state.value is None
+
+
+def test_streams_hold_many_keys_in_few_groups(spark, tmp_path):
+    df = random_edges(spark, 200)
+    path = staged(df, tmp_path / "in")
+    signals = drain(keyed.stream_deviation(replay_stream(spark, path), buckets=2), keyed.SIGNAL_LAYOUT, tmp_path, "signals")
+    rows = lambda d: {r.edge_id: (r.sample_count, round(r.baseline_mean, 9)) for r in d.collect()}
+    assert rows(signals) == rows(baseline.deviation_signals(df))
+    found = drain(keyed.stream_motifs(replay_stream(spark, path), timeout="event_time", buckets=2), M.EVENT, tmp_path, "motifs")
+    assert events_of(keyed.completions(found)) == events_of(M.match_motifs(df, timeout="event_time"))

@@ -952,22 +952,33 @@ def ranked_motifs(spark, sf):
 STREAM_BATCHES = 4
 
 
-def dealt_stream(spark: SparkSession, table: DataFrame, batch: Column, batches: int = STREAM_BATCHES) -> DataFrame:
-    """A table as a finite stream: a micro-batch for each value of ``batch``, in ascending order.
+def dealt_streams(
+    spark: SparkSession, table: DataFrame, batch: Column, batches: int = STREAM_BATCHES
+) -> Callable[[], DataFrame]:
+    """Opens a table as a finite stream: a micro-batch for each value of ``batch``, in ascending order.
 
-    Each is written in as many files as tasks run side by side, and a trigger takes as many files.
+    The table is written once, however many streams are opened. Each is written in as many files as tasks run side by side, and a trigger takes as many files.
     """
     path, files = scale.scratch_path(spark), spark.sparkContext.defaultParallelism
     for k in range(batches):  # one after the other: the source takes older files first
         table.filter(batch == k).repartition(files).write.parquet(f"{path}/part-{k}")
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part-*")
+    return lambda: spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part-*")
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event table as a finite stream of edges: four micro-batches in order of time."""
+def dealt_stream(spark: SparkSession, table: DataFrame, batch: Column, batches: int = STREAM_BATCHES) -> DataFrame:
+    return dealt_streams(spark, table, batch, batches)()
+
+
+def event_streams(spark: SparkSession, sf: str) -> Callable[[], DataFrame]:
+    """Opens the event table as a finite stream of edges: four micro-batches in order of time."""
     table = events(spark, sf)
     last = table.agg(F.max("event_id")).first()[0]
-    return event_edges(dealt_stream(spark, table, F.floor(F.col("event_id") * STREAM_BATCHES / (last + 1))))
+    opened = dealt_streams(spark, table, F.floor(F.col("event_id") * STREAM_BATCHES / (last + 1)))
+    return lambda: event_edges(opened())
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return event_streams(spark, sf)()
 
 
 #: Events come up to two days late, by the event's number (microseconds).
@@ -1121,7 +1132,7 @@ def continuous_products(spark, sf):
     With fixed rates: adapted ones reach a pass when they are ready, so counts would depend on timing.
     """
     run = continuous.ContinuousRun(scale.scratch_path(spark), FIXED)
-    for started in run.start(spark, lambda: event_stream(spark, sf)):
+    for started in run.start(spark, event_streams(spark, sf)):
         started.awaitTermination()
     size = run.snapshot(spark, NOW).select(F.lit("active_graph_size").alias("product"), F.col("active_graph_size").alias("n"))
     counted = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("product"), "n")
@@ -1144,6 +1155,7 @@ prunes AS (
 def stream_motif_resets(spark, sf):
     """Chains that prune passes reset: edges and the pass sink's prunes, two streams in one order of time."""
     sink = batches.PruneSink(scale.scratch_path(spark), FIXED)
-    run_batches(event_stream(spark, sf), sink)
-    found = run_stream(keyed.ordered_motifs(event_stream(spark, sf), pruned=sink.prune_stream(spark)), M.EVENT)
+    edges = event_streams(spark, sf)
+    run_batches(edges(), sink)
+    found = run_stream(keyed.ordered_motifs(edges(), pruned=sink.prune_stream(spark)), M.EVENT)
     return reset_columns(keyed.resets(found))

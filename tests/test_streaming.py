@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbgraph.config import DecayConfig, load_motifs
 from ebbgraph.operators import baseline, calibration, decay, graph, motifs as M
+from ebbgraph.plans import queries
 from ebbgraph.schema import EDGE
 from ebbgraph.sources.tables import replay_stream
 from ebbgraph.streaming import batches, continuous, keyed
@@ -292,3 +293,10 @@ def test_streams_hold_many_keys_in_few_groups(spark, tmp_path):
     assert rows(signals) == rows(baseline.deviation_signals(df))
     found = drain(keyed.stream_motifs(replay_stream(spark, path), timeout="event_time", buckets=2), M.EVENT, tmp_path, "motifs")
     assert events_of(keyed.completions(found)) == events_of(M.match_motifs(df, timeout="event_time"))
+
+
+def test_a_dealt_table_is_written_once_for_all_its_streams(spark, tmp_path, monkeypatch):
+    table, made = spark.range(8).withColumn("b", F.col("id") % 2), []
+    monkeypatch.setattr(queries.scale, "scratch_path", lambda s: made.append(s) or str(tmp_path / f"dealt-{len(made)}"))
+    opened = queries.dealt_streams(spark, table, F.col("b"), 2)
+    assert [drain(opened(), table.schema, tmp_path, f"out-{k}").count() for k in range(2)] == [8, 8] and len(made) == 1

@@ -12,6 +12,9 @@ parity of 2^64 places in one number. A set need not send its poorest ranges: it
 least t tokens, t being the most that leaves out at most K - D - 1. A range two sets agree on has the
 same tokens in both, so the set with the higher t still shares one that both send. No link is lost.
 
+Of the keys and texts, only those that a sieve (a bitmap of hashes, bounded in size) lets through are shuffled
+to the join that picks the wanted ones: a fuller sieve lets more through, and the join decides alone.
+
 Buckets of sets that share a key are deduplicated by membership, joined with short folded sketches, and
 all their pairs compared in numpy; a bucket above ``bucket_limit`` is dealt into chunks, with a task for
 each pair of chunks. What a bucket sends on is a spanning forest of the pairs that pass, never all
@@ -36,10 +39,10 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbgraph.llm.common import drop, rowwise, store, text_key
+from ebbgraph.llm.common import drop, fresh, rowwise, store, text_key
 from ebbgraph.llm.components import connected_components
 from ebbgraph.llm.word_pieces import lowering_table, words_by_piece
 
@@ -49,6 +52,8 @@ BAND = 1.7  # sizes of a band lie within this ratio
 SLACK = 4  # one range more than needed for every so many: room to leave out poor ones
 BUCKET_LIMIT = 2048
 SKETCH_BITS = 1 << 6, 1 << 15  # least and most
+SIEVE_BITS = 1 << 12, 1 << 25  # least and most
+SIEVE_SHARE = 16  # places of a sieve for each value in it, while it may grow
 LOWER = lowering_table(b"\x09\x0a\x0b\x0c\x0d\x20")
 SEED = 42
 U = np.uint64
@@ -231,18 +236,41 @@ def _candidates(members: DataFrame, nodes: DataFrame, percent: int, limit: int,
     return _compare(ordered, percent, across)
 
 
+def _sifted(rows: DataFrame, hashed: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``hashed`` may be in ``wanted`` (a column of hashes): all that are, and few others.
+
+    Meant before a join, so that rows without a partner are not shuffled. The bitmap is broadcast; its size is bounded.
+    """
+    bits = min(max(1 << (SIEVE_SHARE * wanted.count()).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
+
+    def place(value: Column) -> tuple[Column, Column]:
+        at = value.bitwiseAND(F.lit(bits - 1))
+        return F.floor(at / 64).cast("int"), at.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = place(F.col(wanted.columns[0]))
+    marks = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("marks"))
+    blank = wanted.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("marks"))
+    words = marks.unionByName(blank).groupBy("word").agg(F.bit_or("marks").alias("marks"))
+    name = fresh("sieve", rows.columns)
+    sieve = words.agg(F.sort_array(F.collect_list(F.struct("word", "marks")))["marks"].alias(name))
+    word, bit = place(hashed)
+    return rows.join(F.broadcast(sieve), F.getbit(F.get(name, word), bit) == 1).select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose sets are alike enough, counted on the sets themselves (made anew from the texts)."""
     of = rowwise(lambda: lambda utf8: tokens_of(utf8, words).view(np.int64), "array<bigint>")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep.rep_doc", "rep.rep_key"), "node")
-    texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(F.col("rep_doc")) & (text_key() == F.col("rep_key"))).dropDuplicates(["node"])
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = store(ends.join(nodes.select("node", "rep.rep_doc", "rep.rep_key"), "node"))
+    sifted = _sifted(docs, F.xxhash64("doc_id", text_key()), wanted.select(F.xxhash64("rep_doc", "rep_key")))
+    texts = sifted.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (text_key() == F.col("rep_key"))).dropDuplicates(["node"])
     sets = store(texts.select("node", of(F.col("text").cast("binary")).alias("tokens")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"
     )
     common = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"), (F.size("ta") + F.size("tb")).cast("long").alias("s"))
     done = store(common.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
-    drop(sets)
+    drop(sets, wanted)
     return done
 
 
@@ -275,21 +303,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         return one
 
     of = rowwise(make, "struct<n: bigint, h1: bigint, h2: bigint, keys: array<bigint>, sketch: array<bigint>>")
-    rows = store(docs.select("doc_id", text_key().alias("text_key"), of(F.col("text").cast("binary")).alias("set")).select("doc_id", "text_key", "set.*"))
+    whole = store(docs.select("doc_id", text_key().alias("text_key"), of(F.col("text").cast("binary")).alias("set")).select("doc_id", "text_key", "set.*"))
     representative = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("rep_doc"), F.col("text_key").alias("rep_key"))
-    grouped = rows.where("n > 0").groupBy("n", "h1", "h2").agg(
+    grouped = whole.where("n > 0").groupBy("n", "h1", "h2").agg(
         F.min(representative).alias("rep"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")
     )
-    nodes = store(grouped.withColumn("node", F.monotonically_increasing_id()))
+    keyed = store(grouped.withColumn("node", F.monotonically_increasing_id()))
+    nodes, rows = store(keyed.drop("keys")), store(whole.drop("keys", "sketch"))
+    drop(whole)
 
-    ranges = nodes.select("node", F.explode("keys").alias("key"))
-    shared = ranges.groupBy("key").agg(
+    ranges = keyed.select("node", F.explode("keys").alias("key"))
+    # nearly all keys have one row: without a partial aggregate, rows of two numbers are shuffled in place of five
+    shared = ranges.repartition("key").groupBy("key").agg(
         F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("who")
     ).where("low < high")
     buckets = store(shared.groupBy("c", "low", "high", "who").agg(F.min("key").alias("key")))  # one of those with the same members
     of_two = buckets.where("c = 2").select("key", "c", F.explode(F.array("low", "high")).alias("node"))
-    large = ranges.join(buckets.where("c > 2").select("key", "c").hint("merge"), "key").select("key", "c", "node")
-    large = store(large)
+    of_more = buckets.where("c > 2").select("key", "c")
+    large = store(_sifted(ranges, F.col("key"), of_more.select("key")).join(of_more.hint("merge"), "key").select("key", "c", "node"))
+    drop(keyed)
     no_root = F.lit(0).cast("long").alias("root")
     members = of_two.unionByName(large).select("key", "c", "node", no_root)
 

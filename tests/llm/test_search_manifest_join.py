@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -230,6 +231,44 @@ def test_linked_sets_share_a_key_and_sketches_bound_the_difference():
             assert np.intersect1d(parity_join.keys_of(a), parity_join.keys_of(b)).size
 
 
+@pytest.mark.parametrize("most", [1 << 6, 1 << 25])
+def test_sieves_keep_what_is_wanted(spark, monkeypatch, most):
+    monkeypatch.setattr(parity_join, "SIEVE_BITS", (1 << 6, most))
+    rows = spark.range(-3000, 3000).select(F.col("id").alias("sieve"), F.xxhash64("id").alias("key"))
+    wanted = rows.where("sieve % 50 = 0")
+    got = parity_join._sifted(rows, F.col("key"), wanted.select("key"))
+    ids = [r.sieve for r in got.collect()]
+    assert got.columns == rows.columns and len(set(ids)) == len(ids)
+    assert {r.sieve for r in wanted.collect()} <= set(ids)
+    assert most == 1 << 6 or len(ids) < 6000 // 50 + 6000 // 8
+    assert most > 1 << 6 or len(ids) < 6000  # full sieves let more through
+    assert parity_join._sifted(rows, F.col("key"), wanted.where("false").select("key")).count() == 0
+
+
+def test_join_shuffles_wanted_texts_and_deletes_its_keys(spark, monkeypatch):
+    kept, sifted = [], []
+
+    def store(df):
+        kept.append(original(df))
+        return kept[-1]
+
+    def sieve(rows, hashed, wanted):
+        sifted.append((rows.columns, rows.count(), (got := through(rows, hashed, wanted)).count()))
+        return got
+
+    original, through = parity_join.store, parity_join._sifted
+    monkeypatch.setattr(parity_join, "store", store)
+    monkeypatch.setattr(parity_join, "_sifted", sieve, raising=False)
+    texts = [" ".join(f"t{i}w{j}" for j in range(60)) for i in range(300)]
+    rows = [*enumerate(texts), *enumerate((t + " end" for t in texts[:3]), 300), (303, texts[0] + " stop")]
+    got = parity_join.jaccard_components(odd(spark, [(i, t, "s") for i, t in rows]))
+    assert {(r.doc_id, r.component_id) for r in got.collect() if r.doc_id != r.component_id} == {(300, 0), (301, 1), (302, 2), (303, 0)}
+    assert {"keys", "sketch"} <= {c for s in kept for c in s.columns}
+    there = [s for s in kept if os.path.isdir(s._llm_path.removeprefix("file://"))]
+    assert there and not any("keys" in s.columns for s in there)
+    assert [n for columns, n, _ in sifted if "text" in columns] and all(out < n / 3 for _, n, out in sifted)
+
+
 def test_tokens_do_not_depend_on_pieces(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(5000)).encode() + b" Tail"
     whole = parity_join.tokens_of(text)

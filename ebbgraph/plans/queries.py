@@ -5,7 +5,8 @@ Computed doubles are rounded on both sides; values taken over unchanged are not.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1023,6 +1024,48 @@ def run_batches(frame: DataFrame, sink: Callable[[DataFrame, int], None]) -> Non
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+#: For a stream of many small micro-batches: all reports are kept, the log of the files read is rewritten less often,
+#: and checkpoint files are written and renamed by the plain file system.
+SMALL_BATCHES = {
+    "spark.sql.streaming.numRecentProgressUpdates": str(2**31 - 1),
+    "spark.sql.streaming.fileSource.log.compactInterval": "100",
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings that hold inside only."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def observed_batches(frame: DataFrame, *held: Column) -> list[tuple]:
+    """Run a stream over everything available; (number, ``held``) of each of its micro-batches, in their order.
+
+    Not with ``availableNow``, which looks at all files again for each micro-batch; the plain trigger keeps the list of those unread.
+    """
+    spark = frame.sparkSession
+    writer = frame.observe("held", *held).writeStream.format("noop").option("checkpointLocation", scale.scratch_path(spark))
+    with settings(spark, SMALL_BATCHES):
+        run = writer.start()
+        try:
+            run.processAllAvailable()
+            reports = {report["batchId"]: report["observedMetrics"]["held"] for report in run.recentProgress if report["numInputRows"]}
+        finally:
+            run.stop()
+    return [(number, *row) for number, row in sorted(reports.items())]
+
+
 @query(ORACLE["deviation_signals"])
 def stream_deviation_signals(spark, sf):
     return signal_columns(run_stream(keyed.stream_deviation(event_stream(spark, sf)), keyed.SIGNAL_LAYOUT))
@@ -1088,16 +1131,15 @@ REPLAY_SHARD, REPLAY_FILES = 500, 5
 SELECT (n // {REPLAY_SHARD}) // {REPLAY_FILES} AS batch, count(*) AS edges, min(t_e) AS first_t, max(t_e) AS last_t
 FROM (SELECT t_e, row_number() OVER (ORDER BY t_e, edge_id) - 1 AS n FROM edges) GROUP BY 1"""))
 def replay_batches(spark, sf):
-    """What each micro-batch of a replay in event order holds."""
-    path, out = scale.scratch_path(spark), scale.scratch_path(spark)
-    tables.write_replay(read_event_edges(spark, sf), path, REPLAY_SHARD)
-
-    def note(batch: DataFrame, batch_id: int) -> None:
-        held = batch.agg(F.count("*").alias("edges"), F.min("t_e").alias("first_t"), F.max("t_e").alias("last_t"))
-        held.select(F.lit(batch_id).cast("bigint").alias("batch"), "*").write.mode("overwrite").parquet(f"{out}/of={batch_id}")
+    """What each micro-batch of a replay in event order holds.
 
-    run_batches(tables.replay_stream(spark, path, REPLAY_FILES), note)
-    return spark.read.parquet(out).select("batch", "edges", "first_t", "last_t")
+    The stream observes it in the tasks that read the micro-batch, and its report of each micro-batch tells it: one row for each.
+    """
+    path = scale.scratch_path(spark)
+    tables.write_replay(read_event_edges(spark, sf), path, REPLAY_SHARD)
+    held = (F.count("*").alias("edges"), F.min("t_e").alias("first_t"), F.max("t_e").alias("last_t"))
+    reports = observed_batches(tables.replay_stream(spark, path, REPLAY_FILES).select("t_e"), *held)
+    return spark.createDataFrame(reports, "batch long, edges long, first_t double, last_t double")
 
 
 @query(ORACLE["normalized_edges"])

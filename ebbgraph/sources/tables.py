@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbgraph.operators.edges import normalize_edges, to_json
-from ebbgraph.operators.scale import dense_index
+from ebbgraph.operators.scale import dense_index, parallelism
 from ebbgraph.schema import COLD_EDGE, EDGE
 
 SHARD_ROWS = 100_000
@@ -22,27 +22,37 @@ def write_staged_edges(edges: DataFrame, path: str, shard_rows: int = SHARD_ROWS
     )
 
 
+#: Files in a folder of a replay: their names count up to it in three digits, so that they sort as they were written.
+REPLAY_FOLDER = 1000
+
+
 def write_replay(edges: DataFrame, path: str, shard_rows: int = SHARD_ROWS) -> None:
     """JSON-lines files of exactly ``shard_rows`` edges each (the last: the rest), to be replayed in event order.
 
-    Edges are numbered by (t_e, edge_id) in balanced ranges. A stream takes files by age, and one job writes all of them
-    side by side, so at the end each file is given an age by its number: the store must keep the times it is told
-    (HDFS and file systems do, object stores do not). That is one metadata call a file; no file is read.
+    Edges are numbered by (t_e, edge_id) in balanced ranges, and consecutive files share a folder, which one task writes:
+    a stream lists folders, so they are as few as tasks run side by side, or hold ``REPLAY_FOLDER`` files each. A stream takes
+    files by age, and one job writes all of them, so at the end each file is given an age by its number: the store must keep
+    the times it is told (HDFS and file systems do, object stores do not). That is one metadata call a file; no file is read.
     """
-    shard = F.floor(F.col("_n") / shard_rows)
-    numbered = dense_index(edges.select(*EDGE.fieldNames()), ["t_e", "edge_id"], "_n").withColumn("shard", shard)
+    spark = edges.sparkSession
+    numbered = dense_index(edges.select(*EDGE.fieldNames()), ["t_e", "edge_id"], "_n")
+    last = numbered.agg(F.max("_n")).first()[0]
+    files = 0 if last is None else last // shard_rows + 1
+    held = max(1, min(REPLAY_FOLDER, -(-files // parallelism(spark))))  # files of a folder
+    dealt = numbered.withColumn("run", F.floor(F.col("_n") / (shard_rows * held)))
     (
-        numbered.repartition("shard").sortWithinPartitions("shard", "_n").select(*sorted(EDGE.fieldNames()), "shard")
-        .write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("shard").json(path)
+        dealt.repartition(max(1, -(-files // held)), "run").sortWithinPartitions("run", "_n").select(*sorted(EDGE.fieldNames()), "run")
+        .write.mode("overwrite").option("ignoreNullFields", "false").option("maxRecordsPerFile", shard_rows).partitionBy("run").json(path)
     )
-    spark = edges.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = spark._jvm.org.apache.hadoop.fs.Path  # looked up once: each look-up is five calls
+    folder = file(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "shard=*/part-*")) or []
-    files = sorted((status.getPath() for status in found), key=lambda f: int(f.getParent().getName().removeprefix("shard=")))
+    found = store.globStatus(file(folder, "run=*/part-*")) or []
+    names = [status.getPath().toString() for status in found]
+    names.sort(key=lambda name: (int(name.rsplit("/", 2)[1].removeprefix("run=")), name))
     newest = store.getFileStatus(folder).getModificationTime()
-    for number, file in enumerate(files):
-        store.setTimes(file, newest - len(files) + number, -1)
+    for number, name in enumerate(names):
+        store.setTimes(file(name), newest - len(names) + number, -1)
 
 
 def read_staged_edges(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ebbgraph.config import DecayConfig, load_motifs
 from ebbgraph.operators import baseline, calibration, decay, graph, motifs as M
 from ebbgraph.plans import queries
 from ebbgraph.schema import EDGE
-from ebbgraph.sources.tables import replay_stream
+from ebbgraph.sources.tables import replay_stream, write_replay
 from ebbgraph.streaming import batches, continuous, keyed
 from helpers import edges, random_edges
 from test_motifs import AB, admin, hop
@@ -300,3 +300,19 @@ def test_a_dealt_table_is_written_once_for_all_its_streams(spark, tmp_path, monk
     monkeypatch.setattr(queries.scale, "scratch_path", lambda s: made.append(s) or str(tmp_path / f"dealt-{len(made)}"))
     opened = queries.dealt_streams(spark, table, F.col("b"), 2)
     assert [drain(opened(), table.schema, tmp_path, f"out-{k}").count() for k in range(2)] == [8, 8] and len(made) == 1
+
+
+def test_a_replay_of_many_small_batches_is_told_whole(spark, tmp_path):
+    """More micro-batches than a stream reports by default, and few folders to list."""
+    df = random_edges(spark, 130)
+    n = df.count()
+    assert n > 100
+    write_replay(df, str(tmp_path / "in"), 1)
+    folders = list((tmp_path / "in").glob("*=*"))
+    assert len(folders) <= 4 and sum(len(list(folder.glob("part-*"))) for folder in folders) == n
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(name, None)
+    seen = queries.observed_batches(replay_stream(spark, str(tmp_path / "in")), F.count("*"), F.min("t_e"), F.max("edge_id"))
+    order = [(r.t_e, r.edge_id) for r in df.orderBy("t_e", "edge_id").select("t_e", "edge_id").collect()]
+    assert seen == [(k, 1, *row) for k, row in enumerate(order)]
+    assert spark.conf.get(name, None) == before

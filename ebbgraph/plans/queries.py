@@ -5,8 +5,7 @@ Computed doubles are rounded on both sides; values taken over unchanged are not.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1014,7 +1013,9 @@ def run_stream(frame: DataFrame, schema: T.StructType | str) -> DataFrame:
     spark = frame.sparkSession
     path = scale.scratch_path(spark)
     writer = frame.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint")
-    writer.trigger(availableNow=True).start(path).awaitTermination()
+    with scale.settings(spark, keyed.STATE_ON_DISK):
+        run = writer.trigger(availableNow=True).start(path)
+    run.awaitTermination()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -1033,22 +1034,6 @@ SMALL_BATCHES = {
 }
 
 
-@contextmanager
-def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
-    """Session settings that hold inside only."""
-    before = {name: spark.conf.get(name, None) for name in values}
-    for name, value in values.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
-
 def observed_batches(frame: DataFrame, *held: Column) -> list[tuple]:
     """Run a stream over everything available; (number, ``held``) of each of its micro-batches, in their order.
 
@@ -1056,7 +1041,7 @@ def observed_batches(frame: DataFrame, *held: Column) -> list[tuple]:
     """
     spark = frame.sparkSession
     writer = frame.observe("held", *held).writeStream.format("noop").option("checkpointLocation", scale.scratch_path(spark))
-    with settings(spark, SMALL_BATCHES):
+    with scale.settings(spark, SMALL_BATCHES):
         run = writer.start()
         try:
             run.processAllAvailable()

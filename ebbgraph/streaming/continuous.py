@@ -17,10 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ebbgraph.config import DecayConfig, Motif
 from ebbgraph.operators import baseline, decay, graph, ops
 from ebbgraph.operators.motifs import EVENT, MIN_CONFIDENCE
+from ebbgraph.operators.scale import settings
 from ebbgraph.sources.config_table import load_decay_config
 from ebbgraph.sources.tables import write_audit
 from ebbgraph.streaming.batches import PruneSink, RecalibrationSink
-from ebbgraph.streaming.keyed import SIGNAL_LAYOUT, completions, ordered_motifs, resets, stream_deviation
+from ebbgraph.streaming.keyed import SIGNAL_LAYOUT, STATE_ON_DISK, completions, ordered_motifs, resets, stream_deviation
 
 ALERT_SCORE = "entity_id string, score double, t double, trigger string, motif_name string, chain_key string, alerts long"
 
@@ -52,9 +53,10 @@ class ContinuousRun:
         writer = frame.writeStream.queryName(f"{name}").option("checkpointLocation", self.folder(f"checkpoints/{name}"))
         if self.available_now:
             writer = writer.trigger(availableNow=True)
-        if sink is not None:
-            return writer.foreachBatch(sink).start()
-        return writer.format("parquet").outputMode("append").start(self.folder(name))
+        with settings(frame.sparkSession, STATE_ON_DISK):
+            if sink is not None:
+                return writer.foreachBatch(sink).start()
+            return writer.format("parquet").outputMode("append").start(self.folder(name))
 
     def start(self, spark: SparkSession, edges: Callable[[], DataFrame]) -> list[StreamingQuery]:
         """Start all queries; ``edges`` opens the edge stream (once per query)."""

@@ -31,6 +31,16 @@ SIGNAL_LAYOUT = (
 BUCKETS = 1024
 
 
+#: Settings under which a stream with state is to start. State lies on the executors' disks, under one bound of memory for each
+#: executor; by default two versions of all of it lie in the heap, and it grows with the keys and with the rows that wait.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
 def _bucketed(rows: DataFrame, keys: Sequence[str], buckets: int) -> GroupedData:
     return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
 
@@ -96,6 +106,29 @@ def _event_order(row: Sequence) -> tuple:
     return late, t, row[2] == PRUNE_ROW, *edge
 
 
+def _packed(rows: Iterable[Sequence]) -> list[Sequence]:
+    """Rows with the edges pruned at one instant as one row, with a list of ids: a pass prunes them by the million, and so they wait."""
+    kept, pruned = [], {}
+    for row in rows:
+        if row[2] != PRUNE_ROW:
+            kept.append(row)
+        elif isinstance(row[1], list):
+            pruned.setdefault(row[0], []).extend(row[1])
+        else:
+            pruned.setdefault(row[0], []).append(row[1])
+    return kept + [(t, ids, PRUNE_ROW, None, None, None) for t, ids in pruned.items()]
+
+
+def _in_order(rows: Iterable[Sequence]) -> Iterator[Sequence]:
+    """Rows in event order, pruned edges one by one."""
+    for row in sorted(_packed(rows), key=_event_order):
+        if row[2] == PRUNE_ROW:
+            for edge in sorted(row[1], key=lambda e: (e is None, e or "")):
+                yield row[0], edge, *row[2:]
+        else:
+            yield row
+
+
 class ChainSlots:
     """Run a step for every (motif, chain_key) slot of a bucket that has rows or whose timer is due.
 
@@ -109,7 +142,7 @@ class ChainSlots:
         self.step, self.timed = step, timed
 
     def __call__(self, bucket: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        slots, arrived, out = {}, {}, []
+        slots, arrived, pruned, out = {}, {}, {}, []
         if state.exists:
             motifs, keys, chains, waiting, wakes = state.get
             slots = dict(zip(zip(motifs, keys), zip(zip(chains, waiting), wakes)))
@@ -118,7 +151,12 @@ class ChainSlots:
             for frame in batches:
                 names = zip(*(frame[c].tolist() for c in KEYS))
                 for key, row in zip(names, zip(*(frame[c].tolist() for c in ROW))):
-                    arrived.setdefault(key, []).append(row)
+                    if row[2] == PRUNE_ROW:
+                        pruned.setdefault(key, {}).setdefault(row[0], []).append(row[1])
+                    else:
+                        arrived.setdefault(key, []).append(row)
+        for key, at in pruned.items():
+            arrived.setdefault(key, []).extend((t, ids, PRUNE_ROW, None, None, None) for t, ids in at.items())
         due = [key for key, (_, wake) in slots.items() if wake is not None and wake < passed and key not in arrived]
         for key in (*arrived, *due):
             found, value, wake = self.step.advance(key, arrived.get(key), slots.pop(key, (None, None))[0], passed)
@@ -146,13 +184,19 @@ class ChainStep:
     def advance(self, key: tuple, rows: list | None, value: tuple | None, passed: int) -> tuple[list, tuple | None, int | None]:
         if rows is None:
             return [], None, None
-        out, text = self.fold.advance(value[0] if value else None, key, sorted(rows, key=_event_order))
+        out, text = self.fold.advance(value[0] if value else None, key, _in_order(rows))
         if not text:
             return out, None, None
         dies = json.loads(text)["dies"]
         return out, (text, None), None if dies is None else max(int(dies * 1000), passed + 1)
 
 
+def _prune_rows(pruned: DataFrame, motifs: Sequence[Motif] | None, fuzzy: bool, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows that tell chains of their pruned edges. An edge that fits a last step ends its chain, so no chain is left that holds it."""
+    routed = motif_candidates(pruned, motifs, fuzzy, keep).filter(F.col("stage") < F.col("n_steps") - 1)
+    return routed.withColumn("stage", F.lit(PRUNE_ROW))
+
+
 def stream_motifs(
     edges: DataFrame, motifs: Sequence[Motif] | None = None, *, fuzzy: bool = False,
     min_confidence: float = MIN_CONFIDENCE, timeout: str = "none", lateness: str = "1 hour",
@@ -166,8 +210,7 @@ def stream_motifs(
     """
     rows = motif_candidates(edges, motifs, fuzzy)
     if pruned is not None:
-        routed = motif_candidates(pruned.withColumn("t_e", F.col("pruned_at")), motifs, fuzzy)
-        rows = rows.unionByName(routed.withColumn("stage", F.lit(PRUNE_ROW)))
+        rows = rows.unionByName(_prune_rows(pruned.withColumn("t_e", F.col("pruned_at")), motifs, fuzzy))
     rows = rows.withColumn("pruned_at", F.lit(None).cast("double"))
     limit = GroupStateTimeout.NoTimeout
     if timeout == "event_time":
@@ -213,8 +256,7 @@ class OrderedChainStep:
         for row in (*json.loads(text), *(rows or ())):
             (due if clock_ms(row[0]) <= passed else later).append(row)
         if due:
-            due.sort(key=_event_order)
-            out, chain = self.fold.advance(chain, key, due)
+            out, chain = self.fold.advance(chain, key, _in_order(due))
         dies = json.loads(chain)["dies"] if chain else None
         if not later and dies is not None and clock_ms(dies) <= passed:
             chain = None  # no row that could still use it can arrive
@@ -222,7 +264,7 @@ class OrderedChainStep:
             return out, None, None
         wake = min(row[0] for row in later) if later else dies
         # fires once the watermark reaches it
-        return out, (chain, json.dumps(later)), None if wake is None else max(clock_ms(wake) - 1, passed + 1)
+        return out, (chain, json.dumps(_packed(later))), None if wake is None else max(clock_ms(wake) - 1, passed + 1)
 
 
 def clock_ms(t: float) -> int:
@@ -255,8 +297,7 @@ def ordered_motifs(
     rows = motif_candidates(_clocked(edges, "t_e", lateness), motifs, fuzzy, keep=["_clock"])
     if pruned is not None:
         timed = _clocked(pruned.withColumn("t_e", F.col("pruned_at")), "pruned_at", lateness)
-        routed = motif_candidates(timed, motifs, fuzzy, keep=["_clock"])
-        rows = rows.unionByName(routed.withColumn("stage", F.lit(PRUNE_ROW)))
+        rows = rows.unionByName(_prune_rows(timed, motifs, fuzzy, ["_clock"]))
     slots = ChainSlots(OrderedChainStep(ChainFold(min_confidence, timeout == "event_time")), True)
     return _bucketed(rows, KEYS, buckets).applyInPandasWithState(
         slots.__call__, EVENT, ChainSlots.STATE, "append", GroupStateTimeout.EventTimeTimeout

@@ -316,3 +316,40 @@ def test_a_replay_of_many_small_batches_is_told_whole(spark, tmp_path):
     order = [(r.t_e, r.edge_id) for r in df.orderBy("t_e", "edge_id").select("t_e", "edge_id").collect()]
     assert seen == [(k, 1, *row) for k, row in enumerate(order)]
     assert spark.conf.get(name, None) == before
+
+
+def test_state_lies_on_disk_and_prunes_wait_packed(spark, tmp_path, monkeypatch):
+    """Streams with state start under the disk store; only edges that a chain can hold are routed, all of an instant as one waiting row."""
+    df = edges(spark, [hop(0), hop(10, "A", "Z"), admin(60)])
+    gone = [r.asDict() | {"pruned_at": 30.0} for r in df.collect()]
+    (tmp_path / "gone").mkdir()
+    (tmp_path / "gone" / "g.json").write_text("\n".join(json.dumps(r) for r in gone))
+    pruned = spark.read.schema(batches.PRUNE_EVENT).json(str(tmp_path / "gone"))
+    routed = keyed._prune_rows(pruned.withColumn("t_e", F.col("pruned_at")), AB, False).collect()
+    first = [r["edge_id"] for r in gone if r["t_e"] < 60]
+    assert sorted(r.edge_id for r in routed) == sorted(first) and {r.stage for r in routed} == {M.PRUNE_ROW}
+
+    slots = keyed.ChainSlots(keyed.OrderedChainStep(M.ChainFold(0.5, False)), True)
+    frame = lambda *rows: pd.DataFrame([("m", "k", t, e, s, 2, 100.0, 1.0) for t, e, s in rows], columns=[*M.KEYS, *keyed.ROW])
+    state = State(0)
+    first, more = frame((50.0, "b", M.PRUNE_ROW), (10.0, "a", 0)), frame((50.0, "a", M.PRUNE_ROW), (40.0, "z", 0))
+    assert list(slots((7,), iter([first, more]), state)) == []
+    assert sorted(len(json.loads(text)) for text in state.value[3]) == [3]
+    assert list(slots((7,), iter([frame((50.0, "c", M.PRUNE_ROW))]), state)) == []
+    assert sorted(len(json.loads(text)) for text in state.value[3]) == [3]
+    state.watermark, state.hasTimedOut = keyed.clock_ms(50.0), True
+    (out,) = slots((7,), iter([]), state)
+    assert out[["kind", "triggering_edge_id", "at"]].values.tolist() == [["reset", "a", 50.0]] and state.value is None
+
+    name, seen = "spark.sql.streaming.stateStore.providerClass", []
+    start = type(df.sparkSession.readStream.schema(EDGE).json(str(tmp_path / "gone")).writeStream).start
+    monkeypatch.setattr(
+        "pyspark.sql.streaming.DataStreamWriter.start", lambda self, *a, **b: seen.append(spark.conf.get(name, "")) or start(self, *a, **b)
+    )
+    run = continuous.ContinuousRun(str(tmp_path / "run"), decay.PrunePolicy(0.2, 0.2))
+    path = staged(random_edges(spark, 40), tmp_path / "in", files=1)
+    for query in run.start(spark, lambda: replay_stream(spark, path)):
+        query.awaitTermination()
+    queries.run_stream(keyed.stream_deviation(replay_stream(spark, path)), keyed.SIGNAL_LAYOUT)
+    assert len(seen) == 4 and all(kind.endswith(".RocksDBStateStoreProvider") for kind in seen)
+    assert not spark.conf.get(name, "").endswith(".RocksDBStateStoreProvider")
